@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, token_counts, url_filter
+from . import quality_rules, sharding, token_counts, url_filter
 from ._common import shared_path
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -38,6 +38,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
+
+
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -60,5 +65,6 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op6_url_filter": op6_url_filter,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
