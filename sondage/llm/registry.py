@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, token_counts, url_filter
+from . import bpe, quality_rules, sharding, token_counts, url_filter
 from ._common import shared_path
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -43,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.json")
+
+
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -66,5 +70,6 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
