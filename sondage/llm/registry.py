@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, sharding, token_counts, url_filter
+from . import bpe, language_model, quality_rules, sharding, token_counts, url_filter
 from ._common import shared_path
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -34,6 +34,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_model.is_fold("doc_id", 7, 2)
+    model = language_model.train(docs.where(~held_out))
+    return language_model.score(docs, model, held_out)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -68,6 +75,7 @@ FROM p LEFT JOIN m ON m.n = 1 AND m.page_id = p.page_id AND m.host = p.host AND
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_language_model": op3_language_model,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
