@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, quality_rules, sharding, token_counts, url_filter
-from ._common import shared_path
+from . import bpe, language_id, language_model, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from ._common import shared_path, written
 
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -41,6 +41,22 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model, held_out)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    features = written(quality_classifier.with_features(docs).drop("text"), "quality-features")
+    held_out = language_model.is_fold("doc_id", 5, 0)
+    model = quality_classifier.fit(features.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = features.select("doc_id", held_out.alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_model.is_fold("doc_id", 5, 0)
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -76,6 +92,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_language_model": op3_language_model,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
