@@ -1,3 +1,4 @@
+import functools
 import hashlib
 
 import numpy as np
@@ -16,6 +17,11 @@ def model():
     return bpe.ByteBpe(PATH)
 
 
+@functools.cache
+def second_model():
+    return bpe.ByteBpe(PATH, second=True)
+
+
 def whole(text):
     ids = Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
     decoded = Tokenizer.from_file(PATH).decode(ids, skip_special_tokens=False)
@@ -33,6 +39,21 @@ def test_joined_pieces_equal_the_whole_text(model, words, data):
     assert got.tolist() == model.encode([text])[0].tolist()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t\xa0abBesSé'ÀÖȿ😀漢1234.,<|endoftx>###aaa", max_size=60))
+def test_second_encoder_agrees(model, text):
+    assert second_model().encode([text.encode()])[0].tolist() == model.encode([text.encode()])[0].tolist()
+
+
+def test_second_encoder_agrees_on_documents(model):
+    import pyarrow.parquet as pq
+
+    texts = [x.encode() for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    assert model.ranks_suffice()
+    for a, b in zip(bpe.ByteBpe(PATH, second=True).encode(texts), model.encode(texts), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_chunks_join_to_the_text():
     raw = ("Füße über alles — 漢字 " * 900).encode()
     assert b"".join(bpe.chunks(raw)) == raw
