@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, language_model, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from . import bpe, decontamination, jaccard_join, language_id, language_model, quality_classifier, quality_rules, sharding, token_counts, url_filter
 from ._common import shared_path, written
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -70,6 +70,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.json")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
