@@ -49,10 +49,12 @@ class SegmentedBloom:
 
     def contains(self, h: np.ndarray, level: int = 0) -> np.ndarray:
         out = np.ones(len(h), bool)
-        start = self.segment(h) * self.segment_bits
+        left, start = np.arange(len(h)), self.segment(h) * self.segment_bits
         for places in self._places(h, level):
-            at = start + places
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            at = start[left] + places[left]
+            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            out[left[~hit]] = False
+            left = left[hit]
         return out
 
 
