@@ -257,6 +257,42 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tup
     return sized.where(den * F.col("overlap") >= num * (F.col("n") + F.col("m") - F.col("overlap"))).select("key", "center")
 
 
+def unshared(sets: DataFrame, wanted: SegmentedBloom, n_buckets: int) -> DataFrame:
+    """(key, lone): how many shingles of each wanted set are in no other wanted set, by ranges of the order."""
+    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+    shift = np.uint64(48 - (n_buckets.bit_length() - 1))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            batch = batch.filter(pa.array(shared.value.contains(keys)))
+            found = []
+            for key, data in zip(batch.column("key").to_pylist(), batch.column("segment").to_pylist(), strict=True):
+                ranges = _members(data) >> shift
+                starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else []
+                ends = [*starts[1:], len(ranges)]
+                found += [(int(ranges[a]), key, data[6 * a : 6 * b]) for a, b in zip(starts, ends, strict=True)] if len(ranges) else []
+            cols = list(zip(*found, strict=True)) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["bucket", "key", "segment"])
+
+    def count(bucket: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, parts = [], []
+        for g in groups:
+            keys.append(g.column("key").to_numpy())
+            parts += [_members(x) for x in g.column("segment").to_pylist()]
+        owner = np.repeat(np.concatenate(keys), [len(x) for x in parts])
+        h = np.concatenate(parts)
+        order = np.argsort(h)
+        h, owner = h[order], owner[order]
+        same = h[1:] == h[:-1]
+        alone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        key, lone = np.unique(owner[alone], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lone, pa.int64())], ["key", "lone"])
+
+    pieces = sets.select("key", "segment").mapInArrow(split, "bucket int, key long, segment binary")
+    return pieces.groupBy("bucket").applyInArrow(count, "key long, lone long").groupBy("key").agg(F.sum("lone").alias("lone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that edges (a, b) connect each node with.
 
@@ -296,6 +332,12 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return written(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), "jaccard-labels")
 
 
+def _of_several(table: DataFrame) -> DataFrame:
+    """The rows whose sig is in more than one component."""
+    several = table.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
+    return table.join(several, "sig")
+
+
 def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
     id_type = dict(docs.dtypes)[id_col]
@@ -324,14 +366,29 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     left = written(_labelled(_labelled(left, labels, "key", "a"), labels, "center", "b").where("a <> b").select("key", "center"), "jaccard-pairs")
     labels = _merged(labels, written(verified(left, sets, sizes, threshold), "jaccard-links"))
     # 3: all pairs of different components that share a segment and were not compared
-    labelled = _labelled(members.select("sig", "key").distinct(), labels, "key", "label")
-    mixed_sigs = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    rest = written(labelled.join(mixed_sigs, "sig").join(sizes, "key"), "jaccard-rest")
-    right = rest.select("sig", F.col("key").alias("center"), F.col("label").alias("other"), F.col("n").alias("m"))
     num, den = threshold
-    fits = (F.col("key") > F.col("center")) & (F.col("label") != F.col("other")) & (den * F.col("n") >= num * F.col("m")) & (den * F.col("m") >= num * F.col("n"))
-    pairs = rest.join(right, "sig").where(fits).select("key", "center").distinct()
-    pairs = pairs.join(best, ["key", "center"], "left_anti").join(left, ["key", "center"], "left_anti")
+    labelled = _labelled(members.select("sig", "key").distinct(), labels, "key", "label")
+    rest = written(_of_several(labelled).join(sizes, "key"), "jaccard-rest")
+    # shingles of no other set here bound each overlap; sets that can then link with nothing leave their segment
+    lone = written(unshared(sets, build_bloom(rest.select(F.col("key").alias("h")).distinct(), BLOOM_BYTES), n_buckets), "jaccard-lone")
+    cored = rest.join(lone, "key", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    least = cored.groupBy("sig").agg(F.min("n").alias("low"))
+    cored = cored.join(least, "sig").where((num + den) * F.col("core") >= num * (F.col("n") + F.col("low"))).drop("low")
+    rest = written(_of_several(cored), "jaccard-rest")
+    may_link = (num + den) * F.least("core", "other_core") >= num * (F.col("n") + F.col("m"))
+    other = {"key": "center", "label": "other", "n": "m", "core": "other_core"}
+    # first with the set that has fewest shingles for itself: most near copies of one text link with it
+    middle = rest.groupBy("sig").agg(F.min_by(F.struct("key", "label", "n", "core"), F.struct(F.col("n") - F.col("core"), "key")).alias("c"))
+    middle = middle.select("sig", *[F.col(f"c.{k}").alias(v) for k, v in other.items()])
+    central = rest.join(middle, "sig").where(may_link & (F.col("label") != F.col("other"))).select("key", "center").distinct()
+    central = central.join(best, ["key", "center"], "left_anti").join(left, ["key", "center"], "left_anti")
+    central = written(central, "jaccard-pairs")
+    labels = _merged(labels, written(verified(central, sets, sizes, threshold), "jaccard-links"))
+    rest = written(_of_several(_labelled(rest.drop("label"), labels, "key", "label")), "jaccard-rest")
+    right = rest.select("sig", *[F.col(k).alias(v) for k, v in other.items()])
+    pairs = rest.join(right, "sig").where((F.col("key") > F.col("center")) & (F.col("label") != F.col("other")) & may_link).select("key", "center").distinct()
+    for done in (best, left, central, central.select(F.col("center").alias("key"), F.col("key").alias("center"))):
+        pairs = pairs.join(done, ["key", "center"], "left_anti")
     labels = _merged(labels, written(verified(written(pairs, "jaccard-pairs"), sets, sizes, threshold), "jaccard-links"))
 
     named = _labelled(by_key.select("key", "first_id"), labels, "key", "label")
