@@ -28,7 +28,7 @@ def reconciled(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -
 
 def contingency(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Two-way counts, zero-filled."""
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).fillna(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def hash_order(seed: int, *parts: Column) -> Column:

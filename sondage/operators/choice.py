@@ -11,6 +11,10 @@ RIDGE = 1e-4
 MIN_SETS = 20
 
 
+def within(*keys: str) -> Window:
+    return Window.partitionBy(*keys)
+
+
 def softmax(df: DataFrame, keys: list[str], utility: Column, out: str = "p") -> DataFrame:
     """Choice probabilities in each choice set, shifted by the set's best utility."""
     w = Window.partitionBy(*keys)

@@ -40,9 +40,9 @@ def grid_peak_share(df: DataFrame, keys: list[str], time: str, width: int = 15)
 
 def anchored_peak_share(df: DataFrame, keys: list[str], time: str, width: float = 15.0) -> DataFrame:
     """The other measure of that name: windows [a, a + width) that start at an arrival."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    upto = F.count("*").over(w.rangeBetween(0, width))
-    edge = F.count("*").over(w.rangeBetween(width, width))
+    over = f"count(*) OVER (PARTITION BY {', '.join(keys)} ORDER BY cast({time} AS double) RANGE BETWEEN"
+    upto = F.expr(f"{over} CURRENT ROW AND {width}D FOLLOWING)")
+    edge = F.expr(f"{over} {width}D FOLLOWING AND {width}D FOLLOWING)")
     return df.select(*keys, (upto - edge).alias("c"), F.count("*").over(Window.partitionBy(*keys)).alias("n")).groupBy(*keys).agg(F.max(F.col("c") / F.col("n")).alias("peak_share"))
 
 

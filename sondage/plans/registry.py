@@ -1,6 +1,481 @@
-"""Every registered query and, where SQL can state it, its oracle."""
+"""Every registered query of the questionnaire, choice and trajectory operators and, where SQL can state it, its oracle.
+
+Doubles that reach a comparison are rounded to six places.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sondage.functions import noise as N
+from sondage.functions import text as T
+from sondage.operators import answers as A
+from sondage.operators import calibration as C
+from sondage.operators import checks as K
+from sondage.operators import choice as D
+from sondage.operators import sequential as Q
+from sondage.operators import stats as S
+from sondage.operators import windows as W
+from sondage.streaming import hourly
+
+from . import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query under its name; `sql` follows the views."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = V.SQL + sql
+        return f
+
+    return add
+
+
+def r6(column: Column | str) -> Column:
+    return F.round(F.col(column) if isinstance(column, str) else column, 6)
+
+
+# answers
+
+
+@query("""SELECT count(*) AS n_pairs, round(min(rate), 6) AS low, round(quantile_cont(rate, 0.5), 6) AS median, round(avg(rate), 6) AS mean, round(max(rate), 6) AS high
+FROM (SELECT avg(CASE WHEN a.answer = b.answer THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM main a JOIN main b ON a.item_id = b.item_id AND a.pid < b.pid GROUP BY a.pid, b.pid)""")
+def agreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = A.pairwise_agreement(V.main_round(spark, sf_dir))
+    return pairs.agg(
+        F.count("*").alias("n_pairs"), r6(F.min("rate")).alias("low"), r6(F.percentile("rate", F.lit(0.5))).alias("median"), r6(F.avg("rate")).alias("mean"), r6(F.max("rate")).alias("high")
+    )
+
+
+@query("""SELECT a.pid AS pid_a, b.pid AS pid_b, count(*) AS shared, CAST(sum(CASE WHEN a.answer = b.answer THEN 1 ELSE 0 END) AS BIGINT) AS same
+FROM main a JOIN main b ON a.item_id = b.item_id AND a.pid < b.pid GROUP BY a.pid, b.pid""")
+def pairwise_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.pairwise_agreement(V.main_round(spark, sf_dir)).drop("rate")
+
+
+@query("""SELECT count(*) AS n_pairs, round(min(rate), 6) AS low, round(avg(rate), 6) AS mean, round(max(rate), 6) AS high FROM (
+  SELECT sum(CASE WHEN x.answer IS NOT DISTINCT FROM y.answer THEN 1 ELSE 0 END)::DOUBLE / count(*) AS rate
+  FROM (SELECT DISTINCT pid FROM main) a JOIN (SELECT DISTINCT pid FROM main) b ON a.pid < b.pid CROSS JOIN (SELECT DISTINCT item_id FROM main) i
+  LEFT JOIN main x ON x.pid = a.pid AND x.item_id = i.item_id LEFT JOIN main y ON y.pid = b.pid AND y.item_id = i.item_id GROUP BY a.pid, b.pid)""")
+def dense_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = A.dense_agreement(V.main_round(spark, sf_dir))
+    return pairs.agg(F.count("*").alias("n_pairs"), r6(F.min("rate")).alias("low"), r6(F.avg("rate")).alias("mean"), r6(F.max("rate")).alias("high"))
+
+
+@query("SELECT pid, item_id, arg_max(answer, seq) AS answer, max(seq) AS seq FROM ev GROUP BY pid, item_id")
+def last_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.last_wins(V.log(spark, sf_dir), ["pid", "item_id"], ["seq"]).select("pid", "item_id", "answer", "seq")
+
+
+@query("""SELECT p.pid, i.item_id FROM (SELECT DISTINCT pid FROM main) p CROSS JOIN (SELECT DISTINCT item_id FROM main) i
+WHERE NOT EXISTS (SELECT 1 FROM main m WHERE m.pid = p.pid AND m.item_id = i.item_id)""")
+def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.missing_cells(V.main_round(spark, sf_dir)).select("pid", "item_id")
+
+
+@query("""SELECT kind, pid, count(*) AS n, round(avg(ok), 6) AS rate FROM (
+  SELECT m.pid, m.kind, CASE WHEN m.kind = 'binary' THEN m.code = r.code ELSE abs(m.code - r.code) <= 1 END::INTEGER::DOUBLE AS ok
+  FROM retest r JOIN main m ON m.pid = r.pid AND m.item_id = r.item_id) GROUP BY GROUPING SETS ((), (kind), (pid))""")
+def retest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.retest_report(V.main_round(spark, sf_dir), V.retest_round(spark, sf_dir))
+    return out.select("kind", "pid", "n", r6("rate").alias("rate"))
+
+
+@query("""SELECT i.item_id, c.answer, round((coalesce(n, 0) + 0.5) / sum(coalesce(n, 0) + 0.5) OVER (PARTITION BY i.item_id), 6)::DOUBLE AS p
+FROM (SELECT DISTINCT item_id FROM main) i CROSS JOIN (SELECT DISTINCT answer FROM main) c
+LEFT JOIN (SELECT item_id, answer, count(*)::DOUBLE AS n FROM main GROUP BY item_id, answer) m ON m.item_id = i.item_id AND m.answer = c.answer""")
+def smoothed_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = V.main_round(spark, sf_dir)
+    out = A.smoothed_marginals(main, ["item_id"], "answer", main.select("answer").distinct())
+    return out.select("item_id", "answer", r6("p").alias("p"))
+
+
+@query("""SELECT target, neighbour, rank_k, round(distance, 6) AS distance FROM (
+  SELECT a.pid AS target, b.pid AS neighbour, avg(abs(a.code - b.code)) / 4 AS distance,
+         row_number() OVER (PARTITION BY a.pid ORDER BY round(avg(abs(a.code - b.code)) / 4, 9), b.pid) AS rank_k
+  FROM main a JOIN main b ON a.item_id = b.item_id AND a.pid <> b.pid GROUP BY a.pid, b.pid) WHERE rank_k <= 5""")
+def nearest_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.nearest(A.code_distances(V.main_round(spark, sf_dir)), 5, [F.round("distance", 9), F.col("neighbour")], rank="rank_k")
+    return out.select("target", "neighbour", F.col("rank_k").cast("long").alias("rank_k"), r6("distance").alias("distance"))
+
+
+@query("""SELECT e.pid, e.item_id, arg_min(e.answer, e.seq) AS answer FROM ev e
+WHERE NOT EXISTS (SELECT 1 FROM main m WHERE m.code = 0 AND m.pid = e.pid AND m.item_id = e.item_id) GROUP BY e.pid, e.item_id""")
+def upsert_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = V.main_round(spark, sf_dir).where("code = 0")
+    return A.upserted(existing, V.log(spark, sf_dir), ["pid", "item_id"], ["seq"]).select("pid", "item_id", "answer")
+
+
+@query("""SELECT e.pid, e.item_id, max(e.seq) AS seq FROM ev e WHERE e.answer = 'error'
+AND NOT EXISTS (SELECT 1 FROM ev m WHERE m.answer = 'click' AND m.pid = e.pid AND m.item_id = e.item_id) GROUP BY e.pid, e.item_id""")
+def rejects_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.log(spark, sf_dir).select("pid", "item_id", "seq", "answer")
+    bad, good = rows.where("answer = 'error'"), rows.where("answer = 'click'")
+    out = A.rejects_after(bad.where("item_id <= 15"), bad.where("item_id > 15"), good, ["pid", "item_id"], ["seq"])
+    return out.select("pid", "item_id", "seq")
+
+
+@query("""SELECT conv_id, count(*) AS n_turns, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)::BIGINT AS n_user,
+  sha256(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest, max(turn) + 1 = count(*) AS complete
+FROM conversations GROUP BY conv_id""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.transcripts(V.table(spark, sf_dir, "conversations"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), F.coalesce(t["text"], F.lit(""))))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size(F.filter("turns", lambda t: t["role"] == "user")).cast("long").alias("n_user"),
+        F.sha2(F.array_join(lines, "\n"), 256).alias("digest"),
+        "complete",
+    )
+
+
+# calibration
+
+_GRID = "(SELECT unnest(range(10))::INTEGER AS bin)"
+_BINS = f"""bins AS (SELECT s.lang, g.bin, coalesce(n, 0) AS n, mean_p, mean_t FROM (SELECT DISTINCT lang FROM predictions) s CROSS JOIN {_GRID} g
+LEFT JOIN (SELECT lang, len(list_filter(range(1, 10), lambda i: p >= i * 0.1::DOUBLE))::INTEGER AS bin, count(*) AS n, avg(p) AS mean_p, avg(t) AS mean_t FROM predictions GROUP BY ALL) b ON b.lang = s.lang AND b.bin = g.bin)
+"""
+
+
+@query("," + _BINS + "SELECT lang, bin, n, round(mean_p, 6) AS mean_p, round(mean_t, 6) AS mean_t FROM bins")
+def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = C.calibration_bins(V.predictions(spark, sf_dir), ["lang"], "p", "t")
+    return bins.select("lang", "bin", "n", r6("mean_p").alias("mean_p"), r6("mean_t").alias("mean_t"))
+
+
+@query("," + _BINS + "SELECT lang, round(sum(n * abs(mean_p - mean_t)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM bins GROUP BY lang")
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = C.calibration_bins(V.predictions(spark, sf_dir), ["lang"], "p", "t")
+    return C.expected_calibration_error(bins, ["lang"]).select("lang", r6("ece").alias("ece"), "n")
+
+
+@query("""SELECT lang, source, count(DISTINCT cell) AS cells, round(avg((p - t) * (p - t)), 6) AS brier,
+  round(CASE WHEN stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12 THEN covar_pop(p, t) / (stddev_pop(p) * stddev_pop(t)) END, 6) AS corr
+FROM predictions GROUP BY GROUPING SETS ((), (lang), (source))""")
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.graded(V.predictions(spark, sf_dir), [[], ["lang"], ["source"]])
+    return out.select("lang", "source", "cells", r6("brier").alias("brier"), r6("corr").alias("corr"))
+
+
+_CUBE = """, cube AS (SELECT m.pid, m.item_id, c.answer, (coalesce(k.n, 0) + 0.5) / (t.n + 0.5 * x.k) AS p, (m.answer = c.answer)::INTEGER::DOUBLE AS t
+FROM main m CROSS JOIN (SELECT DISTINCT answer FROM main) c CROSS JOIN (SELECT count(DISTINCT answer) AS k FROM main) x
+JOIN (SELECT item_id, count(*)::DOUBLE AS n FROM main GROUP BY item_id) t ON t.item_id = m.item_id
+LEFT JOIN (SELECT item_id, answer, count(*)::DOUBLE AS n FROM main GROUP BY ALL) k ON k.item_id = m.item_id AND k.answer = c.answer)
+"""
+
+
+@query(_CUBE + """SELECT pid, round(avg(b), 6) AS brier, round(avg(b2), 6) AS brier_sum, round(avg(l), 6) AS log_loss, round(avg(e), 6) AS entropy FROM (
+SELECT pid, item_id, avg((p - t) * (p - t)) AS b, sum((p - t) * (p - t)) AS b2, -sum(t * ln(greatest(p, 1e-6))) AS l, -sum(p * ln(p)) AS e FROM cube GROUP BY pid, item_id) GROUP BY pid""")
+def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = V.main_round(spark, sf_dir)
+    p = A.smoothed_marginals(main, ["item_id"], "answer", main.select("answer").distinct())
+    cube = main.select("pid", "item_id", F.col("answer").alias("given")).join(F.broadcast(p), "item_id").withColumn("t", (F.col("given") == F.col("answer")).cast("double"))
+    p, t = F.col("p"), F.col("t")
+    cells = cube.groupBy("pid", "item_id").agg(C.brier_mean(p, t).alias("b"), C.brier_sum(p, t).alias("b2"), C.log_loss(p, t).alias("l"), C.entropy(p).alias("e"))
+    return cells.groupBy("pid").agg(r6(F.avg("b")).alias("brier"), r6(F.avg("b2")).alias("brier_sum"), r6(F.avg("l")).alias("log_loss"), r6(F.avg("e")).alias("entropy"))
+
+
+@query("""SELECT round(var_pop(value), 4) AS total, round(var_pop(m), 4) AS between_slots, round(avg((value - m) * (value - m)), 4) AS within_slots
+FROM (SELECT value, avg(value) OVER (PARTITION BY item_id) AS m FROM main)""")
+def variance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.variance_split(V.main_round(spark, sf_dir), "item_id", "value")
+    return out.select(F.round("total", 4).alias("total"), F.round("between", 4).alias("between_slots"), F.round("within", 4).alias("within_slots"))
+
+
+# checks
+
+
+@query("""SELECT rule, CAST(c_custkey AS VARCHAR) AS key FROM (
+  SELECT c_custkey, unnest([CASE WHEN NOT coalesce(c_acctbal >= 0, false) THEN 'balance' END, CASE WHEN NOT coalesce(c_mktsegment <> 'MACHINERY', false) THEN 'segment' END,
+    CASE WHEN NOT coalesce(c_nationkey BETWEEN 0 AND 20, false) THEN 'nation' END]) AS rule FROM customer) WHERE rule IS NOT NULL""")
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment") != "MACHINERY", "nation": F.col("c_nationkey").between(0, 20)}
+    return K.violations(V.table(spark, sf_dir, "customer"), "c_custkey", rules)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.duplicates(V.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT p_partkey, unnest(CASE WHEN b.k IS NULL THEN ['only left'] ELSE list_filter([CASE WHEN a.p_brand IS DISTINCT FROM b.p_brand THEN 'differs:p_brand' END,
+  CASE WHEN a.p_size IS DISTINCT FROM b.p_size THEN 'differs:p_size' END], lambda x: x IS NOT NULL) END) AS problem
+FROM part a LEFT JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'none' ELSE p_brand END AS p_brand, p_size FROM part WHERE p_size > 5) b ON a.p_partkey = b.k""")
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = V.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    right = left.where("p_size > 5").withColumn("p_brand", F.when(F.col("p_partkey") % 10 == 0, "none").otherwise(F.col("p_brand")))
+    return K.reconciled(left, right, "p_partkey", ["p_brand", "p_size"])
+
+
+@query("""SELECT item_id, count(*) FILTER (answer = 'click') AS click, count(*) FILTER (answer = 'error') AS error, count(*) FILTER (answer = 'view') AS view FROM main GROUP BY item_id""")
+def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.contingency(V.main_round(spark, sf_dir), "item_id", "answer", ["click", "error", "view"])
+
+
+@query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('7|' || c_custkey), c_custkey)
+  <= round_even(count(*) OVER (PARTITION BY c_mktsegment) * 0.2, 0) AS held FROM customer""")
+def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.stratified_holdout(V.table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 0.2, 7).select("c_custkey", "held")
+
+
+@query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY sha256('7|' || c_custkey), c_custkey) - 1) % 5 AS INTEGER) AS fold FROM customer")
+def hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.folds(V.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 5, 7).select("c_custkey", "fold")
+
+
+@query("SELECT pid, seq, CAST(floor((row_number() OVER (PARTITION BY pid ORDER BY seq) - 1) / 16) AS BIGINT) AS chunk FROM ev")
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.chunks(V.log(spark, sf_dir), ["pid"], ["seq"], 16).select("pid", "seq", F.col("chunk").cast("long").alias("chunk"))
+
+
+@query("""SELECT field, value, n, n_distinct FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS place, count(*) OVER (PARTITION BY field) AS n_distinct FROM (
+  SELECT field, value, count(*) AS n FROM (SELECT 'c_mktsegment' AS field, c_mktsegment AS value FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) GROUP BY field, value)) WHERE place <= 20""")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.top_values(V.table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], 20).select("field", "value", "n", "n_distinct")
+
+
+# choice
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(exp(top - cost) / sum(exp(top - cost)) OVER (PARTITION BY l_orderkey), 6) AS p
+FROM (SELECT *, min(cost) OVER (PARTITION BY l_orderkey) AS top FROM options)""")
+def choice_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = D.softmax(V.options(spark, sf_dir), ["l_orderkey"], -F.col("cost"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("p").alias("p"))
+
+
+@query("""SELECT l_orderkey, round(max(cost) - min(cost), 8) AS cost_range, max(l_quantity) - min(l_quantity) AS l_quantity_range, count(*) AS n_options,
+  max(cost) - min(cost) > 0 OR max(l_quantity) - min(l_quantity) > 0 AS informative FROM options GROUP BY l_orderkey""")
+def option_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.option_gaps(V.options(spark, sf_dir), ["l_orderkey"], ["cost", "l_quantity"]).withColumn("cost_range", F.round("cost_range", 8))
+
+
+@query(None)
+def fit_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logit of cost and quantity for each customer with five orders or more; the largest quantity was chosen."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    best = F.max(F.struct("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "cost")).over(D.within("l_orderkey"))
+    lines = V.options(spark, sf_dir).distinct().withColumn("chosen", F.struct("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "cost") == best)
+    owners = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return D.fit_logits(lines.join(owners, "l_orderkey"), "o_custkey", "l_orderkey", ["cost"], "chosen", order=order, min_sets=5)
+
+
+# statistics
+
+
+@query("SELECT item_id, round(corr(x, y), 6) AS rho FROM (SELECT item_id, rank() OVER (PARTITION BY item_id ORDER BY code) + (count(*) OVER (PARTITION BY item_id, code) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY item_id ORDER BY second) + (count(*) OVER (PARTITION BY item_id, second) - 1) / 2.0::DOUBLE AS y FROM main) GROUP BY item_id")
+def spearman_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spearman(V.main_round(spark, sf_dir), ["item_id"], "code", "second").select("item_id", r6("rho").alias("rho"))
+
+
+@query("SELECT item_id, round(corr(x, y), 6) AS rho FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY code, pid) AS x, row_number() OVER (PARTITION BY item_id ORDER BY second, pid) AS y FROM main) GROUP BY item_id")
+def spearman_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spearman(V.main_round(spark, sf_dir), ["item_id"], "code", "second", average=False, tie="pid").select("item_id", r6("rho").alias("rho"))
+
+
+@query("""SELECT k.kind, g.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT kind FROM main) k CROSS JOIN (SELECT unnest(range(20))::INTEGER AS bin) g
+LEFT JOIN (SELECT kind, least(floor(value / 5), 19)::INTEGER AS bin, count(*) AS n FROM main WHERE value BETWEEN 0 AND 100 GROUP BY ALL) b ON b.kind = k.kind AND b.bin = g.bin""")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.histogram(V.main_round(spark, sf_dir), ["kind"], "value", 0.0, 100.0, 20)
+
+
+@query("""SELECT item_id, count(value) AS n, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 6) AS mean,
+round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS max FROM main GROUP BY item_id""")
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = V.main_round(spark, sf_dir).groupBy("item_id").agg(*S.describe("value"))
+    return out.select("item_id", "n", "min", r6("p25").alias("p25"), r6("median").alias("median"), r6("mean").alias("mean"), r6("p75").alias("p75"), "max")
+
+
+_Z = """, z AS (SELECT pid, item_id, kind, (code - avg(code) OVER w) / stddev_samp(code) OVER w AS z FROM main WINDOW w AS (PARTITION BY item_id))
+"""
+
+
+@query(_Z + "SELECT pid, count(*) AS n, round(avg(CASE WHEN kind = 'binary' THEN -z ELSE z END), 6) AS obedience FROM z GROUP BY pid")
+def obedience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of keyed z-scores for each person; binary items are keyed negatively."""
+    z = S.standardized(V.main_round(spark, sf_dir), "item_id", "code")
+    keyed = F.when(F.col("kind") == "binary", -F.col("z")).otherwise(F.col("z"))
+    return z.groupBy("pid").agg(F.count("*").alias("n"), r6(F.avg(keyed)).alias("obedience"))
+
+
+@query(_Z + """, n AS (SELECT count(DISTINCT pid) AS n FROM main), cov AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.z * b.z) / ((SELECT n FROM n) - 1) AS c FROM z a JOIN z b ON a.pid = b.pid GROUP BY ALL)
+SELECT count(*) FILTER (i = j) AS n_items, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 6) AS effective FROM cov""")
+def effective_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = V.main_round(spark, sf_dir)
+    n = main.agg(F.countDistinct("pid")).first()[0]
+    cov = S.item_covariance(S.standardized(main, "item_id", "code"), "pid", "item_id", "z", F.lit(n))
+    return S.participation_ratio(cov).select("n_items", r6("effective").alias("effective"))
+
+
+@query("""SELECT sum(t)::BIGINT AS n1, sum(1 - t)::BIGINT AS n0, round((sum(r * t) - sum(t) * (sum(t) + 1) / 2) / (sum(t) * sum(1 - t)), 6) AS auc
+FROM (SELECT t, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM predictions)""")
+def label_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.auc(V.predictions(spark, sf_dir), "p", "t")
+    return out.select(F.col("n1").cast("long").alias("n1"), F.col("n0").cast("long").alias("n0"), r6("auc").alias("auc"))
+
+
+@query("""SELECT item_id, round(sum(code * value) / (sqrt(sum(code * code)) * sqrt(sum(value * value))), 6) AS cosine, round(corr(code, value), 6) AS r,
+round(2 * corr(code, value) / (1 + corr(code, value)), 6) AS stepped_up, round(regr_slope(value, code), 6) AS slope, round(regr_intercept(value, code), 6) AS intercept, round(regr_r2(value, code), 6) AS r2
+FROM main GROUP BY item_id""")
+def item_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("code").cast("double"), F.col("value")
+    out = V.main_round(spark, sf_dir).groupBy("item_id").agg(
+        S.cosine(x, y).alias("cosine"), S.safe_corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2")
+    )
+    out = out.withColumn("stepped_up", S.spearman_brown(F.col("r")))
+    return out.select("item_id", *[r6(c).alias(c) for c in ("cosine", "r", "stepped_up", "slope", "intercept", "r2")])
+
+
+@query("""SELECT item_id, CASE WHEN median <= 20 THEN median END AS median_code, round(((q1 - q0) / ((q0 + q1) / 2)) / -0.2, 6) AS elasticity FROM (
+SELECT item_id, quantile_cont(coalesce(CASE WHEN value < 60 THEN floor(value / 3) END, 21), 0.5) AS median, count(*) FILTER (kind = 'binary' OR code > 1)::DOUBLE AS q0, count(*) FILTER (answer = 'click')::DOUBLE AS q1 FROM main GROUP BY item_id)""")
+def censored_and_elastic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached = F.when(F.col("value") < 60, F.floor(F.col("value") / 3))
+    q0 = F.count(F.when((F.col("kind") == "binary") | (F.col("code") > 1), 1)).cast("double")
+    q1 = F.count(F.when(F.col("answer") == "click", 1)).cast("double")
+    out = V.main_round(spark, sf_dir).groupBy("item_id").agg(S.censored_median(reached, 20).alias("median_code"), q0.alias("q0"), q1.alias("q1"))
+    return out.select("item_id", "median_code", r6(S.arc_elasticity(F.col("q0"), F.col("q1"), -0.2)).alias("elasticity"))
+
+
+@query("""SELECT label, i::INTEGER AS place, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY label, i""")
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = V.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
+    return cells.groupBy("label", "place").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
+
+
+# time
+
+
+@query("""SELECT pid, day, round(k * 0.5 + max(dep - k * 0.5) OVER (PARTITION BY day ORDER BY dep, pid ROWS UNBOUNDED PRECEDING), 6) AS exit
+FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY dep, pid) - 1 AS k FROM trips)""")
+def queue_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.queue_exits(V.trips(spark, sf_dir), ["day"], "dep", "pid", 0.5).select("pid", "day", r6("exit").alias("exit"))
+
+
+@query("""SELECT pid, round(coalesce(sum(s), 0) / CASE WHEN count(*) > 1 THEN count(*) - 1 END::DOUBLE, 6) AS switching, coalesce(sum(s), 0)::BIGINT AS switches
+FROM (SELECT pid, (route <> lag(route) OVER (PARTITION BY pid ORDER BY day))::INTEGER AS s FROM trips) GROUP BY pid""")
+def switching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.switching(V.trips(spark, sf_dir), "pid", "day", "route").select("pid", r6("switching").alias("switching"), "switches")
+
+
+@query("""SELECT day, round(max(c / n::DOUBLE), 6) AS peak_share FROM (SELECT t.day, s.start, count(*) AS c, any_value(s.n) AS n FROM trips t JOIN (
+  SELECT day, n, unnest(range(lo, hi + 1)) AS start FROM (SELECT day, floor(min(dep))::BIGINT AS lo, ceil(max(dep))::BIGINT AS hi, count(*) AS n FROM trips GROUP BY day)) s
+  ON s.day = t.day AND t.dep >= s.start AND t.dep < s.start + 15 GROUP BY t.day, s.start) GROUP BY day""")
+def grid_peak_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.grid_peak_share(V.trips(spark, sf_dir), ["day"], "dep").select("day", r6("peak_share").alias("peak_share"))
+
+
+@query("""SELECT day, round(max(c / n::DOUBLE), 6) AS peak_share FROM (SELECT a.day, a.pid, count(*) AS c, any_value(k.n) AS n FROM trips a JOIN trips b ON b.day = a.day AND b.dep >= a.dep AND b.dep < a.dep + 15
+  JOIN (SELECT day, count(*) AS n FROM trips GROUP BY day) k ON k.day = a.day GROUP BY a.day, a.pid) GROUP BY day""")
+def anchored_peak_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.anchored_peak_share(V.trips(spark, sf_dir), ["day"], "dep").select("day", r6("peak_share").alias("peak_share"))
+
+
+@query("""SELECT day, max(n) AS peak, arg_max(minute, n * 10000 - minute) AS peak_minute FROM (SELECT m.day, m.minute, count(*) AS n FROM (
+  SELECT DISTINCT day, unnest(range(ceil(dep)::BIGINT, ceil(dep + travel)::BIGINT)) AS minute FROM trips) m
+  JOIN trips t ON t.day = m.day AND t.dep <= m.minute AND m.minute < t.dep + t.travel GROUP BY m.day, m.minute) GROUP BY day""")
+def stabbing_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.trips(spark, sf_dir).withColumn("arrive", F.col("dep") + F.col("travel"))
+    return W.stabbing_peak(rows, ["day"], "dep", "arrive")
+
+
+@query("SELECT d.day, count(DISTINCT t.pid) AS seen FROM (SELECT DISTINCT day FROM trips) d JOIN trips t ON t.day <= d.day WHERE t.route = 'B' GROUP BY d.day")
+def cumulative_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.cumulative_distinct(V.trips(spark, sf_dir).where("route = 'B'"), "day", "pid").select("day", "seen")
+
+
+@query(""", prof AS (SELECT day, dep, max(travel) AS travel FROM trips GROUP BY day, dep), q AS (SELECT pid, day - 1 AS day, dep FROM trips WHERE day > 1),
+near AS (SELECT q.pid, q.day, q.dep, max(p.dep) FILTER (p.dep <= q.dep) AS lo, min(p.dep) FILTER (p.dep > q.dep) AS hi FROM q JOIN prof p ON p.day = q.day GROUP BY q.pid, q.day, q.dep)
+SELECT n.pid, n.day, round(CASE WHEN lo IS NULL THEN b.travel WHEN hi IS NULL THEN a.travel ELSE a.travel + (n.dep - lo) * (b.travel - a.travel) / (hi - lo) END, 6) AS tau
+FROM near n LEFT JOIN prof a ON a.day = n.day AND a.dep = lo LEFT JOIN prof b ON b.day = n.day AND b.dep = hi""")
+def yesterdays_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trips = V.trips(spark, sf_dir)
+    today = trips.where("day > 1").select("pid", (F.col("day") - 1).alias("day"), "dep")
+    out = W.interpolated_as_of(today, trips.select("day", "dep", "travel"), "day", "dep", "travel")
+    return out.select("pid", "day", r6("interpolated").alias("tau"))
+
+
+@query("""SELECT a.pid, a.day, round(sum(b.travel * pow(0.9, b.day - a.day)), 6) AS return_to_go FROM trips a JOIN trips b ON a.pid = b.pid AND b.day >= a.day GROUP BY a.pid, a.day""")
+def returns_to_go(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.returns_to_go(V.trips(spark, sf_dir), ["pid"], "day", "travel", 0.9).select("pid", "day", r6("return_to_go").alias("return_to_go"))
+
+
+@query("SELECT pid, day, CAST(dense_rank() OVER (PARTITION BY day ORDER BY travel DESC) AS INTEGER) AS delay_rank, count(*) OVER (PARTITION BY day, travel) AS ties FROM trips")
+def delay_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.dense_delay_rank(V.trips(spark, sf_dir), ["day"], "travel").select("pid", "day", "delay_rank", "ties")
+
+
+@query("SELECT pid, min(day) FILTER (ok) AS crossing FROM (SELECT pid, day, bool_and(travel > 9) AS ok FROM trips GROUP BY pid, day) GROUP BY pid")
+def first_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.first_crossing(V.trips(spark, sf_dir), ["pid"], "day", F.col("travel") > 9)
+
+
+@query(_Z + """SELECT pid, item_id, round(sum(z) OVER w / (1 + 0.25 * count(*) OVER w) * 0.25, 6) AS mean, round(1 / sqrt(1 + 0.25 * count(*) OVER w), 6) AS sd
+FROM z WINDOW w AS (PARTITION BY pid ORDER BY item_id ROWS UNBOUNDED PRECEDING)""")
+def sequential_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = S.standardized(V.main_round(spark, sf_dir), "item_id", "code")
+    return Q.gaussian_posterior(z, ["pid"], "item_id", "z", noise_sd=2.0).select("pid", "item_id", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type AS answer, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly.run_once(spark, sf_dir).select("hour", "answer", "n", r6("mean").alias("mean"))
+
+
+# functions
+
+
+@query("""SELECT normal, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents) GROUP BY normal HAVING count(*) > 1""")
+def duplicate_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
+    return docs.groupBy("normal").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("""SELECT conv_id, turn, len(w)::INTEGER AS n_words, list_has_any(w, ['often', 'sometimes', 'usually'])::INTEGER AS hedge, list_has_any(w, ['always', 'never', 'every'])::INTEGER AS absolute
+FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM conversations)""")
+def wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.wording_features(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
+
+
+@query("""SELECT pid, item_id, printf('%02d:%02d', floor(dep / 60)::INTEGER, round_even(dep - 60 * floor(dep / 60), 0)::INTEGER) AS clock,
+CASE WHEN abs(z) >= 1.2 THEN 'strong' WHEN abs(z) >= 0.5 THEN 'clear' WHEN abs(z) >= 0.15 THEN 'lean' ELSE 'neutral' END AS strength,
+'main-' || substr(sha256('main|7|' || pid), 1, 10) AS session FROM (SELECT pid, item_id, second / 60.0::DOUBLE AS dep, value / 50 - 1 AS z FROM main)""")
+def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.main_round(spark, sf_dir).select(
+        "pid",
+        "item_id",
+        T.clock(F.col("second") / 60.0).alias("clock"),
+        T.strength_bucket(F.col("value") / 50 - 1).alias("strength"),
+        T.session_id(F.col("pid"), F.lit("main"), 7).alias("session"),
+    )
+
+
+@query("""SELECT pid, item_id, round(u, 6) AS u, CASE WHEN u < least(0.5, 0.6 * exp(-value / 50)) THEN 4 - code ELSE code END AS noised FROM (
+SELECT *, ('0x' || substr(sha256(pid || ':' || item_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM main)""")
+def noised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers flipped to the other end of the scale, by reproducible hash draws."""
+    main = V.main_round(spark, sf_dir).withColumn("u", N.hash_uniform(F.col("pid"), F.col("item_id")))
+    p = N.flip_probability(F.lit(0.6), F.col("value"), 1.0, 1 / 50)
+    flipped = N.noised_answer(F.col("code"), 4 - F.col("code"), F.lit(None).cast("int"), F.col("u"), p)
+    return main.select("pid", "item_id", r6("u").alias("u"), flipped.alias("noised"))
+
+
+@query(None)
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of free texts, and why others have none; the tests hold the parser against planted replies."""
+    got = T.normalize_answer(F.col("text"), F.lit("likert5"))
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", got.alias("got")).select("conv_id", "turn", "got.*")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
