@@ -293,14 +293,19 @@ def unshared(sets: DataFrame, wanted: SegmentedBloom, n_buckets: int) -> DataFra
     return pieces.groupBy("bucket").applyInArrow(count, "key long, lone long").groupBy("key").agg(F.sum("lone").alias("lone"))
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then each v is the smallest node of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that edges (a, b) connect each node with.
 
-    Alternates large-star and small-star until nothing changes; every round is written out.
+    Alternates large-star and small-star until all components are stars; every round is written out.
     """
     current = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "jaccard-edges")
-    state = None
-    while True:
+    while not are_stars(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -308,10 +313,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "jaccard-small")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = now
+    return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def _labelled(table: DataFrame, labels: DataFrame | None, column: str, out: str) -> DataFrame:
@@ -332,12 +334,47 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return written(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), "jaccard-labels")
 
 
+def _linked(labels: DataFrame | None, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tuple[int, int]) -> DataFrame | None:
+    """Labels after the links among `pairs`; as they are where there is no pair."""
+    if pairs.isEmpty():
+        return labels
+    return _merged(labels, written(verified(pairs, sets, sizes, threshold), "jaccard-links"))
+
+
 def _of_several(table: DataFrame) -> DataFrame:
     """The rows whose sig is in more than one component."""
     several = table.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
     return table.join(several, "sig")
 
 
+def _all_pairs(labels: DataFrame | None, rest: DataFrame, best: DataFrame, left: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tuple[int, int], n_buckets: int) -> DataFrame | None:
+    """Labels after all links among the sets of `rest` that share a sig and are of different components."""
+    num, den = threshold
+    # shingles of no other set here bound each overlap; sets that can then link with nothing leave their segment
+    lone = written(unshared(sets, build_bloom(rest.select(F.col("key").alias("h")).distinct(), BLOOM_BYTES), n_buckets), "jaccard-lone")
+    cored = rest.join(lone, "key", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    least = cored.groupBy("sig").agg(F.min("n").alias("low"))
+    cored = cored.join(least, "sig").where((num + den) * F.col("core") >= num * (F.col("n") + F.col("low"))).drop("low")
+    rest = written(_of_several(cored), "jaccard-rest")
+    may_link = (num + den) * F.least("core", "other_core") >= num * (F.col("n") + F.col("m"))
+    other = {"key": "center", "label": "other", "n": "m", "core": "other_core"}
+    # first with the set that has fewest shingles for itself: most near copies of one text link with it
+    middle = rest.groupBy("sig").agg(F.min_by(F.struct("key", "label", "n", "core"), F.struct(F.col("n") - F.col("core"), "key")).alias("c"))
+    middle = middle.select("sig", *[F.col(f"c.{k}").alias(v) for k, v in other.items()])
+    central = rest.join(middle, "sig").where(may_link & (F.col("label") != F.col("other"))).select("key", "center").distinct()
+    central = central.join(best, ["key", "center"], "left_anti").join(left, ["key", "center"], "left_anti")
+    central = written(central, "jaccard-pairs")
+    labels = _linked(labels, central, sets, sizes, threshold)
+    rest = written(_of_several(_labelled(rest.drop("label"), labels, "key", "label")), "jaccard-rest")
+    if rest.isEmpty():
+        return labels
+    right = rest.select("sig", *[F.col(k).alias(v) for k, v in other.items()])
+    pairs = rest.join(right, "sig").where((F.col("key") > F.col("center")) & (F.col("label") != F.col("other")) & may_link).select("key", "center").distinct()
+    for done in (best, left, central, central.select(F.col("center").alias("key"), F.col("key").alias("center"))):
+        pairs = pairs.join(done, ["key", "center"], "left_anti")
+    return _linked(labels, written(pairs, "jaccard-pairs"), sets, sizes, threshold)
+
+
 def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
     id_type = dict(docs.dtypes)[id_col]
@@ -360,36 +397,16 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     stars = written(members.where("key <> center").groupBy("key", "center").agg(F.count("*").alias("shared")), "jaccard-stars")
     best = stars.groupBy("key").agg(F.max(F.struct("shared", "center")).alias("best")).select("key", F.col("best.center").alias("center"))
     best = written(best, "jaccard-pairs")
-    labels = _merged(None, written(verified(best, sets, sizes, threshold), "jaccard-links"))
+    labels = _linked(None, best, sets, sizes, threshold)
     # 2: with its other centers, where these are of another component
     left = stars.select("key", "center").join(best, ["key", "center"], "left_anti")
     left = written(_labelled(_labelled(left, labels, "key", "a"), labels, "center", "b").where("a <> b").select("key", "center"), "jaccard-pairs")
-    labels = _merged(labels, written(verified(left, sets, sizes, threshold), "jaccard-links"))
+    labels = _linked(labels, left, sets, sizes, threshold)
     # 3: all pairs of different components that share a segment and were not compared
-    num, den = threshold
     labelled = _labelled(members.select("sig", "key").distinct(), labels, "key", "label")
     rest = written(_of_several(labelled).join(sizes, "key"), "jaccard-rest")
-    # shingles of no other set here bound each overlap; sets that can then link with nothing leave their segment
-    lone = written(unshared(sets, build_bloom(rest.select(F.col("key").alias("h")).distinct(), BLOOM_BYTES), n_buckets), "jaccard-lone")
-    cored = rest.join(lone, "key", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-    least = cored.groupBy("sig").agg(F.min("n").alias("low"))
-    cored = cored.join(least, "sig").where((num + den) * F.col("core") >= num * (F.col("n") + F.col("low"))).drop("low")
-    rest = written(_of_several(cored), "jaccard-rest")
-    may_link = (num + den) * F.least("core", "other_core") >= num * (F.col("n") + F.col("m"))
-    other = {"key": "center", "label": "other", "n": "m", "core": "other_core"}
-    # first with the set that has fewest shingles for itself: most near copies of one text link with it
-    middle = rest.groupBy("sig").agg(F.min_by(F.struct("key", "label", "n", "core"), F.struct(F.col("n") - F.col("core"), "key")).alias("c"))
-    middle = middle.select("sig", *[F.col(f"c.{k}").alias(v) for k, v in other.items()])
-    central = rest.join(middle, "sig").where(may_link & (F.col("label") != F.col("other"))).select("key", "center").distinct()
-    central = central.join(best, ["key", "center"], "left_anti").join(left, ["key", "center"], "left_anti")
-    central = written(central, "jaccard-pairs")
-    labels = _merged(labels, written(verified(central, sets, sizes, threshold), "jaccard-links"))
-    rest = written(_of_several(_labelled(rest.drop("label"), labels, "key", "label")), "jaccard-rest")
-    right = rest.select("sig", *[F.col(k).alias(v) for k, v in other.items()])
-    pairs = rest.join(right, "sig").where((F.col("key") > F.col("center")) & (F.col("label") != F.col("other")) & may_link).select("key", "center").distinct()
-    for done in (best, left, central, central.select(F.col("center").alias("key"), F.col("key").alias("center"))):
-        pairs = pairs.join(done, ["key", "center"], "left_anti")
-    labels = _merged(labels, written(verified(written(pairs, "jaccard-pairs"), sets, sizes, threshold), "jaccard-links"))
+    if not rest.isEmpty():
+        labels = _all_pairs(labels, rest, best, left, sets, sizes, threshold, n_buckets)
 
     named = _labelled(by_key.select("key", "first_id"), labels, "key", "label")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component"))
