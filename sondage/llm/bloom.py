@@ -58,6 +58,56 @@ class SegmentedBloom:
         return out
 
 
+class SizedBloom:
+    """A filter whose segments each have the size that their own keys ask for; a segment without keys has no bits."""
+
+    LEAST_BITS = 1024
+
+    def __init__(self, n_segments: int, n_probes: int):
+        """`n_segments` is a power of two."""
+        self.n_segments, self.n_probes = n_segments, n_probes
+        self.shift = 64 - (n_segments.bit_length() - 1)
+        self.load({})
+
+    def segment(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(self.shift)).astype(np.int64) if self.n_segments > 1 else np.zeros(len(h), np.int64)
+
+    def load(self, segments: dict[int, bytes]) -> None:
+        """Hold these segments and no others."""
+        self.starts, self.sizes = np.zeros(self.n_segments, np.int64), np.zeros(self.n_segments, np.uint64)
+        at, parts = 8, [b"\0"]  # the first byte is that of all segments without bits
+        for i, data in segments.items():
+            self.starts[i], self.sizes[i] = at, 8 * len(data)
+            at += 8 * len(data)
+            parts.append(data)
+        self.bits = np.frombuffer(b"".join(parts), np.uint8)
+
+    def _places(self, h: np.ndarray, level: int, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        a = mixed(h, np.full(1, level, np.uint64))
+        b = (a >> np.uint64(32)) | np.uint64(1)
+        for i in range(self.n_probes):
+            with np.errstate(over="ignore"):
+                yield ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * sizes) >> np.uint64(32)).astype(np.int64)
+
+    def segment_bytes(self, n_bits: int, keys: Iterable[tuple[np.ndarray, int]]) -> bytes:
+        """One segment's bits, `n_bits` or a few more, from (hashes, level) pairs."""
+        flags = np.zeros((max(n_bits, self.LEAST_BITS) + 7) // 8 * 8, bool)
+        for h, level in keys:
+            for places in self._places(h, level, np.full(1, len(flags), np.uint64)):
+                flags[places] = True
+        return np.packbits(flags, bitorder="little").tobytes()
+
+    def contains(self, h: np.ndarray, level: int = 0) -> np.ndarray:
+        out, segments = np.ones(len(h), bool), self.segment(h)
+        left, start = np.arange(len(h)), self.starts[segments]
+        for places in self._places(h, level, self.sizes[segments]):
+            at = start[left] + places[left]
+            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            out[left[~hit]] = False
+            left = left[hit]
+        return out
+
+
 def build_bloom(hashes: DataFrame, n_bytes: int, *, n_segments: int = 64, n_probes: int = 4) -> SegmentedBloom:
     """A filter of the column `h` (long) of `hashes`. Each segment needs n_bytes / n_segments of memory."""
     bloom = SegmentedBloom(n_bytes, n_segments, n_probes)

@@ -2,15 +2,16 @@
 
 Counts of n-grams are quantised to powers of two; a Bloom filter holds each n-gram once for every
 level up to its own, so that membership probes at rising levels, until the first miss, give its
-quantised count back. The filter has a fixed size and is broadcast. Probabilities are smoothed from
-order to order: p(w | h) = (c(h w) + mu * p(w | shorter h)) / (c(h) + mu), down to an
-add-one estimate of single tokens; mu is chosen by leave-one-out over a bounded sample.
+quantised count back. Probabilities are smoothed from order to order: p(w | h) = (c(h w) + mu * p(w | shorter h)) / (c(h) + mu), down to an
+add-one estimate of single tokens, which is at most 1; mu is chosen by leave-one-out over a bounded sample.
 
 Counts are of all training rows. They leave the map side as one packed block for each segment of the
 hash space, so no key is hot and each segment is counted, quantised and turned to bits by one group.
-The number of segments follows the input. The filter does not: at `filter_bytes` its share of false
-hits rises with the corpus (`LanguageModel.false_hits` has it), which flattens the scores towards the add-one
-base and never loses a count.
+The number of segments follows the input, and each segment has BITS_AN_ENTRY for each n-gram and level that was
+counted in it, so the share of false hits (`LanguageModel.false_hits`) is the same at any size. A filter of
+`filter_bytes` or less is broadcast. A larger one stays in the shared folder: texts are cut into blocks, the distinct
+n-grams of a block are probed where their segments are, and the levels return to the block. Both ways
+probe the same bits and give the same scores.
 
 The base score is exact. Words that are frequent enough to be among `HEAD_WORDS` are broadcast;
 the others, each rare, are joined.
@@ -34,16 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, mixed, written
-from .bloom import SegmentedBloom
+from .bloom import SizedBloom
 
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 FILTER_BYTES = 1 << 26
+BITS_AN_ENTRY = 13
 HEAD_WORDS = 400_000
 SAMPLE_DOCS = 400
 MU_GRID = (3.0, 30.0, 300.0, 3_000.0, 30_000.0, 300_000.0)
 ORDER = 2
 _TOKENS_A_BLOCK = 2_000_000
 _TOKENS_A_GROUP = 300_000
+_TOKENS_A_PROBE_BLOCK = 1_000_000
 _TOKENS_A_SEGMENT = 2_000_000
 _DROPPED_BITS = np.uint64(16)  # grams are told apart by their upper 48 bits
 
@@ -148,8 +151,8 @@ def level_counts(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * low - 0.5, 0.0)
 
 
-def merged_counts(blocks: DataFrame, shape: SegmentedBloom) -> DataFrame:
-    """One group a segment merges its blocks: exact counts as (word, n) rows, and the segment's bits as a row.
+def merged_counts(blocks: DataFrame, shape: SizedBloom) -> DataFrame:
+    """One group a segment merges its blocks: exact counts as (word, n) rows, and the segment's bits as a row, n being those set.
 
     Each n-gram is held at the levels 1 to its own.
     """
@@ -163,10 +166,11 @@ def merged_counts(blocks: DataFrame, shape: SegmentedBloom) -> DataFrame:
         parts.clear()
         kept = [(_key(words[0]), quantised(words[1])), (grams[0] << _DROPPED_BITS, quantised(grams[1]))]
         most = max(int(level.max(initial=0)) for _, level in kept)
-        data = shape.segment_bytes((h[level >= i], i) for h, level in kept for i in range(1, most + 1))
+        n_bits = BITS_AN_ENTRY * sum(int(level.sum()) for _, level in kept)
+        data = shape.segment_bytes(n_bits, ((h[level >= i], i) for h, level in kept for i in range(1, most + 1)))
         names, segment = ["segment", "bits", "word", "n"], [key[0].as_py()]
-        none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array([data], pa.binary()), none, none], names)
+        filled = int(np.bitwise_count(np.frombuffer(data, np.uint8)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.array([filled], pa.int64())], names)
         for i in range(0, len(words[0]), 100_000):
             h, n = words[0][i : i + 100_000], words[1][i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names)
@@ -174,39 +178,49 @@ def merged_counts(blocks: DataFrame, shape: SegmentedBloom) -> DataFrame:
     return blocks.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, n long")
 
 
-def probe_counts(bloom: SegmentedBloom, h: np.ndarray) -> np.ndarray:
-    """Counts as the filter has them: probes at rising levels until the first miss."""
+def probe_levels(bloom: SizedBloom, h: np.ndarray) -> np.ndarray:
+    """Levels as the filter has them: probes at rising levels until the first miss."""
     levels, left, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
     while len(left) and level < 64:
         left = left[bloom.contains(h[left], level)]
         levels[left] = level
         level += 1
-    return level_counts(levels)
+    return levels
+
+
+def distinct_grams(tokens: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams of some texts, sorted, and for each order which of them end at the tokens that have one."""
+    inside = [_key(g[place >= m]) for m, g in enumerate(gram_hashes(tokens, order))]
+    distinct, which = np.unique(np.concatenate(inside), return_inverse=True)
+    return distinct, np.split(which, np.cumsum([len(x) for x in inside])[:-1])
+
+
+def spread_counts(levels: np.ndarray, which: list[np.ndarray], place: np.ndarray) -> list[np.ndarray]:
+    """Quantised counts of the 1-grams, 2-grams, ... that end at each token, from the levels of the distinct ones."""
+    counts, out = level_counts(levels), []
+    for m, w in enumerate(which):
+        out.append(np.zeros(len(place)))
+        out[m][place >= m] = counts[w]
+    return out
 
 
 @dataclass
 class Scorer:
-    """What a worker needs: the filter and the totals."""
+    """What a worker needs: the totals, and the filter if it is small enough to be broadcast."""
 
-    bloom: SegmentedBloom
+    bloom: SizedBloom | None
     order: int
     tokens: int
     vocabulary: int
 
     def counts(self, tokens: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """Quantised counts of the 1-grams, 2-grams, ... that end at each token; each distinct one is probed once."""
-        out = []
-        for m, grams in enumerate(gram_hashes(tokens, self.order)):
-            inside = np.flatnonzero(place >= m)
-            distinct, which = np.unique(_key(grams[inside]), return_inverse=True)
-            counts = np.zeros(len(tokens))
-            counts[inside] = probe_counts(self.bloom, distinct)[which]
-            out.append(counts)
-        return out
+        distinct, which = distinct_grams(tokens, place, self.order)
+        return spread_counts(probe_levels(self.bloom, distinct), which, place)
 
     def log10(self, counts: list[np.ndarray], place: np.ndarray, mu: float, less: float = 0.0) -> np.ndarray:
         """log10 probability of each token, 0 of begins. `less` comes off every count, for leave-one-out."""
-        p = (np.maximum(counts[0] - less, 0) + 1) / max(self.tokens + self.vocabulary + 1 - less, 1)
+        p = np.minimum((np.maximum(counts[0] - less, 0) + 1) / max(self.tokens + self.vocabulary + 1 - less, 1), 1.0)
         for m in range(1, self.order):
             c, h = np.maximum(counts[m] - less, 0), np.maximum(np.roll(counts[m - 1], 1) - less, 0)
             p = np.where(place >= m, (np.minimum(c, h) + mu * p) / (h + mu), p)
@@ -215,6 +229,61 @@ class Scorer:
         return out
 
 
+def probe_rows(block: int, tokens: np.ndarray, place: np.ndarray, shape: SizedBloom, order: int, pack: zstandard.ZstdCompressor) -> list[tuple[int, int, bytes]]:
+    """(block, segment, data): the distinct n-grams by segment; under the segment -1 the tokens, as places in a list by frequency."""
+    words, which, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    order_of_words = np.argsort(-n, kind="stable")
+    ranks = np.empty(len(words), "<u4")
+    ranks[order_of_words] = np.arange(len(words))
+    sizes = np.diff(np.append(np.flatnonzero(place == 0), len(tokens)))
+    raw = sizes.astype("<u4").tobytes() + words[order_of_words].tobytes() + ranks[which].view(np.uint8).reshape(-1, 4).T.tobytes()
+    rows = [(block, -1, len(sizes).to_bytes(8, "little") + len(words).to_bytes(8, "little") + pack.compress(raw))]
+    distinct, _ = distinct_grams(tokens, place, order)
+    segments = shape.segment(distinct)
+    starts = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(distinct)], strict=True):
+        rows.append((block, int(segments[a]), _pack(distinct[a:b] >> _DROPPED_BITS, np.zeros(b - a, np.int64), pack)))
+    return rows
+
+
+def probed_levels(probes: DataFrame, bits: DataFrame, shape: SizedBloom) -> DataFrame:
+    """(block, segment, data): the level of each n-gram of the rows of `probes`, one byte each.
+
+    A group holds a segment and its probes; there are as many segments as the input asks for, so both stay small.
+    """
+
+    def run(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, pack, asked, segment = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), [], key[0].as_py()
+        own = SizedBloom(shape.n_segments, shape.n_probes)
+        for g in groups:
+            for block, data in zip(g.column("block").to_pylist(), g.column("data").to_pylist(), strict=True):
+                if block is None:
+                    own.load({segment: data})
+                else:
+                    asked.append((block, data))
+        for block, data in asked:
+            levels = probe_levels(own, _unpack(data, unpack)[0] << _DROPPED_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([segment], pa.int32()), pa.array([pack.compress(levels.astype(np.uint8).tobytes())], pa.binary())], ["block", "segment", "data"])
+
+    both = probes.select("block", "segment", "data").unionByName(bits.select(F.lit(None).cast("long").alias("block"), "segment", F.col("bits").alias("data")))
+    return both.groupBy("segment").applyInArrow(run, "block long, segment int, data binary")
+
+
+def block_counts(groups: Iterator[pa.RecordBatch], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Counts and places of a block's tokens, from its row -1 and the levels of all its segments."""
+    unpack = zstandard.ZstdDecompressor()
+    rows = sorted((s, x) for g in groups for s, x in zip(g.column("segment").to_pylist(), g.column("data").to_pylist(), strict=True))
+    first = rows[0][1]
+    n_texts, n_words, raw = int.from_bytes(first[:8], "little"), int.from_bytes(first[8:16], "little"), unpack.decompress(first[16:])
+    sizes = np.frombuffer(raw, "<u4", n_texts).astype(np.int64)
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    ranks = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 * n_texts + 8 * n_words).reshape(4, -1).T).view("<u4").ravel()
+    _, which = distinct_grams(np.frombuffer(raw, np.uint64, n_words, 4 * n_texts)[ranks], place, order)
+    levels = np.concatenate([np.frombuffer(unpack.decompress(x), np.uint8) for _, x in rows[1:]])
+    return spread_counts(levels.astype(np.int64), which, place), place
+
+
 @dataclass
 class LanguageModel:
     scorer: Scorer
@@ -223,12 +292,14 @@ class LanguageModel:
     words: DataFrame  # (word, n): exact counts
     head: tuple[np.ndarray, np.ndarray]  # sorted hashes and counts of the frequent words
 
+    shape: SizedBloom  # without bits
+    bits: DataFrame  # (segment, bits, n): the filter, n being the bits set
+
     @property
     def false_hits(self) -> float:
         """Share of absent n-grams that the filter takes for seen ones."""
-        bloom = self.scorer.bloom
-        filled = np.unpackbits(bloom.bits[: 1 << 20]).mean()
-        return float(filled**bloom.n_probes)
+        hit = F.pow(F.col("n") / (8.0 * F.octet_length("bits")), float(self.shape.n_probes))
+        return self.bits.agg(F.sum(hit)).first()[0] / self.shape.n_segments if not self.bits.isEmpty() else 0.0
 
 
 def _head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,23 +319,26 @@ def _head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _groups(texts: list[str | None], hashes: WordHashes) -> Iterator[list[np.ndarray]]:
-    """Word hashes of whole texts, in groups of about _TOKENS_A_GROUP tokens."""
+def _groups(texts: list[str | None], hashes: WordHashes, most: int = _TOKENS_A_GROUP) -> Iterator[list[np.ndarray]]:
+    """Word hashes of whole texts, in groups of about `most` tokens."""
     held, size = [], 0
     for text in texts:
         held.append(hashes.of(text))
         size += len(held[-1])
-        if size > _TOKENS_A_GROUP:
+        if size > most:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def _choose_mu(texts: DataFrame, total: int, shared: Broadcast) -> float:
+def _choose_mu(texts: DataFrame, total: int, shared: Broadcast, shape: SizedBloom, bits: DataFrame) -> float:
     """The mu of the grid with the highest leave-one-out likelihood over about SAMPLE_DOCS documents."""
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE_DOCS / max(total, 1))) + 1)
 
+    def result(out: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(len(MU_GRID)), pa.int32()), pa.array(out)], ["i", "s"])
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out = WordHashes(), np.zeros(len(MU_GRID))
         for batch in batches:
@@ -272,34 +346,50 @@ def _choose_mu(texts: DataFrame, total: int, shared: Broadcast) -> float:
                 tokens, place = flat_tokens(words)
                 counts = shared.value.counts(tokens, place)
                 out += [shared.value.log10(counts, place, mu, 1.0).sum() for mu in MU_GRID]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(MU_GRID)), pa.int32()), pa.array(out)], ["i", "s"])
+        yield result(out)
 
-    found = sample.mapInArrow(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, pack, block = WordHashes(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for words in _groups(batch.column("text").to_pylist(), hashes, _TOKENS_A_PROBE_BLOCK):
+                cols = list(zip(*probe_rows(block, *flat_tokens(words), shape, shared.value.order, pack), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "segment", "data"])
+                block += len(words)
+
+    def block_sums(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, place = block_counts(groups, shared.value.order)
+        yield result(np.array([shared.value.log10(counts, place, mu, 1.0).sum() for mu in MU_GRID]))
+
+    if shared.value.bloom is not None:
+        each = sample.mapInArrow(sums, "i int, s double")
+    else:
+        rows = written(sample.mapInArrow(probes, "block long, segment int, data binary"), "lm-mu-probes")
+        answers = probed_levels(rows.where("segment >= 0"), bits, shape)
+        each = rows.where("segment = -1").unionByName(answers).groupBy("block").applyInArrow(block_sums, "i int, s double")
+    found = each.groupBy("i").agg(F.sum("s").alias("s")).collect()
     return MU_GRID[max(found, key=lambda r: (r["s"], -r["i"]))["i"]] if found else MU_GRID[-1]
 
 
 def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES, n_probes: int = 3, head_words: int = HEAD_WORDS) -> LanguageModel:
-    """Count all rows of `docs` and build the model. The filter has `filter_bytes` at most."""
+    """Count all rows of `docs` and build the model. A filter of more than `filter_bytes` is not broadcast but joined."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    n_bytes = 1 << 16
-    while n_bytes < min(filter_bytes, 0.3 * size["bytes"] * (order - 0.5)):
-        n_bytes *= 2
     n_segments = 64
-    while n_segments * _TOKENS_A_SEGMENT < size["bytes"] * order // 5 and n_segments * 128 < n_bytes:
+    while n_segments * _TOKENS_A_SEGMENT < size["bytes"] * order // 5:
         n_segments *= 2
-    shape = SegmentedBloom(n_bytes, n_segments, n_probes)
-    bits, shape.bits = shape.bits, np.empty(0, np.uint8)
+    shape = SizedBloom(n_segments, n_probes)
     merged = written(merged_counts(count_blocks(texts, order, n_segments), shape), "lm-counts")
-    words = merged.where("word IS NOT NULL").select("word", "n")
+    words, bits = merged.where("word IS NOT NULL").select("word", "n"), merged.where("word IS NULL").select("segment", "bits", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("vocabulary")).first()
-    shape.bits = bits
-    for row in merged.where("word IS NULL").select("segment", "bits").toLocalIterator():  # n_bytes in all
-        shape.fill(row["segment"], row["bits"])
-    scorer = Scorer(shape, order, totals["tokens"], totals["vocabulary"])
+    bloom = None
+    if bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= filter_bytes:
+        bloom = SizedBloom(n_segments, n_probes)
+        bloom.load({row["segment"]: row["bits"] for row in bits.select("segment", "bits").toLocalIterator()})  # filter_bytes at most
+    scorer = Scorer(bloom, order, totals["tokens"], totals["vocabulary"])
     shared = spark.sparkContext.broadcast(scorer)
-    return LanguageModel(scorer, shared, _choose_mu(texts, size["rows"], shared), words, _head(words, head_words))
+    mu = _choose_mu(texts, size["rows"], shared, shape, bits)
+    return LanguageModel(scorer, shared, mu, words, _head(words, head_words), shape, bits)
 
 
 def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,17 +398,26 @@ def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: st
     shared, frequent, mu = model.shared, spark.sparkContext.broadcast(model.head), model.mu
     train_tokens, vocabulary = model.scorer.tokens, model.scorer.vocabulary
     texts = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = ["row", "doc_id", "held_out", "n_tokens", "head_log", "head_known", "score", "tail"]
+    shape, joined = model.shape, model.scorer.bloom is None
+    names = ["row", "doc_id", "held_out", "n_tokens", "head_log", "head_known", "score", "tail", "block", "segment", "data"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, (head, head_counts) = shared.value, frequent.value
         hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             start = 0
-            for words in _groups(batch.column("text").to_pylist(), hashes):
+            kinds = {"doc_id": batch.schema.field("doc_id").type, "held_out": pa.bool_(), "head_log": pa.float64(), "score": pa.float64(), "tail": pa.list_(pa.int64()), "segment": pa.int32(), "data": pa.binary()}
+            for words in _groups(batch.column("text").to_pylist(), hashes, _TOKENS_A_PROBE_BLOCK if joined else _TOKENS_A_GROUP):
                 tokens, place = flat_tokens(words)
                 first = np.flatnonzero(place == 0)
-                score = np.add.reduceat(scorer.log10(scorer.counts(tokens, place), place, mu), first)
+                if joined:
+                    score = pa.nulls(len(words), pa.float64())
+                    asked = list(zip(*probe_rows(row, tokens, place, shape, scorer.order, pack), strict=True))
+                    asked = {"block": pa.array(asked[0], pa.int64()), "segment": pa.array(asked[1], pa.int32()), "data": pa.array(asked[2], pa.binary())}
+                    yield pa.RecordBatch.from_arrays([asked[c] if c in asked else pa.nulls(len(asked["block"]), kinds.get(c, pa.int64())) for c in names], names)
+                else:
+                    score = pa.array(np.add.reduceat(scorer.log10(scorer.counts(tokens, place), place, mu), first))
                 distinct, which = np.unique(tokens, return_inverse=True)
                 at = np.minimum(np.searchsorted(head, distinct), max(len(head) - 1, 0))
                 known = head[at] == distinct if len(head) else np.zeros(len(distinct), bool)
@@ -332,14 +431,27 @@ def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: st
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(len(words)) + row, pa.int64()), part["doc_id"], part["held_out"], pa.array([len(w) + 1 for w in words], pa.int64()),
-                        pa.array(np.add.reduceat(np.where(seen, logs[which], 0.0), first)), pa.array(np.add.reduceat(seen, first, dtype=np.int64)), pa.array(score), tail,
+                        pa.array(np.add.reduceat(np.where(seen, logs[which], 0.0), first)), pa.array(np.add.reduceat(seen, first, dtype=np.int64)), score, tail,
+                        *[pa.nulls(len(words), kinds.get(c, pa.int64())) for c in names[8:]],
                     ],
                     names,
                 )
                 start += len(words)
                 row += len(words)
 
-    head = written(texts.mapInArrow(scored, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, head_log double, head_known long, score double, tail array<long>"), "lm-scored")
+    def block_scores(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, place = block_counts(groups, shared.value.order)
+        sums = np.add.reduceat(shared.value.log10(counts, place, mu), np.flatnonzero(place == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)) + key[0].as_py()), pa.array(sums)], ["row", "score"])  # a block has the number of its first row
+
+    schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, head_log double, head_known long, score double, tail array<long>, block long, segment int, data binary"
+    table = written(texts.mapInArrow(scored, schema), "lm-scored")
+    head = table.where("row IS NOT NULL").select(*names[:8])
+    if joined:
+        probes = table.where("row IS NULL").select("block", "segment", "data")
+        answers = probed_levels(probes.where("segment >= 0"), model.bits, shape)
+        scores = probes.where("segment = -1").unionByName(answers).groupBy("block").applyInArrow(block_scores, "row long, score double")
+        head = head.drop("score").join(scores, "row")
     tail = head.select("row", F.explode("tail").alias("word")).join(model.words, "word")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("tail_log"), F.count("*").alias("tail_known"))
     each = math.log10(train_tokens + vocabulary + 1)

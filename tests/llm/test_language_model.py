@@ -71,3 +71,29 @@ def test_empty_tables(spark):
     assert lm.score(docs, model, F.lit(False)).count() == 0
     one = spark.createDataFrame([(None, None), (5, "x y")], "doc_id long, text string")
     assert sorted(r.base_score for r in lm.score(one, model, F.lit(False)).collect()) == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("head", [50, 10_000])
+def test_filter_above_the_broadcast_bound_gives_the_same_scores(spark, head):
+    docs = spark.read.parquet(SF).select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, "")], "doc_id long, text string")).repartition(3)
+    held = lm.is_fold("doc_id", 7, 2)
+    small = lm.train(docs.where(~held), head_words=head)
+    joined = lm.train(docs.where(~held), filter_bytes=1 << 10, head_words=head)
+    assert small.scorer.bloom is not None and joined.scorer.bloom is None
+    assert joined.mu == small.mu
+    assert joined.false_hits == small.false_hits < 0.01
+    expected, got = ({r.doc_id: r for r in lm.score(docs, m, held).collect()} for m in (small, joined))
+    assert len(got) == len(expected) == docs.count()
+    for i, r in expected.items():
+        assert tuple(got[i])[:5] == tuple(r)[:5]
+        assert tuple(got[i])[5:] == pytest.approx(tuple(r)[5:], rel=1e-9)
+
+
+def test_probability_is_at_most_one(spark):
+    docs = spark.createDataFrame([(1, "a " * 1024)], "doc_id long, text string")
+    model = lm.train(docs)
+    scored = spark.createDataFrame([(1, "a"), (2, "a a")], "doc_id long, text string")
+    assert all(r.score <= 0 for r in lm.score(scored, model, F.lit(False)).collect())
+    tokens, place = lm.flat_tokens([lm.WordHashes().of("a a")])
+    counts = model.scorer.counts(tokens, place)
+    assert all((model.scorer.log10(counts, place, mu) <= 0).all() for mu in lm.MU_GRID)
