@@ -15,6 +15,8 @@ from sondage.llm._common import written
 from sondage.llm.registry import TOKENIZER_DIR, table
 
 MIN_SCORE = 0.3
+#: Near copies: sets of five-word shingles at a Jaccard similarity of 0.8 or more.
+NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_join.join_documents(numbered.select("__row", "text"), id_col="__row")
+    groups = jaccard_join.join_documents(numbered.select("__row", "text"), id_col="__row", size=NEAR_WORDS, threshold=NEAR_THRESHOLD)
     surplus = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
     return numbered.join(surplus, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
