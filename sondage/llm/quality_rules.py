@@ -3,13 +3,13 @@
 Each rule votes good (1), bad (0) or abstains (-1) on a document. Expectation-maximisation over
 the counts of vote patterns estimates how often each rule casts each vote on good and on bad
 documents; a document's posterior quality then decides, instead of all rules having to pass.
-Documents that fail the base rules are never kept.
+`base_failed` tells which documents fail the base rules; only the query op7 keeps none of these.
 
 The pattern table has at most 3 ** len(RULES) rows whatever the input, so the iterations
 cost the same at any size. Documents are read once: their slim statistics are written to the shared
 folder and read again for the verdict.
 
-Defined results: null and empty texts have no words, fail the base rules and are not kept; ties
+Defined results: null and empty texts, and others without words, fail the base rules and are not kept; ties
 cannot occur as every document is judged alone; repeated rows get equal results; an empty table
 gives an empty result. `keep` columns named like an output are replaced by the output.
 """
@@ -165,7 +165,7 @@ def fit_votes(patterns: DataFrame, names: list[str], rounds: int = MAX_ROUNDS) -
 
 
 def judge_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
-    """The `keep` columns (all, if None), BASE, one vote_<rule> each, posterior, base_failed and kept."""
+    """The `keep` columns (all, if None), BASE, one vote_<rule> each, posterior, base_failed and kept: whether there are words and the posterior reaches `threshold`."""
     rules = rules or RULES
     names = [f"vote_{r.name}" for r in rules]
     columns = docs.columns if keep is None else keep
@@ -176,4 +176,4 @@ def judge_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str]
     patterns = written(slim.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
     model = fit_votes(patterns, names)
     judged = slim.withColumn("posterior", model.posterior([F.col(n) for n in names])).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return judged.withColumn("kept", (F.col("n_words") > 0) & (F.col("posterior") >= threshold))

@@ -63,7 +63,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"), "posterior")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

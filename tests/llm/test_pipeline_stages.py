@@ -1,6 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
+from sondage.llm import registry
 from tests.llm.test_jaccard_join import brute, near_copies
 
 
@@ -17,3 +18,28 @@ def test_cut_copy_between_the_two_thresholds_goes(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:86]))]  # 82 of 100 shingles
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 1
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_rules_stage_keeps_clean_short_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = {r.doc_id: len((r.text or "").split()) for r in docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("quality = 1").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.keep_by_rules(spark, docs, SF).collect()}
+    short = [i for i, n in clean.items() if n < 50]
+    assert len(short) > 5
+    assert sum(i in kept for i in short) >= 0.9 * len(short)
+    assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+
+
+def test_rules_stage_drops_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string")
+    assert corpus_pipeline.keep_by_rules(spark, docs, SF).count() == 0
+
+
+def test_op7_keeps_no_document_that_fails_the_base_rules(spark):
+    rows = registry.op7_quality_rules(spark, SF).collect()
+    for r in rows:
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.base_failed, r.kept) == (failed, not failed and r.posterior >= 0.5)
