@@ -13,7 +13,9 @@ and the counts are summed for each pair.
 Copies of a set are one set from the first step on. Of the sets that share a segment, each is first
 compared with the smallest key only, then what these links have already connected is not compared again, and
 all other pairs are: no link between components is lost, and a group of near copies costs as many
-comparisons as it has members, not their square. Sets that meet within one map task leave it
+comparisons as it has members, not their square. This is `join_documents`, whose result is the components.
+`link_documents` compares all candidate pairs and gives every link between two different sets and each document's set;
+its work grows with the pairs that share a segment. Sets that meet within one map task leave it
 as one row, so a hot segment does not gather in one task.
 
 Defined results: texts without words, or null, have an empty set and link with nothing; null ids
@@ -25,6 +27,7 @@ theirs; at a billion different sets one false match is expected with a chance of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -375,8 +378,19 @@ def _all_pairs(labels: DataFrame | None, rest: DataFrame, best: DataFrame, left:
     return _linked(labels, written(pairs, "jaccard-pairs"), sets, sizes, threshold)
 
 
-def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs`."""
+@dataclass
+class Met:
+    """What both joins start from."""
+
+    documents: DataFrame  # (doc_id, n, key) of every row
+    members: DataFrame  # (sig, key, center): sets that share a segment with another
+    sets: DataFrame  # (key, fragment, segment) of these
+    by_key: DataFrame  # (key, first_id, n) of all sets that are not empty
+    sizes: DataFrame  # (key, n) of the sets of `members`
+    n_buckets: int
+
+
+def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> Met:
     id_type = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -391,7 +405,28 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = written(candidate_sets(texts.select("text"), wanted, size), "jaccard-sets")
     by_key = documents.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     sizes = by_key.join(members.select("key").distinct(), "key", "left_semi").select("key", "n")
-    sizes = written(sizes, "jaccard-sizes")
+    return Met(documents, members, sets, by_key, written(sizes, "jaccard-sizes"), n_buckets)
+
+
+def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All links (key, center) between two different sets, each once with key > center, and (doc_id, n_shingles, key) of every row.
+
+    Documents of one key are copies of each other; a row with n_shingles = 0 links with nothing.
+    """
+    met = _met(docs, id_col, text_col, size, threshold)
+    num, den = threshold
+    rows = met.members.select("sig", "key").distinct().join(met.sizes, "key")
+    other = rows.select("sig", F.col("key").alias("center"), F.col("n").alias("m"))
+    may_link = (num + den) * F.least("n", "m") >= num * (F.col("n") + F.col("m"))
+    pairs = rows.join(other, "sig").where((F.col("key") > F.col("center")) & may_link).select("key", "center").distinct()
+    links = written(verified(written(pairs, "jaccard-pairs"), met.sets, met.sizes, threshold), "jaccard-links")
+    return links, met.documents.select("doc_id", F.col("n").alias("n_shingles"), "key")
+
+
+def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of `docs`. Links within a component are not all looked for."""
+    met = _met(docs, id_col, text_col, size, threshold)
+    documents, members, sets, by_key, sizes, n_buckets = met.documents, met.members, met.sets, met.by_key, met.sizes, met.n_buckets
 
     # 1: each set with the center that it shares most segments with
     stars = written(members.where("key <> center").groupBy("key", "center").agg(F.count("*").alias("shared")), "jaccard-stars")

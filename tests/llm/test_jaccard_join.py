@@ -117,3 +117,27 @@ def test_linked_sets_share_a_signature(threshold):
         sx, sy = (classes.signatures(np.array(sorted(s), np.uint64)) for s in (x, y))
         assert set(sx.tolist()) & set(sy.tolist())
     assert tried > 50
+
+
+@pytest.mark.parametrize("size, num", [(4, 85), (5, 80)])
+def test_all_links_between_different_sets(spark, size, num):
+    rng = np.random.default_rng(6)
+    rows = list(enumerate([None, "", "A b", "a B", *near_copies(rng)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links, membership = jj.link_documents(docs, size=size, threshold=(num, 100))
+    members = membership.collect()
+    sets = {}
+    for i, text in rows:
+        w = word_list(text)
+        sets[i] = frozenset(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+    assert sorted((r.doc_id, r.n_shingles) for r in members) == sorted((i, len(s)) for i, s in sets.items())
+    by_key = defaultdict(set)
+    for r in members:
+        by_key[r.key].add(sets[r.doc_id])
+    assert all(len(s) == 1 for s in by_key.values()) and len(by_key) == len(set(sets.values()))
+    distinct = [s for s in set(sets.values()) if s]
+    expected = {frozenset((a, b)) for a in distinct for b in distinct if a != b and 100 * len(a & b) >= num * len(a | b)}
+    got_links = [frozenset((*by_key[r.key], *by_key[r.center])) for r in links.collect()]
+    assert len(got_links) == len(set(got_links)) and set(got_links) == expected
+    components = len({c for *_, c in brute([(i, t) for i, t in rows if sets[i]], size, num)})
+    assert len(expected) > len(distinct) - components  # more links than a forest of the components has
