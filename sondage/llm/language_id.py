@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,15 @@ _SIZE = ORDERS << BITS
 _TEMPERATURES = np.geomspace(0.05, 5.0, 41)
 
 
+@cache
 def letter_table() -> np.ndarray:
-    """Whether each code point of the first plane is a letter; later planes share the last entry."""
-    return np.array([chr(c).isalpha() for c in range(0xFFFF)] + [True])
+    """Whether each code point of all planes is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def _codes(text: str, letters: np.ndarray) -> np.ndarray:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(letters[np.minimum(codes, 0xFFFF)], codes, 32).astype(np.uint32)
+    return np.where(letters[codes], codes, 32).astype(np.uint32)
 
 
 def grams(codes: np.ndarray) -> Iterator[np.ndarray]:

@@ -42,3 +42,16 @@ def test_ftrl_is_sparse_and_learns():
         li.ftrl_step(z, n, np.array([1, 2]), np.array([1.0, 1e-6]), 1)
     w = li.ftrl_weights(z, n)
     assert w[0, 0] > 0 > w[0, 1] and w[1, 1] > 0 > w[1, 0] and (w[2] == 0).all()
+
+
+def test_only_letters_of_any_plane_count(spark):
+    letters = li.letter_table()
+    assert all(letters[c] == chr(c).isalpha() for c in [*range(0xFFF0, 0x20000), 0x2A6D6, 0x10FFFF])
+    weights = np.random.default_rng(3).normal(size=(li._SIZE, 2)).astype(np.float32)
+    texts = ["\U0001F600", "\U0001F600 12 \U0001D7D8", "\uffff", "\U00020000", "a \U0001F600 b", "a   b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = li.LanguageId(["p", "q"], weights, 1.0)
+    rows = {r.doc_id: r for r in li.predict(docs, model).collect()}
+    assert [(rows[i].lang_pred, rows[i].score) for i in range(3)] == [("und", 0.0)] * 3
+    assert all(rows[i].lang_pred in ("p", "q") and rows[i].score >= 0.5 for i in (3, 4))
+    assert rows[4].score == rows[5].score
