@@ -5,21 +5,28 @@ and a document's set falls apart into one segment for each fragment.
 
 Candidates: two sets that link differ in at most H shingles, H following from their sizes. With
 more than H fragments, at least one fragment holds the same segment of both. So sets of a size class are cut into
-H + 1 and some more fragments, and only sets with an equal segment in a fragment are compared.
+H + 2 and some more fragments, and only sets with an equal segment in a fragment are candidates.
 
-Overlaps: for each candidate pair the partial overlap is counted in each of a few coarse fragments by itself,
+Filter: each set has a bit map, about four bits a shingle, in which every shingle turns one bit over. Two maps differ in
+at most as many bits as the sets in shingles, so pairs whose maps differ in more bits than H are no links.
+
+Overlaps: for each pair that is left, the partial overlap is counted in each of a few coarse fragments by itself,
 and the counts are summed for each pair.
 
 Copies of a set are one set from the first step on. Of the sets that share a segment, each is first
-compared with the smallest key only, then what these links have already connected is not compared again, and
-all other pairs are: no link between components is lost, and a group of near copies costs as many
-comparisons as it has members, not their square. This is `join_documents`, whose result is the components.
-`link_documents` compares all candidate pairs and gives every link between two different sets and each document's set;
-its work grows with the pairs that share a segment. Sets that meet within one map task leave it
-as one row, so a hot segment does not gather in one task.
+paired with the smallest key only. What these links have not connected is compared in blocks: sets are dealt to
+the center that most sets share, each center's sets are cut into blocks of a bounded size, and two blocks that share a
+segment meet in one task, which compares their bit maps and returns only pairs of different components that
+may link, the most alike for each two components. Where there were more, the step is repeated with what is then known, so
+no link between components is lost. Sets whose links are all within a component cost no further rows, and no row is written
+for a pair of sets that are only candidates. This is `join_documents`, whose result is the components.
+`link_documents` takes all pairs that pass the bit maps and gives every link between two different sets and each document's set;
+its rows grow with the links.
 
 Defined results: texts without words, or null, have an empty set and link with nothing; null ids
-take part and do not count as smallest; repeated rows and ids are copies; extra columns are left alone; an
+take part and do not count as smallest (a component of null ids only has a null id); repeated rows and ids are copies;
+ties cannot occur, as a link holds or not; very long texts are taken whole, their sets and bit maps growing with them;
+other columns are not read, whatever their names; an
 empty table gives an empty result. Shingles are 64-bit hashes, and sets are told apart by a 64-bit hash of
 theirs; at a billion different sets one false match is expected with a chance of a few per cent.
 """
@@ -43,10 +50,16 @@ SHINGLE_WORDS = 4
 THRESHOLD = (85, 100)
 GROWTH = 1.5
 COARSE = 4
-BLOOM_BYTES = 1 << 23
+#: Bounds of the filter that names the texts to read again: two bytes for each, so far as the upper bound allows.
+BLOOM_BYTES = (1 << 16, 1 << 26)
+#: Bytes of bit maps in a block of sets.
+BLOCK_BYTES = 1 << 18
+#: Pairs returned for each two components by one comparison of two blocks, the first time; more at each repetition.
+PAIRS_OF_COMPONENTS = 16
+HOT_COPIES = 1_000
 _FLUSH = 2_000_000
 _SIGS_A_BUCKET = 1_000_000
-DOC, BLOCK, LOCAL = 0, 1, 2
+DOC, BLOCK, LOCAL, SET = 0, 1, 2, 3
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -138,8 +151,53 @@ def _i64(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64), pa.int64())
 
 
+def bit_map(h: np.ndarray) -> bytes:
+    """A power of two of bits, 64 and 2 for each shingle at least; every shingle turns one over."""
+    n_bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Maps (rows of 64-bit words) at a smaller width: what turns a bit over there is what does so here, modulo the width."""
+    while maps.shape[-1] > width:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+
+
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether sets of n and m shingles whose maps differ in `apart` bits can link."""
+    num, den = threshold
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((den + num) * apart <= (den - num) * (n + m))
+
+
+def blocks_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits each map of `left` differs from each of `right`."""
+    out = np.empty((len(left), len(right)), np.int64)
+    widths = [np.array([len(x) // 8 for x in side]) for side in (left, right)]
+    for u in np.unique(widths[0]):
+        rows = np.flatnonzero(widths[0] == u)
+        x = np.frombuffer(b"".join(left[i] for i in rows), np.uint64).reshape(len(rows), u)
+        for v in np.unique(widths[1]):
+            cols = np.flatnonzero(widths[1] == v)
+            y = np.frombuffer(b"".join(right[i] for i in cols), np.uint64).reshape(len(cols), v)
+            width = min(u, v)
+            a, b = folded(x, width), folded(y, width)
+            step = max(1, 1_000_000 // (len(cols) * int(width)))
+            for i in range(0, len(rows), step):
+                out[np.ix_(rows[i : i + step], cols)] = np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
 def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[int, int], n_buckets: int) -> DataFrame:
-    """Each document's set key and size (DOC), packed signatures (BLOCK), and sets that met in one task (LOCAL)."""
+    """Each document's set key, size and text digest in `sig` (DOC), packed signatures (BLOCK), sets that met in one task (LOCAL), and bit maps (SET)."""
     names = ["kind", "doc_id", "n", "key", "sig", "center", "bucket", "block"]
     shift = np.uint64(64 - (n_buckets.bit_length() - 1))
 
@@ -147,7 +205,9 @@ def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[i
         hashes, classes, pack = WordHashes(), SizeClasses(threshold), zstandard.ZstdCompressor(level=1)
         held_sigs: list[np.ndarray] = []
         held_keys: list[int] = []
+        held_maps: list[tuple[int, bytes]] = []
         seen: set[int] = set()
+        texts_seen: dict[int, tuple[int, int]] = {}
         id_kind = None
 
         def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -155,9 +215,11 @@ def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[i
             return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *[columns.get(c, pa.nulls(size, kinds[c])) for c in names[1:]]], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
+            yield rows(SET, len(held_maps), key=_i64(np.array(held_keys, np.uint64)), n=pa.array([n for n, _ in held_maps], pa.int64()), block=pa.array([x for _, x in held_maps], pa.binary()))
             sigs, keys, starts = _sorted_pairs(np.concatenate(held_sigs), np.repeat(np.array(held_keys, np.uint64), [len(s) for s in held_sigs]))
             held_sigs.clear()
             held_keys.clear()
+            held_maps.clear()
             sizes = np.diff(np.append(starts, len(sigs)))
             met = np.repeat(sizes > 1, sizes)
             if met.any():
@@ -172,23 +234,31 @@ def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[i
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             ns, keys = [], []
-            for text in batch.column("text").to_pylist():
+            for text, digest in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+                if digest in texts_seen:
+                    n, key = texts_seen[digest]
+                    ns.append(n)
+                    keys.append(key)
+                    continue
                 h = shingles(hashes.of(text), size)
                 key = xxhash.xxh3_64_intdigest(h.tobytes())
                 ns.append(len(h))
                 keys.append(key)
+                texts_seen[digest] = (len(h), key)
                 if len(h) and key not in seen:
                     seen.add(key)
                     sigs = classes.signatures(h)
                     if len(sigs):
                         held_sigs.append(sigs)
                         held_keys.append(key)
+                        held_maps.append((len(h), bit_map(h)))
                         total += len(sigs)
                 if total > _FLUSH:
                     yield from flush()
                     seen.clear()
+                    texts_seen.clear()
                     total = 0
-            yield rows(DOC, len(ns), doc_id=batch.column("doc_id"), n=pa.array(ns, pa.int64()), key=_i64(np.array(keys, np.uint64)))
+            yield rows(DOC, len(ns), doc_id=batch.column("doc_id"), n=pa.array(ns, pa.int64()), key=_i64(np.array(keys, np.uint64)), sig=batch.column("digest"))
         if held_sigs:
             yield from flush()
 
@@ -211,45 +281,39 @@ def meetings(blocks: DataFrame) -> DataFrame:
 
 
 def candidate_sets(texts: DataFrame, wanted: SegmentedBloom, size: int) -> DataFrame:
-    """(key, fragment, segment): the sets whose key the filter has, in COARSE ranges of the order."""
+    """(key, fragment, segment): the sets of the texts whose digest the filter has, in COARSE ranges of the order."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
+            digests = batch.column("digest").to_numpy().view(np.uint64)
             found = []
-            for text in batch.column("text").to_pylist():
-                h = shingles(hashes.of(text), size)
-                key = xxhash.xxh3_64_intdigest(h.tobytes())
-                if key in seen or not len(h) or not shared.value.contains(np.array([key], np.uint64))[0]:
+            for i in np.flatnonzero(shared.value.contains(digests)).tolist():
+                if digests[i] in seen:
+                    continue
+                seen.add(digests[i])
+                h = shingles(hashes.of(batch.column("text")[i].as_py()), size)
+                if not len(h):
                     continue
-                seen.add(key)
+                key = xxhash.xxh3_64_intdigest(h.tobytes())
                 edges = np.searchsorted(h >> np.uint64(62), np.arange(COARSE + 1, dtype=np.uint64)).tolist()
-                whole = (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                found += [(key, i, whole[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                found += [(key, j, h[a:b].tobytes()) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
             if found:
                 cols = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([_i64(np.array(cols[0], np.uint64)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["key", "fragment", "segment"])
 
-    rows = texts.mapInArrow(run, "key long, fragment int, segment binary")
+    rows = texts.select("digest", "text").mapInArrow(run, "key long, fragment int, segment binary")
     return rows.groupBy("key", "fragment").agg(F.max("segment").alias("segment"))
 
 
-def _members(data: bytes) -> np.ndarray:
-    """The 48 bits of each shingle as a number."""
-    parts = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(parts), 8), np.uint8)
-    out[:, :6] = parts
-    return out.view(np.uint64).ravel()
-
-
 def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (key, center) that link: partial overlaps by fragment, summed for each pair."""
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("segment").to_pylist(), batch.column("other").to_pylist(), strict=True)
-            n = [len(np.intersect1d(_members(a), _members(b), assume_unique=True)) for a, b in both]
+            n = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in both]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("center"), pa.array(n, pa.int64())], ["key", "center", "overlap"])
 
     other = sets.select(F.col("key").alias("center"), "fragment", F.col("segment").alias("other"))
@@ -260,42 +324,6 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tup
     return sized.where(den * F.col("overlap") >= num * (F.col("n") + F.col("m") - F.col("overlap"))).select("key", "center")
 
 
-def unshared(sets: DataFrame, wanted: SegmentedBloom, n_buckets: int) -> DataFrame:
-    """(key, lone): how many shingles of each wanted set are in no other wanted set, by ranges of the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(wanted)
-    shift = np.uint64(48 - (n_buckets.bit_length() - 1))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            batch = batch.filter(pa.array(shared.value.contains(keys)))
-            found = []
-            for key, data in zip(batch.column("key").to_pylist(), batch.column("segment").to_pylist(), strict=True):
-                ranges = _members(data) >> shift
-                starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else []
-                ends = [*starts[1:], len(ranges)]
-                found += [(int(ranges[a]), key, data[6 * a : 6 * b]) for a, b in zip(starts, ends, strict=True)] if len(ranges) else []
-            cols = list(zip(*found, strict=True)) if found else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["bucket", "key", "segment"])
-
-    def count(bucket: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, parts = [], []
-        for g in groups:
-            keys.append(g.column("key").to_numpy())
-            parts += [_members(x) for x in g.column("segment").to_pylist()]
-        owner = np.repeat(np.concatenate(keys), [len(x) for x in parts])
-        h = np.concatenate(parts)
-        order = np.argsort(h)
-        h, owner = h[order], owner[order]
-        same = h[1:] == h[:-1]
-        alone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        key, lone = np.unique(owner[alone], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lone, pa.int64())], ["key", "lone"])
-
-    pieces = sets.select("key", "segment").mapInArrow(split, "bucket int, key long, segment binary")
-    return pieces.groupBy("bucket").applyInArrow(count, "key long, lone long").groupBy("key").agg(F.sum("lone").alias("lone"))
-
-
 def are_stars(edges: DataFrame) -> bool:
     """Whether every u has one v and no v is a u: then each v is the smallest node of its component."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
@@ -327,7 +355,7 @@ def _labelled(table: DataFrame, labels: DataFrame | None, column: str, out: str)
     return table.join(names, column, "left").withColumn(out, F.coalesce("__label", column)).drop("__label")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after further links; only components are joined, not their members."""
     edges = _labelled(_labelled(links, labels, "key", "a"), labels, "center", "b").select("a", "b").where("a <> b")
     new = components(edges)
@@ -337,75 +365,125 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return written(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), "jaccard-labels")
 
 
-def _linked(labels: DataFrame | None, pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tuple[int, int]) -> DataFrame | None:
-    """Labels after the links among `pairs`; as they are where there is no pair."""
-    if pairs.isEmpty():
-        return labels
-    return _merged(labels, written(verified(pairs, sets, sizes, threshold), "jaccard-links"))
-
-
-def _of_several(table: DataFrame) -> DataFrame:
-    """The rows whose sig is in more than one component."""
-    several = table.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    return table.join(several, "sig")
-
-
-def _all_pairs(labels: DataFrame | None, rest: DataFrame, best: DataFrame, left: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: tuple[int, int], n_buckets: int) -> DataFrame | None:
-    """Labels after all links among the sets of `rest` that share a sig and are of different components."""
-    num, den = threshold
-    # shingles of no other set here bound each overlap; sets that can then link with nothing leave their segment
-    lone = written(unshared(sets, build_bloom(rest.select(F.col("key").alias("h")).distinct(), BLOOM_BYTES), n_buckets), "jaccard-lone")
-    cored = rest.join(lone, "key", "left").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-    least = cored.groupBy("sig").agg(F.min("n").alias("low"))
-    cored = cored.join(least, "sig").where((num + den) * F.col("core") >= num * (F.col("n") + F.col("low"))).drop("low")
-    rest = written(_of_several(cored), "jaccard-rest")
-    may_link = (num + den) * F.least("core", "other_core") >= num * (F.col("n") + F.col("m"))
-    other = {"key": "center", "label": "other", "n": "m", "core": "other_core"}
-    # first with the set that has fewest shingles for itself: most near copies of one text link with it
-    middle = rest.groupBy("sig").agg(F.min_by(F.struct("key", "label", "n", "core"), F.struct(F.col("n") - F.col("core"), "key")).alias("c"))
-    middle = middle.select("sig", *[F.col(f"c.{k}").alias(v) for k, v in other.items()])
-    central = rest.join(middle, "sig").where(may_link & (F.col("label") != F.col("other"))).select("key", "center").distinct()
-    central = central.join(best, ["key", "center"], "left_anti").join(left, ["key", "center"], "left_anti")
-    central = written(central, "jaccard-pairs")
-    labels = _linked(labels, central, sets, sizes, threshold)
-    rest = written(_of_several(_labelled(rest.drop("label"), labels, "key", "label")), "jaccard-rest")
-    if rest.isEmpty():
-        return labels
-    right = rest.select("sig", *[F.col(k).alias(v) for k, v in other.items()])
-    pairs = rest.join(right, "sig").where((F.col("key") > F.col("center")) & (F.col("label") != F.col("other")) & may_link).select("key", "center").distinct()
-    for done in (best, left, central, central.select(F.col("center").alias("key"), F.col("key").alias("center"))):
-        pairs = pairs.join(done, ["key", "center"], "left_anti")
-    return _linked(labels, written(pairs, "jaccard-pairs"), sets, sizes, threshold)
-
-
 @dataclass
 class Met:
     """What both joins start from."""
 
+    texts: DataFrame  # (doc_id, text, digest) of every row
     documents: DataFrame  # (doc_id, n, key) of every row
-    members: DataFrame  # (sig, key, center): sets that share a segment with another
-    sets: DataFrame  # (key, fragment, segment) of these
-    by_key: DataFrame  # (key, first_id, n) of all sets that are not empty
-    sizes: DataFrame  # (key, n) of the sets of `members`
-    n_buckets: int
+    by_key: DataFrame  # (key, first_id, n, digest, copies) of all sets that are not empty
+    members: DataFrame  # (sig, key): sets that share a segment with another
+    stars: DataFrame  # (key, center): each of them with the smallest key that it shares a segment with
+    placed: DataFrame  # (key, n, bits, block) of each of them
+    size: int
+    threshold: tuple[int, int]
 
 
 def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> Met:
     id_type = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = texts.withColumn("digest", F.xxhash64("text"))
     n_buckets = 16
     while n_buckets * _SIGS_A_BUCKET < total // 16:
         n_buckets *= 2
     first = written(set_signatures(texts, id_type, size, threshold, n_buckets), "jaccard-signatures")
-    documents = first.where(F.col("kind") == DOC).select("doc_id", "n", "key")
+    documents = first.where(F.col("kind") == DOC).select("doc_id", "n", "key", F.col("sig").alias("digest"))
+    by_key = documents.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min("digest").alias("digest"), F.count("*").alias("copies"))
+    by_key = written(by_key, "jaccard-keys")
     local = first.where(F.col("kind") == LOCAL).select("sig", "key", "center")
     members = written(meetings(first.where(F.col("kind") == BLOCK)).unionByName(local), "jaccard-members")
-    wanted = build_bloom(members.select(F.col("key").alias("h")).distinct(), BLOOM_BYTES)
-    sets = written(candidate_sets(texts.select("text"), wanted, size), "jaccard-sets")
-    by_key = documents.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
-    sizes = by_key.join(members.select("key").distinct(), "key", "left_semi").select("key", "n")
-    return Met(documents, members, sets, by_key, written(sizes, "jaccard-sizes"), n_buckets)
+    stars = written(members.where("key <> center").select("key", "center").distinct(), "jaccard-stars")
+    # every set goes to the center that most sets share, and a center's sets to blocks of a bounded size
+    followers = stars.groupBy("center").agg(F.count("*").alias("followers"))
+    choices = stars.join(followers, "center").unionByName(followers.withColumn("key", F.col("center")))
+    leaders = choices.groupBy("key").agg(F.max(F.struct("followers", "center")).alias("c")).select("key", F.col("c.center").alias("leader"))
+    maps = first.where(F.col("kind") == SET).select("key", "n", F.col("block").alias("bits"))
+    led = written(maps.join(leaders, "key").groupBy("key").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("leader").alias("leader")), "jaccard-led")
+    parts = led.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("bits") + 24) / BLOCK_BYTES).alias("parts"))
+    block = F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("parts")))
+    placed = written(led.join(parts, "leader").select("key", "n", "bits", block.alias("block")), "jaccard-placed")
+    return Met(texts, documents.drop("digest"), by_key, members.select("sig", "key"), stars, placed, size, threshold)
+
+
+def near_stars(met: Met) -> DataFrame:
+    """The pairs (key, center) of `stars` that pass the bit maps."""
+    threshold = met.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [bits_apart(a, b) for a, b in zip(batch.column("bits").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+            fits = may_link(batch.column("n").to_numpy(), batch.column("m").to_numpy(), np.array(apart, np.int64), threshold)
+            yield batch.select(["key", "center"]).filter(pa.array(fits, pa.bool_()))
+
+    other = met.placed.select(F.col("key").alias("center"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    num, den = threshold
+    both = met.stars.join(met.placed.select("key", "n", "bits"), "key").join(other, "center").where(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    return both.select("key", "center", "n", "m", "bits", "other").mapInArrow(run, "key long, center long")
+
+
+def near_blocks(met: Met, labels: DataFrame | None, most: int | None) -> DataFrame:
+    """(key, center, more): pairs of different labels whose blocks share a segment and that pass the bit maps.
+
+    Of more than `most` pairs of the same two labels in two blocks, only those with the fewest bits apart are returned, and `more` is true.
+    """
+    threshold = met.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for name in ("left", "right"):
+                flat = batch.column(name).flatten()
+                sides.append((batch.column(name).offsets.to_numpy(), *[flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "label", "n")], flat.field("bits")))
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for row in range(batch.num_rows):
+                (keys, names, n, bits), (others, other_names, m, other_bits) = ([x[o[row] - o[0] : o[row + 1] - o[0]] for x in columns] for o, *columns in sides)
+                apart = blocks_apart(bits.to_pylist(), other_bits.to_pylist())
+                fits = may_link(n[:, None], m[None, :], apart, threshold) & (names[:, None] != other_names[None, :])
+                i, j = np.nonzero(fits)
+                if not len(i):
+                    continue
+                low, high = np.minimum(names[i], other_names[j]), np.maximum(names[i], other_names[j])
+                order = np.lexsort((apart[i, j], high, low))
+                i, j, low, high = i[order], j[order], low[order], high[order]
+                starts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+                sizes = np.diff(np.append(starts, len(i)))
+                rank = np.arange(len(i)) - np.repeat(starts, sizes)
+                kept, more = (rank < most, np.repeat(sizes > most, sizes)) if most else (np.ones(len(i), bool), np.zeros(len(i), bool))
+                a, b = keys[i[kept]], others[j[kept]]
+                found.append((np.maximum(a, b), np.minimum(a, b), more[kept]))
+            if found:
+                key, center, more = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(center), pa.array(more)], ["key", "center", "more"])
+
+    own = _labelled(met.placed, labels, "key", "label")
+    at = met.members.join(own.select("key", "block", "label"), "key").groupBy("sig")
+    at = at.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_set("block")).alias("blocks"))
+    pairs = at.where("low <> high").select("blocks").distinct().select(F.posexplode("blocks").alias("place", "first"), "blocks")
+    pairs = pairs.select("first", F.explode(F.expr("slice(blocks, place + 1, size(blocks))")).alias("second")).distinct()
+    pairs = written(pairs, "jaccard-block-pairs")
+    needed = pairs.select(F.explode(F.array("first", "second")).alias("block")).distinct()
+    packed = own.join(needed, "block", "left_semi").groupBy("block").agg(F.collect_list(F.struct("key", "label", "n", "bits")).alias("sets"))
+    packed = written(packed, "jaccard-blocks")
+    both = pairs.join(packed.select(F.col("block").alias("first"), F.col("sets").alias("left")), "first")
+    both = both.join(packed.select(F.col("block").alias("second"), F.col("sets").alias("right")), "second")
+    found = both.select("left", "right").mapInArrow(run, "key long, center long, more boolean")
+    return found.groupBy("key", "center").agg(F.max("more").alias("more"))
+
+
+def exact_sets(met: Met, pairs: DataFrame, have: DataFrame | None) -> DataFrame:
+    """(key, fragment, segment) of all sets of `pairs`, read from their texts where `have` does not have them."""
+    keys = pairs.select(F.explode(F.array("key", "center")).alias("key")).distinct()
+    if have is not None:
+        keys = keys.join(have.select("key").distinct(), "key", "left_anti")
+    digests = written(keys.join(met.by_key, "key").select(F.col("digest").alias("h")), "jaccard-wanted")
+    n_bytes, count = BLOOM_BYTES[0], digests.count()
+    while n_bytes < min(BLOOM_BYTES[1], 2 * count):
+        n_bytes *= 2
+    new = candidate_sets(met.texts, build_bloom(digests, n_bytes), met.size)
+    if have is None:
+        return written(new, "jaccard-sets")
+    return have.unionByName(written(new.join(have.select("key").distinct(), "key", "left_anti"), "jaccard-sets"))
 
 
 def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -414,38 +492,50 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Documents of one key are copies of each other; a row with n_shingles = 0 links with nothing.
     """
     met = _met(docs, id_col, text_col, size, threshold)
-    num, den = threshold
-    rows = met.members.select("sig", "key").distinct().join(met.sizes, "key")
-    other = rows.select("sig", F.col("key").alias("center"), F.col("n").alias("m"))
-    may_link = (num + den) * F.least("n", "m") >= num * (F.col("n") + F.col("m"))
-    pairs = rows.join(other, "sig").where((F.col("key") > F.col("center")) & may_link).select("key", "center").distinct()
-    links = written(verified(written(pairs, "jaccard-pairs"), met.sets, met.sizes, threshold), "jaccard-links")
+    pairs = written(near_blocks(met, None, None).select("key", "center"), "jaccard-pairs")
+    links = written(verified(pairs, exact_sets(met, pairs, None), met.by_key, threshold), "jaccard-links")
     return links, met.documents.select("doc_id", F.col("n").alias("n_shingles"), "key")
 
 
+def connected(met: Met) -> DataFrame | None:
+    """(node, label) of all sets that link with another, the label being the smallest key of the component; None if there are none."""
+    pairs = written(near_stars(met), "jaccard-pairs")
+    if met.stars.isEmpty():
+        return None
+    sets = exact_sets(met, pairs, None)
+    labels, done = _merged(None, written(verified(pairs, sets, met.by_key, met.threshold), "jaccard-links")), pairs
+    most = PAIRS_OF_COMPONENTS
+    while True:
+        found = near_blocks(met, labels, most)
+        for sides in (("key", "center"), ("center", "key")):
+            known = done.select(F.col("key").alias(sides[0]), F.col("center").alias(sides[1]), F.lit(True).alias(f"known_{sides[0]}"))
+            found = found.join(known, ["key", "center"], "left")
+        found = written(found.select("key", "center", "more", F.coalesce("known_key", "known_center", F.lit(False)).alias("known")), "jaccard-pairs")
+        pairs = found.where("NOT known").select("key", "center")
+        if not pairs.isEmpty():
+            sets = exact_sets(met, pairs, sets)
+            labels = _merged(labels, written(verified(pairs, sets, met.by_key, met.threshold), "jaccard-links"))
+            done = done.unionByName(pairs)
+        open_pairs = _labelled(_labelled(found.where("more"), labels, "key", "a"), labels, "center", "b").where("a <> b")
+        if open_pairs.isEmpty():
+            return labels
+        most *= PAIRS_OF_COMPONENTS
+
+
 def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`. Links within a component are not all looked for."""
     met = _met(docs, id_col, text_col, size, threshold)
-    documents, members, sets, by_key, sizes, n_buckets = met.documents, met.members, met.sets, met.by_key, met.sizes, met.n_buckets
-
-    # 1: each set with the center that it shares most segments with
-    stars = written(members.where("key <> center").groupBy("key", "center").agg(F.count("*").alias("shared")), "jaccard-stars")
-    best = stars.groupBy("key").agg(F.max(F.struct("shared", "center")).alias("best")).select("key", F.col("best.center").alias("center"))
-    best = written(best, "jaccard-pairs")
-    labels = _linked(None, best, sets, sizes, threshold)
-    # 2: with its other centers, where these are of another component
-    left = stars.select("key", "center").join(best, ["key", "center"], "left_anti")
-    left = written(_labelled(_labelled(left, labels, "key", "a"), labels, "center", "b").where("a <> b").select("key", "center"), "jaccard-pairs")
-    labels = _linked(labels, left, sets, sizes, threshold)
-    # 3: all pairs of different components that share a segment and were not compared
-    labelled = _labelled(members.select("sig", "key").distinct(), labels, "key", "label")
-    rest = written(_of_several(labelled).join(sizes, "key"), "jaccard-rest")
-    if not rest.isEmpty():
-        labels = _all_pairs(labels, rest, best, left, sets, sizes, threshold, n_buckets)
-
-    named = _labelled(by_key.select("key", "first_id"), labels, "key", "label")
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    component = named.join(smallest, "label").select("key", "component")
-    linked = documents.where("n > 0").join(component, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = _labelled(met.by_key.select("key", "first_id", "copies"), connected(met), "key", "label")
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component"), F.sum("copies").alias("total"))
+    component = written(named.join(smallest, "label").select("key", "copies", "component"), "jaccard-components")
+    # keys of so many copies that a join would gather them in one task: at most 4,096 of them
+    rows = component.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = component.where(F.col("copies") >= max(HOT_COPIES, rows // 4096)).select("key", "component")
+    named = met.documents.where("n > 0").join(F.broadcast(hot.withColumnRenamed("component", "hot")), "key", "left")
+    parts = [
+        named.where("hot IS NOT NULL").withColumnRenamed("hot", "component"),
+        named.where("hot IS NULL").drop("hot").join(component.select("key", "component"), "key"),
+    ]
+    linked = parts[0].unionByName(parts[1]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = met.documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
