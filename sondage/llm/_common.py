@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 _OWN: list[str] = []
 
 

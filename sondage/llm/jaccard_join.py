@@ -53,11 +53,11 @@ COARSE = 4
 #: Bounds of the filter that names the texts to read again: two bytes for each, so far as the upper bound allows.
 BLOOM_BYTES = (1 << 16, 1 << 26)
 #: Bytes of bit maps in a block of sets.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 17
 #: Pairs returned for each two components by one comparison of two blocks, the first time; more at each repetition.
 PAIRS_OF_COMPONENTS = 16
 HOT_COPIES = 1_000
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _SIGS_A_BUCKET = 1_000_000
 DOC, BLOCK, LOCAL, SET = 0, 1, 2, 3
 
@@ -398,6 +398,9 @@ def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tupl
     followers = stars.groupBy("center").agg(F.count("*").alias("followers"))
     choices = stars.join(followers, "center").unionByName(followers.withColumn("key", F.col("center")))
     leaders = choices.groupBy("key").agg(F.max(F.struct("followers", "center")).alias("c")).select("key", F.col("c.center").alias("leader"))
+    leaders = written(leaders, "jaccard-leaders")
+    for step in ("second", "third"):  # a center that was the smallest key of one task only goes on to its own
+        leaders = leaders.join(leaders.select(F.col("key").alias("leader"), F.col("leader").alias(step)), "leader").select("key", F.col(step).alias("leader"))
     maps = first.where(F.col("kind") == SET).select("key", "n", F.col("block").alias("bits"))
     led = written(maps.join(leaders, "key").groupBy("key").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("leader").alias("leader")), "jaccard-led")
     parts = led.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("bits") + 24) / BLOCK_BYTES).alias("parts"))

@@ -6,10 +6,11 @@ log-densities. The inverse Cholesky factors are computed once, when the model is
 plan as constants, so scoring is one projection. Fitting is one aggregation of sums and
 cross products of all labelled rows, combined on the map side.
 
-Defined results: null and empty texts have zero statistics and a score as any other; labels that are
+Defined results: null and empty texts have zero statistics and a score as any other; very long texts are counted whole; texts of equal statistics have
+equal scores, and a score of exactly 0.3 is predicted as 1 by the query; labels that are
 null, or of ids without a document, are left out; repeated labels count as often as they stand there;
 a class without labels gives every text the other class's share; an empty table gives an
-empty result; extra columns are left alone.
+empty result, whether fitted on or scored; extra columns are returned as they came, but for those named like a feature.
 """
 
 from __future__ import annotations
@@ -42,13 +43,13 @@ TEMPERATURES = [1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0]
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the columns COUNTS."""
-    step = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    """`docs` with the columns COUNTS; columns of these names, in any case, are replaced."""
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     step = step.withColumn("__words", F.expr(r"regexp_extract_all(__text, '[^\\x20\\x09-\\x0D]+', 0)"))
     step = step.withColumn("__lines", F.expr(r"filter(split(__text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     count = lambda pattern: F.regexp_count("__text", F.lit(pattern)).cast("double")
     return step.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in COUNTS],
+        *[F.col(f"__doc.`{c}`") for c in docs.columns if c.lower() not in COUNTS],
         F.size("__words").cast("double").alias("n_words"),
         F.length(F.regexp_replace("__text", r"[\x20\x09-\x0D]+", "")).cast("double").alias("n_visible"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
@@ -63,10 +64,11 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the columns of FEATURES."""
-    counted = with_counts(docs, text_col)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS and c not in FEATURES]
-    return counted.select(*own, *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
+    """`docs` with the columns of FEATURES; columns of these names, in any case, are replaced, all others returned as they came."""
+    names = [c for c in docs.columns if c.lower() not in FEATURES]
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("__none")).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    counted = with_counts(carried)
+    return counted.select(*[F.col(f"doc.`{c}`") for c in names], *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
 
 
 @dataclass

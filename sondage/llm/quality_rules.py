@@ -11,7 +11,8 @@ folder and read again for the verdict.
 
 Defined results: null and empty texts, and others without words, fail the base rules and are not kept; ties
 cannot occur as every document is judged alone; repeated rows get equal results; an empty table
-gives an empty result. `keep` columns named like an output are replaced by the output.
+gives an empty result; very long texts are judged whole. `keep` columns named like an output, in any case, are replaced by the output, all others are
+returned as they came.
 """
 
 from __future__ import annotations
@@ -57,38 +58,47 @@ START_GOOD, START_BAD, START_PRIOR = (0.003, 0.97), (0.35, 0.62), 0.8
 #: Weight of the start, as a share of all documents.
 ANCHOR = 0.1
 MAX_ROUNDS, TOLERANCE = 40, 1e-5
+#: Up to so many words, 47 bits of a window's hash are compared before its words are.
+LONG_WORDS = 1 << 16
+
+
+def _repeated(keys: str, key_hash: str, key_place: str) -> tuple[str, str]:
+    """SQL of the sorted window keys, and of the places of windows that are found twice, over the words `__words`."""
+    built = f"if(n_words < 3, cast(array() as {'array<struct<h:bigint,i:bigint>>' if 'struct' in keys else 'array<bigint>'}), sort_array(transform(sequence(0L, n_words - 3L), i -> {keys})))"
+    of = lambda k: (key_hash.format(k=k), key_place.format(k=k))
+
+    def same(other: str) -> str:
+        (h, i), (g, j) = of("k"), of(f"get(__keys, j {other})")
+        words = " AND ".join(f"get(__words, int({i} + {d})) = get(__words, int({j} + {d}))" for d in range(3))
+        return f"coalesce({g} = {h} AND {words}, false)"
+
+    return built, f"sort_array(transform(filter(__keys, (k, j) -> {same('- 1')} OR {same('+ 1')}), k -> {of('k')[1]}))"
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the columns BASE and MORE, all long.
+    """`docs` with the columns BASE and MORE, all long; columns of these names, in any case, are replaced.
 
-    Windows are compared by sorting one long each: the high bits of the window's hash and, below, its
-    place in the text. Neighbours of equal high bits are then compared word by word.
+    Windows are compared by sorting. Up to LONG_WORDS words a window is one long: the high bits of its
+    hash and, below, its place in the text; in longer texts it is a pair of the whole hash and the place. Neighbours of equal hashes are
+    then compared word by word.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("__text", text).withColumn("__words", F.expr(f"regexp_extract_all(__text, '{WORD}', 0)"))
+    window = "xxhash64(get(__words, int(i)), get(__words, int(i + 1)), get(__words, int(i + 2)))"
+    bits = "length(bin(n_words))"
+    mask = f"(shiftleft(1L, {bits}) - 1L)"
+    short = _repeated(f"({window} & ~{mask}) | i", f"shiftright({{k}}, {bits})", f"({{k}} & {mask})")
+    long = _repeated(f"struct({window} as h, i)", "{k}.h", "{k}.i")
+    taken = {c.lower() for c in (*BASE, *MORE)}
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    step = step.withColumn("__words", F.expr(f"regexp_extract_all(__text, '{WORD}', 0)"))
     step = step.withColumn("n_words", F.size("__words").cast("long"))
-    step = step.withColumn("__bits", F.expr("length(bin(n_words))"))
-    step = step.withColumn("__mask", F.expr("shiftleft(1L, __bits) - 1L"))
-    step = step.withColumn(
-        "__keys",
-        F.expr("""if(n_words < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0L, n_words - 3L),
-            i -> (xxhash64(get(__words, int(i)), get(__words, int(i + 1)), get(__words, int(i + 2))) & ~__mask) | i)))"""),
-    )
-
-    def same(other: str) -> str:
-        q = f"(get(__keys, j {other}) & __mask)"
-        words = " AND ".join(f"get(__words, int((k & __mask) + {i})) = get(__words, int({q} + {i}))" for i in range(3))
-        return f"coalesce(shiftright(get(__keys, j {other}), __bits) = shiftright(k, __bits) AND {words}, false)"
-
-    step = step.withColumn(
-        "__places", F.expr(f"sort_array(transform(filter(__keys, (k, j) -> {same('- 1')} OR {same('+ 1')}), k -> k & __mask))")
-    )
+    # one array of places, from keys of either kind
+    places = [f"element_at(transform(array({keys}), __keys -> {found}), 1)" for keys, found in (short, long)]
+    step = step.withColumn("__places", F.expr(f"if(n_words <= {LONG_WORDS}, {places[0]}, {places[1]})"))
     covered = "aggregate(transform(__places, (p, j) -> least(3L, coalesce(get(__places, j + 1) - p, 3L))), 0L, (a, x) -> a + x)"
     step = step.withColumn("__lines", F.expr(r"filter(split(__text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     blank = F.regexp_replace("__text", r"[\x20\x09-\x0D]+", "")
-    step = step.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in {*BASE, *MORE}],
+    return step.select(
+        *[F.col(f"__doc.`{c}`") for c in docs.columns if c.lower() not in taken],
         "n_words",
         F.length(blank).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -100,7 +110,6 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.regexp_count("__text", F.lit("!!")).cast("long").alias("n_shouts"),
         F.regexp_count("__text", F.lit(SYMBOLS + "+")).cast("long").alias("n_symbol_runs"),
     )
-    return step
 
 
 def base_failed() -> Column:
@@ -119,12 +128,15 @@ class VoteModel:
     table: list[tuple[tuple[float, float], tuple[float, float]]]
 
     def posterior(self, votes: list[Column]) -> Column:
-        """P(good | votes); an abstention counts with its own probability."""
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for column, (bad, good) in zip(votes, self.table, strict=True):
-            ratio = [math.log(g / b) for b, g in zip((*bad, 1 - sum(bad)), (*good, 1 - sum(good)), strict=True)]
-            odds = odds + F.when(column == 0, ratio[0]).when(column == 1, ratio[1]).otherwise(ratio[2])
-        return 1 / (1 + F.exp(-odds))
+        """P(good | votes); an abstention counts with its own probability.
+
+        The logarithms are one array and the votes its places, so that the compiled plan is the same for all models.
+        """
+        ratios = [math.log(g / b) for bad, good in self.table for b, g in zip((1 - sum(bad), *bad), (1 - sum(good), *good), strict=True)]
+        prior = math.log(self.prior / (1 - self.prior))
+        numbers = F.array(*[F.lit(r + (prior if i < 3 else 0.0)) for i, r in enumerate(ratios)])
+        odds = [F.get(numbers, v + F.lit(3 * i + 1)) for i, v in enumerate(votes)]
+        return 1 / (1 + F.exp(-sum(odds[1:], odds[0])))
 
 
 def start_model(n_rules: int) -> VoteModel:
@@ -169,11 +181,12 @@ def judge_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str]
     rules = rules or RULES
     names = [f"vote_{r.name}" for r in rules]
     columns = docs.columns if keep is None else keep
-    scored = with_stats(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text_col])]), text_col)
-    outputs = {*BASE, *names, "posterior", "base_failed", "kept"}
-    kept = [F.col(f"`{c}`") for c in columns if c not in outputs]
-    slim = written(scored.select(*kept, *BASE, *[vote(r).alias(n) for r, n in zip(rules, names, strict=True)]), "quality-votes")
+    outputs = {c.lower() for c in (*BASE, *names, "posterior", "base_failed", "kept")}
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("__none")).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    scored = with_stats(carried)
+    slim = written(scored.select("doc", *BASE, *[vote(r).alias(n) for r, n in zip(rules, names, strict=True)]), "quality-votes")
     patterns = written(slim.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
     model = fit_votes(patterns, names)
     judged = slim.withColumn("posterior", model.posterior([F.col(n) for n in names])).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", (F.col("n_words") > 0) & (F.col("posterior") >= threshold))
+    judged = judged.withColumn("kept", (F.col("n_words") > 0) & (F.col("posterior") >= threshold))
+    return judged.select(*[F.col(f"doc.`{c}`") for c in columns if c.lower() not in outputs], *judged.columns[1:])
