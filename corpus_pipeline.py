@@ -40,10 +40,10 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_join.join_documents(numbered.select("__row", "text"), id_col="__row", size=NEAR_WORDS, threshold=NEAR_THRESHOLD)
-    surplus = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
-    return numbered.join(surplus, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = written(_carried(docs).select("__doc", F.monotonically_increasing_id().alias("row")), "numbered")
+    groups = jaccard_join.join_documents(numbered.select("row", "__doc.text"), id_col="row", size=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    surplus = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row"))
+    return numbered.join(surplus, "row", "left_anti").select("__doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
