@@ -63,12 +63,19 @@ class SizedBloom:
 
     LEAST_BITS = 1024
 
-    def __init__(self, n_segments: int, n_probes: int):
-        """`n_segments` is a power of two."""
-        self.n_segments, self.n_probes = n_segments, n_probes
+    def __init__(self, n_segments: int, n_probes: int, dropped: int = 0):
+        """`n_segments` is a power of two; the lowest `dropped` bits of hashes are not told apart."""
+        self.n_segments, self.n_probes, self.dropped = n_segments, n_probes, np.uint64(dropped)
         self.shift = 64 - (n_segments.bit_length() - 1)
         self.load({})
 
+    def key(self, h: np.ndarray) -> np.ndarray:
+        """What the filter knows of a hash."""
+        return (h >> self.dropped) << self.dropped
+
+    def empty(self) -> SizedBloom:
+        return SizedBloom(self.n_segments, self.n_probes, int(self.dropped))
+
     def segment(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(self.shift)).astype(np.int64) if self.n_segments > 1 else np.zeros(len(h), np.int64)
 

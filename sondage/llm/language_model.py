@@ -2,13 +2,20 @@
 
 Counts of n-grams are quantised to powers of two; a Bloom filter holds each n-gram once for every
 level up to its own, so that membership probes at rising levels, until the first miss, give its
-quantised count back. Probabilities are smoothed from order to order: p(w | h) = (c(h w) + mu * p(w | shorter h)) / (c(h) + mu), down to an
-add-one estimate of single tokens, which is at most 1; mu is chosen by leave-one-out over a bounded sample.
+level back. Probabilities are smoothed from order to order: p(w | h) = (c(h w) + mu * p(w | shorter h)) / (c(h) + mu), down to an
+add-one estimate of single tokens. There c(h w) is the least count of its level and c(h) the exact count of the
+context, or the greatest of its level where the context is not among the broadcast words. As the counts of a context's continuations add up
+to that of the context, the probabilities of all tokens after a context add up to 1 at most; what is missing to 1 is what the
+levels round off (and false hits of the filter, `LanguageModel.false_hits`, may add to it).
+
+mu follows from all training rows: it is the number of MU_GRID nearest to the mu that gives continuations unseen
+so far, over all contexts, the share of mass which n-grams seen once have in the training tokens.
 
 Counts are of all training rows. They leave the map side as one packed block for each segment of the
 hash space, so no key is hot and each segment is counted, quantised and turned to bits by one group.
-The number of segments follows the input, and each segment has BITS_AN_ENTRY for each n-gram and level that was
-counted in it, so the share of false hits (`LanguageModel.false_hits`) is the same at any size. A filter of
+The number of segments follows the input, as does the number of bits by which hashes are told apart (two different n-grams are
+taken for one with a chance of about 1 in 4,000), and each segment has BITS_AN_ENTRY for each n-gram and level that was
+counted in it, so the share of false hits is the same at any size. A filter of
 `filter_bytes` or less is broadcast. A larger one stays in the shared folder: texts are cut into blocks, the distinct
 n-grams of a block are probed where their segments are, and the levels return to the block. Both ways
 probe the same bits and give the same scores.
@@ -17,8 +24,9 @@ The base score is exact. Words that are frequent enough to be among `HEAD_WORDS`
 the others, each rare, are joined.
 
 Defined results: null and empty texts have one token, their end; a null id is learned from; an empty
-training set gives every token the probability 1 / (0 + 1 * (0 + 1)) in the base; repeated rows
-count as often as they stand there and each get their score; extra columns are left alone.
+training set gives every token the probability 1 / (0 + 1 * (0 + 1)) in the base; an empty scored table gives an empty result; very long texts are
+scored whole, one such text being a block of its own; texts that are equal have equal scores; repeated rows
+count as often as they stand there and each get their score; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,22 +46,21 @@ from ._common import WordHashes, mixed, written
 from .bloom import SizedBloom
 
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
-FILTER_BYTES = 1 << 26
+FILTER_BYTES = 1 << 25
 BITS_AN_ENTRY = 13
 HEAD_WORDS = 400_000
-SAMPLE_DOCS = 400
 MU_GRID = (3.0, 30.0, 300.0, 3_000.0, 30_000.0, 300_000.0)
 ORDER = 2
-_TOKENS_A_BLOCK = 2_000_000
+_TOKENS_A_BLOCK = 1_000_000
 _TOKENS_A_GROUP = 300_000
 _TOKENS_A_PROBE_BLOCK = 1_000_000
 _TOKENS_A_SEGMENT = 2_000_000
-_DROPPED_BITS = np.uint64(16)  # grams are told apart by their upper 48 bits
+_LEAST_BITS, _BITS_OVER_INPUT = 40, 12
 
 
-def _key(h: np.ndarray) -> np.ndarray:
-    """What the filter knows of a hash."""
-    return (h >> _DROPPED_BITS) << _DROPPED_BITS
+def kept_bits(n_grams: int) -> int:
+    """By how many bits of their hashes so many n-grams are told apart."""
+    return min(64, max(_LEAST_BITS, n_grams.bit_length() + _BITS_OVER_INPUT))
 
 
 def flat_tokens(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +109,9 @@ def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
 WORDS, GRAMS = 0, 1
 
 
-def count_blocks(texts: DataFrame, order: int, n_segments: int) -> DataFrame:
+def count_blocks(texts: DataFrame, order: int, shape: SizedBloom) -> DataFrame:
     """(segment, kind, block): counts of words and ends, and of longer n-grams, from each task."""
-    shift = np.uint64(64 - (n_segments.bit_length() - 1))
+    n_segments, shift, dropped = shape.n_segments, np.uint64(shape.shift), shape.dropped
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1)
@@ -119,10 +126,10 @@ def count_blocks(texts: DataFrame, order: int, n_segments: int) -> DataFrame:
                     h, n = _counted(tokens[place > 0])
                 else:
                     longer = [g[place >= m + 1] for m, g in enumerate(gram_hashes(tokens, order)[1:])]
-                    h, n = _counted(np.concatenate([_key(x) for x in [tokens[place == 0], *longer]]))
+                    h, n = _counted(np.concatenate([shape.key(x) for x in [tokens[place == 0], *longer]]))
                 edges = np.searchsorted(h >> shift, np.arange(n_segments + 1, dtype=np.uint64))
                 pairs = enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                rows += [(s, kind, _pack(h[a:b] if kind == WORDS else h[a:b] >> _DROPPED_BITS, n[a:b], pack)) for s, (a, b) in pairs if b > a]
+                rows += [(s, kind, _pack(h[a:b] if kind == WORDS else h[a:b] >> dropped, n[a:b], pack)) for s, (a, b) in pairs if b > a]
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["segment", "kind", "block"])
 
@@ -152,10 +159,11 @@ def level_counts(levels: np.ndarray) -> np.ndarray:
 
 
 def merged_counts(blocks: DataFrame, shape: SizedBloom) -> DataFrame:
-    """One group a segment merges its blocks: exact counts as (word, n) rows, and the segment's bits as a row, n being those set.
+    """One group a segment merges its blocks: exact counts as (word, n) rows, and the segment's bits as a row, n being those set and `once` the longer n-grams seen once.
 
     Each n-gram is held at the levels 1 to its own.
     """
+    dropped = shape.dropped
 
     def build(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, parts = zstandard.ZstdDecompressor(), {WORDS: [], GRAMS: []}
@@ -164,18 +172,18 @@ def merged_counts(blocks: DataFrame, shape: SizedBloom) -> DataFrame:
                 parts[kind].append(_unpack(block, unpack))
         words, grams = (_counted(*(np.concatenate(x) for x in zip(*parts[k], strict=True))) if parts[k] else _counted(np.empty(0, np.uint64)) for k in (WORDS, GRAMS))
         parts.clear()
-        kept = [(_key(words[0]), quantised(words[1])), (grams[0] << _DROPPED_BITS, quantised(grams[1]))]
+        kept = [(shape.key(words[0]), quantised(words[1])), (grams[0] << dropped, quantised(grams[1]))]
         most = max(int(level.max(initial=0)) for _, level in kept)
         n_bits = BITS_AN_ENTRY * sum(int(level.sum()) for _, level in kept)
         data = shape.segment_bytes(n_bits, ((h[level >= i], i) for h, level in kept for i in range(1, most + 1)))
-        names, segment = ["segment", "bits", "word", "n"], [key[0].as_py()]
+        names, segment = ["segment", "bits", "word", "n", "once"], [key[0].as_py()]
         filled = int(np.bitwise_count(np.frombuffer(data, np.uint8)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.array([filled], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.array([filled], pa.int64()), pa.array([int((grams[1] == 1).sum())], pa.int64())], names)
         for i in range(0, len(words[0]), 100_000):
             h, n = words[0][i : i + 100_000], words[1][i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(h), pa.int64())], names)
 
-    return blocks.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, n long")
+    return blocks.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, n long, once long")
 
 
 def probe_levels(bloom: SizedBloom, h: np.ndarray) -> np.ndarray:
@@ -188,9 +196,9 @@ def probe_levels(bloom: SizedBloom, h: np.ndarray) -> np.ndarray:
     return levels
 
 
-def distinct_grams(tokens: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def distinct_grams(tokens: np.ndarray, place: np.ndarray, order: int, shape: SizedBloom) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct n-grams of some texts, sorted, and for each order which of them end at the tokens that have one."""
-    inside = [_key(g[place >= m]) for m, g in enumerate(gram_hashes(tokens, order))]
+    inside = [shape.key(g[place >= m]) for m, g in enumerate(gram_hashes(tokens, order))]
     distinct, which = np.unique(np.concatenate(inside), return_inverse=True)
     return distinct, np.split(which, np.cumsum([len(x) for x in inside])[:-1])
 
@@ -204,6 +212,11 @@ def spread_counts(levels: np.ndarray, which: list[np.ndarray], place: np.ndarray
     return out
 
 
+def least_counts(middles: np.ndarray) -> np.ndarray:
+    """The least count of the level whose middle is given."""
+    return np.where(middles > 0, (middles + 0.5) / 1.5, 0.0)
+
+
 @dataclass
 class Scorer:
     """What a worker needs: the totals, and the filter if it is small enough to be broadcast."""
@@ -212,17 +225,21 @@ class Scorer:
     order: int
     tokens: int
     vocabulary: int
+    level_tokens: float  # the middles of the levels of all words, summed up
 
     def counts(self, tokens: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """Quantised counts of the 1-grams, 2-grams, ... that end at each token; each distinct one is probed once."""
-        distinct, which = distinct_grams(tokens, place, self.order)
+        distinct, which = distinct_grams(tokens, place, self.order, self.bloom)
         return spread_counts(probe_levels(self.bloom, distinct), which, place)
 
-    def log10(self, counts: list[np.ndarray], place: np.ndarray, mu: float, less: float = 0.0) -> np.ndarray:
-        """log10 probability of each token, 0 of begins. `less` comes off every count, for leave-one-out."""
-        p = np.minimum((np.maximum(counts[0] - less, 0) + 1) / max(self.tokens + self.vocabulary + 1 - less, 1), 1.0)
+    def log10(self, counts: list[np.ndarray], place: np.ndarray, mu: float, exact: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each token, 0 of begins. `exact`: the exact count of each token, 0 where it is not known."""
+        p = (counts[0] + 1) / max(self.level_tokens + self.vocabulary + 1, 1)
         for m in range(1, self.order):
-            c, h = np.maximum(counts[m] - less, 0), np.maximum(np.roll(counts[m - 1], 1) - less, 0)
+            most = np.maximum(2 * least_counts(counts[m - 1]) - 1, 0)
+            if m == 1 and exact is not None:
+                most = np.where(exact > 0, exact, most)
+            c, h = least_counts(counts[m]), np.roll(most, 1)
             p = np.where(place >= m, (np.minimum(c, h) + mu * p) / (h + mu), p)
         out = np.log10(p)
         out[place == 0] = 0.0
@@ -238,50 +255,57 @@ def probe_rows(block: int, tokens: np.ndarray, place: np.ndarray, shape: SizedBl
     sizes = np.diff(np.append(np.flatnonzero(place == 0), len(tokens)))
     raw = sizes.astype("<u4").tobytes() + words[order_of_words].tobytes() + ranks[which].view(np.uint8).reshape(-1, 4).T.tobytes()
     rows = [(block, -1, len(sizes).to_bytes(8, "little") + len(words).to_bytes(8, "little") + pack.compress(raw))]
-    distinct, _ = distinct_grams(tokens, place, order)
+    distinct, _ = distinct_grams(tokens, place, order, shape)
     segments = shape.segment(distinct)
     starts = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(distinct)], strict=True):
-        rows.append((block, int(segments[a]), _pack(distinct[a:b] >> _DROPPED_BITS, np.zeros(b - a, np.int64), pack)))
+        rows.append((block, int(segments[a]), _pack(distinct[a:b] >> shape.dropped, np.zeros(b - a, np.int64), pack)))
     return rows
 
 
-def probed_levels(probes: DataFrame, bits: DataFrame, shape: SizedBloom) -> DataFrame:
-    """(block, segment, data): the level of each n-gram of the rows of `probes`, one byte each.
+def probed_levels(rows: DataFrame, bits: DataFrame, shape: SizedBloom) -> DataFrame:
+    """`rows` with the level of each n-gram, one byte each, in place of the n-grams; rows of segments below 0 as they are.
 
     A group holds a segment and its probes; there are as many segments as the input asks for, so both stay small.
     """
+    docs_type = rows.schema["docs"].dataType.simpleString()
+    dropped = shape.dropped
 
     def run(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack, asked, segment = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), [], key[0].as_py()
-        own = SizedBloom(shape.n_segments, shape.n_probes)
+        if segment < 0:
+            yield from groups
+            return
+        own = shape.empty()
         for g in groups:
+            kind = g.schema.field("docs").type
             for block, data in zip(g.column("block").to_pylist(), g.column("data").to_pylist(), strict=True):
                 if block is None:
                     own.load({segment: data})
                 else:
                     asked.append((block, data))
         for block, data in asked:
-            levels = probe_levels(own, _unpack(data, unpack)[0] << _DROPPED_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([segment], pa.int32()), pa.array([pack.compress(levels.astype(np.uint8).tobytes())], pa.binary())], ["block", "segment", "data"])
+            levels = probe_levels(own, _unpack(data, unpack)[0] << dropped)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([segment], pa.int32()), pa.array([pack.compress(levels.astype(np.uint8).tobytes())], pa.binary()), pa.nulls(1, kind)], ["block", "segment", "data", "docs"])
 
-    both = probes.select("block", "segment", "data").unionByName(bits.select(F.lit(None).cast("long").alias("block"), "segment", F.col("bits").alias("data")))
-    return both.groupBy("segment").applyInArrow(run, "block long, segment int, data binary")
+    held = bits.select(F.lit(None).cast("long").alias("block"), "segment", F.col("bits").alias("data"), F.lit(None).cast(docs_type).alias("docs"))
+    return rows.unionByName(held).groupBy("segment").applyInArrow(run, f"block long, segment int, data binary, docs {docs_type}")
 
 
-def block_counts(groups: Iterator[pa.RecordBatch], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Counts and places of a block's tokens, from its row -1 and the levels of all its segments."""
+def block_counts(rows: list[tuple[int, bytes]], order: int, shape: SizedBloom) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Counts of a block's tokens, the tokens and their places, from its row below 0 and the levels of all its segments."""
     unpack = zstandard.ZstdDecompressor()
-    rows = sorted((s, x) for g in groups for s, x in zip(g.column("segment").to_pylist(), g.column("data").to_pylist(), strict=True))
+    rows = sorted(rows)
     first = rows[0][1]
     n_texts, n_words, raw = int.from_bytes(first[:8], "little"), int.from_bytes(first[8:16], "little"), unpack.decompress(first[16:])
     sizes = np.frombuffer(raw, "<u4", n_texts).astype(np.int64)
     ends = np.cumsum(sizes)
     place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     ranks = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 * n_texts + 8 * n_words).reshape(4, -1).T).view("<u4").ravel()
-    _, which = distinct_grams(np.frombuffer(raw, np.uint64, n_words, 4 * n_texts)[ranks], place, order)
+    tokens = np.frombuffer(raw, np.uint64, n_words, 4 * n_texts)[ranks]
+    _, which = distinct_grams(tokens, place, order, shape)
     levels = np.concatenate([np.frombuffer(unpack.decompress(x), np.uint8) for _, x in rows[1:]])
-    return spread_counts(levels.astype(np.int64), which, place), place
+    return spread_counts(levels.astype(np.int64), which, place), tokens, place
 
 
 @dataclass
@@ -332,64 +356,51 @@ def _groups(texts: list[str | None], hashes: WordHashes, most: int = _TOKENS_A_G
         yield held
 
 
-def _choose_mu(texts: DataFrame, total: int, shared: Broadcast, shape: SizedBloom, bits: DataFrame) -> float:
-    """The mu of the grid with the highest leave-one-out likelihood over about SAMPLE_DOCS documents."""
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE_DOCS / max(total, 1))) + 1)
-
-    def result(out: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(len(MU_GRID)), pa.int32()), pa.array(out)], ["i", "s"])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, out = WordHashes(), np.zeros(len(MU_GRID))
-        for batch in batches:
-            for words in _groups(batch.column("text").to_pylist(), hashes):
-                tokens, place = flat_tokens(words)
-                counts = shared.value.counts(tokens, place)
-                out += [shared.value.log10(counts, place, mu, 1.0).sum() for mu in MU_GRID]
-        yield result(out)
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack, block = WordHashes(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for words in _groups(batch.column("text").to_pylist(), hashes, _TOKENS_A_PROBE_BLOCK):
-                cols = list(zip(*probe_rows(block, *flat_tokens(words), shape, shared.value.order, pack), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "segment", "data"])
-                block += len(words)
+def _mu(words: DataFrame, once: int, tokens: int) -> float:
+    """The mu of the grid for which contexts, weighed by their counts, leave to shorter ones the share of n-grams seen once."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 4)
+    found = [(r["mean"], r["n"]) for r in words.groupBy(step.alias("step")).agg(F.avg("n").alias("mean"), F.sum("n").alias("n")).collect()]  # one row for each quarter of a power of two
+    if not found:
+        return MU_GRID[-1]
+    share = min(once / tokens, 1.0)
+    left = lambda mu: sum(n * mu / (mean + mu) for mean, n in found) / sum(n for _, n in found)
+    low, high = math.log(1e-3), math.log(1e9)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if left(math.exp(middle)) < share else (low, middle)
+    return min(MU_GRID, key=lambda mu: abs(math.log(mu) - low))
 
-    def block_sums(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, place = block_counts(groups, shared.value.order)
-        yield result(np.array([shared.value.log10(counts, place, mu, 1.0).sum() for mu in MU_GRID]))
 
-    if shared.value.bloom is not None:
-        each = sample.mapInArrow(sums, "i int, s double")
-    else:
-        rows = written(sample.mapInArrow(probes, "block long, segment int, data binary"), "lm-mu-probes")
-        answers = probed_levels(rows.where("segment >= 0"), bits, shape)
-        each = rows.where("segment = -1").unionByName(answers).groupBy("block").applyInArrow(block_sums, "i int, s double")
-    found = each.groupBy("i").agg(F.sum("s").alias("s")).collect()
-    return MU_GRID[max(found, key=lambda r: (r["s"], -r["i"]))["i"]] if found else MU_GRID[-1]
+def exact_counts(tokens: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens' counts as the broadcast words have them, else 0, and which of them each token is."""
+    distinct, which = np.unique(tokens, return_inverse=True)
+    if not len(head[0]):
+        return np.zeros(len(distinct), np.int64), which
+    at = np.minimum(np.searchsorted(head[0], distinct), len(head[0]) - 1)
+    return np.where(head[0][at] == distinct, head[1][at], 0), which
 
 
 def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, filter_bytes: int = FILTER_BYTES, n_probes: int = 3, head_words: int = HEAD_WORDS) -> LanguageModel:
     """Count all rows of `docs` and build the model. A filter of more than `filter_bytes` is not broadcast but joined."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = texts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_segments = 64
-    while n_segments * _TOKENS_A_SEGMENT < size["bytes"] * order // 5:
+    while n_segments * _TOKENS_A_SEGMENT < n_bytes * order // 5:
         n_segments *= 2
-    shape = SizedBloom(n_segments, n_probes)
-    merged = written(merged_counts(count_blocks(texts, order, n_segments), shape), "lm-counts")
-    words, bits = merged.where("word IS NOT NULL").select("word", "n"), merged.where("word IS NULL").select("segment", "bits", "n")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("vocabulary")).first()
+    shape = SizedBloom(n_segments, n_probes, 64 - kept_bits(n_bytes * order // 4))
+    merged = written(merged_counts(count_blocks(texts, order, shape), shape), "lm-counts")
+    words, bits = merged.where("word IS NOT NULL").select("word", "n"), merged.where("word IS NULL").select("segment", "bits", "n", "once")
+    middle = 1.5 * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")))) - 0.5
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("vocabulary"), F.coalesce(F.sum(middle), F.lit(0.0)).alias("level_tokens")).first()
+    filled = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("once"), F.lit(0)).alias("once")).first()
     bloom = None
-    if bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= filter_bytes:
-        bloom = SizedBloom(n_segments, n_probes)
+    if filled["bytes"] <= filter_bytes:
+        bloom = shape.empty()
         bloom.load({row["segment"]: row["bits"] for row in bits.select("segment", "bits").toLocalIterator()})  # filter_bytes at most
-    scorer = Scorer(bloom, order, totals["tokens"], totals["vocabulary"])
+    scorer = Scorer(bloom, order, totals["tokens"], totals["vocabulary"], totals["level_tokens"])
     shared = spark.sparkContext.broadcast(scorer)
-    mu = _choose_mu(texts, size["rows"], shared, shape, bits)
-    return LanguageModel(scorer, shared, mu, words, _head(words, head_words), shape, bits)
+    return LanguageModel(scorer, shared, _mu(words, filled["once"], max(totals["tokens"], 1)), words, _head(words, head_words), shape, bits.drop("once"))
 
 
 def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,65 +408,77 @@ def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: st
     spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
     shared, frequent, mu = model.shared, spark.sparkContext.broadcast(model.head), model.mu
     train_tokens, vocabulary = model.scorer.tokens, model.scorer.vocabulary
-    texts = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shape, joined = model.shape, model.scorer.bloom is None
-    names = ["row", "doc_id", "held_out", "n_tokens", "head_log", "head_known", "score", "tail", "block", "segment", "data"]
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    shape, joined, order = model.shape, model.scorer.bloom is None, model.scorer.order
+    fields = ["doc_id", "held_out", "n_tokens", "head_log", "head_known", "tail"]
+    types = f"doc_id {id_type}, held_out boolean, n_tokens long, head_log double, head_known long, tail array<long>"
+
+    def looked_up(part: pa.RecordBatch, words: list[np.ndarray], tokens: np.ndarray, place: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+        """The columns of `types` for some texts, and the exact counts of their tokens."""
+        first, real = np.flatnonzero(place == 0), place > 0
+        counts, which = exact_counts(tokens, frequent.value)
+        exact = counts[which]
+        seen, rare = (exact > 0) & real, (exact == 0) & real
+        logs = np.log10(counts + 1.0)[which]
+        tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(rare, first, dtype=np.int64))), pa.int32()), pa.array(tokens[rare].view(np.int64)))
+        columns = [part["doc_id"], part["held_out"], pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(np.add.reduceat(np.where(seen, logs, 0.0), first)), pa.array(np.add.reduceat(seen, first, dtype=np.int64)), tail]
+        return columns, exact
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, (head, head_counts) = shared.value, frequent.value
         hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             start = 0
-            kinds = {"doc_id": batch.schema.field("doc_id").type, "held_out": pa.bool_(), "head_log": pa.float64(), "score": pa.float64(), "tail": pa.list_(pa.int64()), "segment": pa.int32(), "data": pa.binary()}
-            for words in _groups(batch.column("text").to_pylist(), hashes, _TOKENS_A_PROBE_BLOCK if joined else _TOKENS_A_GROUP):
+            for words in _groups(batch.column("text").to_pylist(), hashes):
                 tokens, place = flat_tokens(words)
-                first = np.flatnonzero(place == 0)
-                if joined:
-                    score = pa.nulls(len(words), pa.float64())
-                    asked = list(zip(*probe_rows(row, tokens, place, shape, scorer.order, pack), strict=True))
-                    asked = {"block": pa.array(asked[0], pa.int64()), "segment": pa.array(asked[1], pa.int32()), "data": pa.array(asked[2], pa.binary())}
-                    yield pa.RecordBatch.from_arrays([asked[c] if c in asked else pa.nulls(len(asked["block"]), kinds.get(c, pa.int64())) for c in names], names)
-                else:
-                    score = pa.array(np.add.reduceat(scorer.log10(scorer.counts(tokens, place), place, mu), first))
-                distinct, which = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(head, distinct), max(len(head) - 1, 0))
-                known = head[at] == distinct if len(head) else np.zeros(len(distinct), bool)
-                logs = np.zeros(len(distinct))
-                logs[known] = np.log10(head_counts[at[known]] + 1.0)
-                real = place > 0
-                seen = known[which] & real
-                rare = ~known[which] & real
-                tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(rare, first, dtype=np.int64))), pa.int32()), pa.array(tokens[rare].view(np.int64)))
-                part = batch.slice(start, len(words))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(len(words)) + row, pa.int64()), part["doc_id"], part["held_out"], pa.array([len(w) + 1 for w in words], pa.int64()),
-                        pa.array(np.add.reduceat(np.where(seen, logs[which], 0.0), first)), pa.array(np.add.reduceat(seen, first, dtype=np.int64)), score, tail,
-                        *[pa.nulls(len(words), kinds.get(c, pa.int64())) for c in names[8:]],
-                    ],
-                    names,
-                )
+                columns, exact = looked_up(batch.slice(start, len(words)), words, tokens, place)
+                logs = shared.value.log10(shared.value.counts(tokens, place), place, mu, exact)
+                sums = pa.array(np.add.reduceat(logs, np.flatnonzero(place == 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words)) + row), *columns, sums], ["row", *fields, "score"])
                 start += len(words)
                 row += len(words)
 
-    def block_scores(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, place = block_counts(groups, shared.value.order)
-        sums = np.add.reduceat(shared.value.log10(counts, place, mu), np.flatnonzero(place == 0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)) + key[0].as_py()), pa.array(sums)], ["row", "score"])  # a block has the number of its first row
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, row, pack = WordHashes(), TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            start = 0
+            for words in _groups(batch.column("text").to_pylist(), hashes, _TOKENS_A_PROBE_BLOCK):
+                tokens, place = flat_tokens(words)
+                columns, _ = looked_up(batch.slice(start, len(words)), words, tokens, place)
+                own = pa.StructArray.from_arrays(columns, fields)
+                rows = probe_rows(row, tokens, place, shape, order, pack)
+                cols = list(zip(*rows, strict=True))
+                # the tokens' row comes first, and passes by the segments under a number below 0 that spreads such rows
+                segment = pa.array([-1 - (row >> 33) * 31 % 4096 - (row & 0xFFFFFFFF) % 61, *cols[1][1:]], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array([0, *[len(words)] * len(rows)], pa.int32()), own, mask=pa.array([False, *[True] * (len(rows) - 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), segment, pa.array(cols[2], pa.binary()), lists], ["block", "segment", "data", "docs"])
+                start += len(words)
+                row += len(words)
 
-    schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, head_log double, head_known long, score double, tail array<long>, block long, segment int, data binary"
-    table = written(texts.mapInArrow(scored, schema), "lm-scored")
-    head = table.where("row IS NOT NULL").select(*names[:8])
+    def block_scores(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, own = [], None
+        for g in groups:
+            rows += zip(g.column("segment").to_pylist(), g.column("data").to_pylist(), strict=True)
+            docs = g.column("docs").drop_null()
+            own = docs.flatten() if len(docs) else own
+        counts, tokens, place = block_counts(rows, order, shape)
+        known, which = exact_counts(tokens, frequent.value)
+        sums = np.add.reduceat(shared.value.log10(counts, place, mu, known[which]), np.flatnonzero(place == 0))
+        # a block has the number of its first row
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)) + key[0].as_py()), *[own.field(c) for c in fields], pa.array(sums)], ["row", *fields, "score"])
+
+    schema = f"row long, {types}, score double"
     if joined:
-        probes = table.where("row IS NULL").select("block", "segment", "data")
-        answers = probed_levels(probes.where("segment >= 0"), model.bits, shape)
-        scores = probes.where("segment = -1").unionByName(answers).groupBy("block").applyInArrow(block_scores, "row long, score double")
-        head = head.drop("score").join(scores, "row")
-    tail = head.select("row", F.explode("tail").alias("word")).join(model.words, "word")
+        rows = texts.mapInArrow(asked, f"block long, segment int, data binary, docs array<struct<{types.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>")
+        table = probed_levels(rows, model.bits, shape).groupBy("block").applyInArrow(block_scores, schema)
+    else:
+        table = texts.mapInArrow(scored, schema)
+    table = written(table, "lm-scored")
+    for sent in (shared, frequent):
+        sent.unpersist()
+    tail = table.select("row", F.explode("tail").alias("word")).join(model.words, "word")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("tail_log"), F.count("*").alias("tail_known"))
     each = math.log10(train_tokens + vocabulary + 1)
-    return head.drop("tail").join(tail, "row", "left").select(
+    return table.drop("tail").join(tail, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
