@@ -34,16 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    # Spark removes shuffle files and broadcasts of finished steps when the driver collects garbage, which a large idle heap puts off
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash. It forgets all words once it holds many, so memory stays bounded."""
 
