@@ -5,7 +5,7 @@ the counts of vote patterns estimates how often each rule casts each vote on goo
 documents; a document's posterior quality then decides, instead of all rules having to pass.
 `base_failed` tells which documents fail the base rules; only the query op7 keeps none of these.
 
-The pattern table has at most 3 ** len(RULES) rows whatever the input, so the iterations
+The pattern table has at most 3 ** len(RULES) rows whatever the input, so the iterations, one SQL expression over these,
 cost the same at any size. Documents are read once: their slim statistics are written to the shared
 folder and read again for the verdict.
 
@@ -143,37 +143,46 @@ def start_model(n_rules: int) -> VoteModel:
     return VoteModel(START_PRIOR, [(START_BAD, START_GOOD)] * n_rules)
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of `body` where `name` stands for `value`."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0D, (total, each) -> total + each)"
+
+
 def fit_votes(patterns: DataFrame, names: list[str], rounds: int = MAX_ROUNDS) -> VoteModel:
     """EM over a table of vote patterns: columns `names` (0, 1 or -1) and `n`, the number of documents.
 
-    Each round is one aggregation to one row. Estimates stay anchored to the start with
-    the weight ANCHOR, so the two classes cannot change places.
+    All rounds are one SQL expression over one row that holds the patterns, 3 ** len(names) of them at most. Its state is an array: the
+    prior, then for each rule P(0|bad), P(1|bad), P(0|good), P(1|good). It stays as it is once a round moves it by less than TOLERANCE. Estimates stay
+    anchored to the start with the weight ANCHOR, so the two classes cannot change places.
     """
-    model = start_model(len(names))
-    votes = [F.col(c) for c in names]
-    for _ in range(rounds):
-        good = F.col("n") * model.posterior(votes)
-        bad = F.col("n") - good
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        for i, v in enumerate(votes):
-            for value in (0, 1):
-                sums += [F.sum(F.when(v == value, x).otherwise(0.0)).alias(f"{kind}{i}_{value}") for kind, x in (("bad", bad), ("good", good))]
-        row = patterns.coalesce(1).agg(*sums).first()  # one task a round, without a shuffle
-        if not row["n"]:
-            break
-        weight = ANCHOR * row["n"]
-        share = lambda kind, i, v, total, start: (row[f"{kind}{i}_{v}"] + weight * start[v]) / (total + weight)
-        prior = (row["good"] + weight * START_PRIOR) / (row["n"] + weight)
-        total_bad = row["n"] - row["good"]
-        table = [
-            (tuple(share("bad", i, v, total_bad, START_BAD) for v in (0, 1)), tuple(share("good", i, v, row["good"], START_GOOD) for v in (0, 1)))
-            for i in range(len(names))
-        ]
-        moved = max([abs(prior - model.prior), *(abs(a - b) for new, old in zip(table, model.table, strict=True) for x, y in zip(new, old, strict=True) for a, b in zip(x, y, strict=True))])
-        model = VoteModel(prior, table)
-        if moved < TOLERANCE:
-            break
-    return model
+    m = len(names)
+    votes = patterns.select(F.array(*[F.col(c).cast("int") for c in names]).alias("v"), F.col("n").cast("double").alias("n"))
+    row = votes.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("total")).withColumn("w", F.lit(ANCHOR) * F.col("total"))
+
+    # for each rule and vote, how many documents have it
+    row = row.withColumn("cast_votes", F.expr(f"transform(sequence(0, {2 * m - 1}), k -> {_sum('transform(p, x -> if(x.v[k div 2] = k % 2, x.n, 0D))')})"))
+    side = lambda at: f"(CASE k % 3 WHEN 0 THEN 1 - s[4 * (k div 3) + {at}] - s[4 * (k div 3) + {at + 1}] WHEN 1 THEN s[4 * (k div 3) + {at}] ELSE s[4 * (k div 3) + {at + 1}] END)"
+    ratios = f"transform(sequence(0, {3 * m - 1}), k -> ln({side(3)} / {side(1)}))"
+    odds = f"aggregate(sequence(0, {m - 1}), ln(s[0] / (1 - s[0])), (total, i) -> total + ratios[3 * i + x.v[i] + 1])"
+    good = f"transform(p, x -> x.n / (1 + exp(-{odds})))"
+    good_votes = f"transform(sequence(0, {2 * m - 1}), k -> {_sum('zip_with(p, good, (x, g) -> if(x.v[k div 2] = k % 2, g, 0D))')})"
+    share = lambda seen, mass, start: f"({seen} + w * {start}D) / ({mass} + w)"
+    shares = [share(f"cast_votes[2 * i + {v}] - good_votes[2 * i + {v}]", "total - good_mass", START_BAD[v]) for v in (0, 1)]
+    shares += [share(f"good_votes[2 * i + {v}]", "good_mass", START_GOOD[v]) for v in (0, 1)]
+    new = f"concat(array({share('good_mass', 'total', START_PRIOR)}), flatten(transform(sequence(0, {m - 1}), i -> array({', '.join(shares)}))))"
+    after = _let("new", new, f"struct(new AS s, array_max(zip_with(new, s, (a, b) -> abs(a - b))) < {TOLERANCE}D AS done)")
+    after = _let("ratios", ratios, _let("good", good, _let("good_mass", _sum("good"), _let("good_votes", good_votes, after))))
+    start = ", ".join(f"{x}D" for x in (START_PRIOR, *([*START_BAD, *START_GOOD] * m)))
+    fitted = f"aggregate(sequence(1, {rounds}), struct(array({start}) AS s, false AS done), (state, round) -> if(state.done, state, {_let('s', 'state.s', after)}))"
+    found = row.where("total > 0").select(F.expr(fitted).alias("state")).first()
+    if found is None or rounds < 1:
+        return start_model(m)
+    prior, *rest = found["state"]["s"]
+    return VoteModel(prior, [((rest[4 * i], rest[4 * i + 1]), (rest[4 * i + 2], rest[4 * i + 3])) for i in range(m)])
 
 
 def judge_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
