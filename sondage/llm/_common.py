@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def values(column: pa.Array, step: int = 256) -> Iterator:
+    """The Python values of a column, a few rows at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash. It forgets all words once it holds many, so memory stays bounded."""
 

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mixed, written
+from ._common import WordHashes, mixed, values, written
 from .bloom import SegmentedBloom, build_bloom
 
 SHINGLE_WORDS = 4
@@ -54,6 +54,8 @@ COARSE = 4
 BLOOM_BYTES = (1 << 16, 1 << 26)
 #: Bytes of bit maps in a block of sets.
 BLOCK_BYTES = 1 << 17
+#: Bytes of bit maps that a block meets at once.
+CHUNK_BYTES = 1 << 20
 #: Pairs returned for each two components by one comparison of two blocks, the first time; more at each repetition.
 PAIRS_OF_COMPONENTS = 16
 HOT_COPIES = 1_000
@@ -234,7 +236,7 @@ def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[i
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             ns, keys = [], []
-            for text, digest in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+            for text, digest in zip(values(batch.column("text")), values(batch.column("digest")), strict=True):
                 if digest in texts_seen:
                     n, key = texts_seen[digest]
                     ns.append(n)
@@ -466,10 +468,18 @@ def near_blocks(met: Met, labels: DataFrame | None, most: int | None) -> DataFra
     pairs = pairs.select("first", F.explode(F.expr("slice(blocks, place + 1, size(blocks))")).alias("second")).distinct()
     pairs = written(pairs, "jaccard-block-pairs")
     needed = pairs.select(F.explode(F.array("first", "second")).alias("block")).distinct()
-    packed = own.join(needed, "block", "left_semi").groupBy("block").agg(F.collect_list(F.struct("key", "label", "n", "bits")).alias("sets"))
+    packed = own.join(needed, "block", "left_semi").groupBy("block")
+    packed = packed.agg(F.collect_list(F.struct("key", "label", "n", "bits")).alias("sets"), F.sum(F.octet_length("bits") + 24).alias("bytes"))
     packed = written(packed, "jaccard-blocks")
-    both = pairs.join(packed.select(F.col("block").alias("first"), F.col("sets").alias("left")), "first")
-    both = both.join(packed.select(F.col("block").alias("second"), F.col("sets").alias("right")), "second")
+    # of two blocks the smaller one travels; what travels to one block comes in chunks of a bounded size
+    sizes = packed.select("block", F.struct("bytes", "block").alias("of"))
+    sized = pairs.join(sizes.withColumnsRenamed({"block": "first", "of": "a"}), "first").join(sizes.withColumnsRenamed({"block": "second", "of": "b"}), "second")
+    sized = sized.select(F.greatest("a", "b").alias("large"), F.least("a", "b").alias("small"))
+    sized = written(sized.select(F.col("large.block").alias("large"), F.col("small.block").alias("block"), F.col("small.bytes").alias("bytes")), "jaccard-block-pairs")
+    chunks = sized.groupBy("large").agg(F.ceil(F.sum("bytes") / CHUNK_BYTES).alias("chunks"))
+    travels = sized.drop("bytes").join(chunks, "large").join(packed.select("block", "sets"), "block")
+    travels = travels.groupBy("large", F.pmod(F.xxhash64("block"), F.col("chunks")).alias("chunk")).agg(F.flatten(F.collect_list("sets")).alias("right"))
+    both = travels.join(packed.select(F.col("block").alias("large"), F.col("sets").alias("left")), "large")
     found = both.select("left", "right").mapInArrow(run, "key long, center long, more boolean")
     return found.groupBy("key", "center").agg(F.max("more").alias("more"))
 

@@ -32,7 +32,7 @@ count as often as they stand there and each get their score; other columns are n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +42,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mixed, written
+from ._common import WordHashes, mixed, values, written
 from .bloom import SizedBloom
 
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -135,7 +135,7 @@ def count_blocks(texts: DataFrame, order: int, shape: SizedBloom) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in values(batch.column("text")):
                 held.append(hashes.of(text))
                 size += len(held[-1]) + 2
                 if size > _TOKENS_A_BLOCK:
@@ -343,7 +343,7 @@ def _head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _groups(texts: list[str | None], hashes: WordHashes, most: int = _TOKENS_A_GROUP) -> Iterator[list[np.ndarray]]:
+def _groups(texts: Iterable[str | None], hashes: WordHashes, most: int = _TOKENS_A_GROUP) -> Iterator[list[np.ndarray]]:
     """Word hashes of whole texts, in groups of about `most` tokens."""
     held, size = [], 0
     for text in texts:
@@ -428,7 +428,7 @@ def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: st
         hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             start = 0
-            for words in _groups(batch.column("text").to_pylist(), hashes):
+            for words in _groups(values(batch.column("text")), hashes):
                 tokens, place = flat_tokens(words)
                 columns, exact = looked_up(batch.slice(start, len(words)), words, tokens, place)
                 logs = shared.value.log10(shared.value.counts(tokens, place), place, mu, exact)
@@ -441,7 +441,7 @@ def score(docs: DataFrame, model: LanguageModel, held_out: Column, *, id_col: st
         hashes, row, pack = WordHashes(), TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             start = 0
-            for words in _groups(batch.column("text").to_pylist(), hashes, _TOKENS_A_PROBE_BLOCK):
+            for words in _groups(values(batch.column("text")), hashes, _TOKENS_A_PROBE_BLOCK):
                 tokens, place = flat_tokens(words)
                 columns, _ = looked_up(batch.slice(start, len(words)), words, tokens, place)
                 own = pa.StructArray.from_arrays(columns, fields)
