@@ -34,11 +34,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path, schema = shared_path(spark, name), df.schema
     df.write.parquet(path)
+    del df  # so that its shuffle files go as well
     # Spark removes shuffle files and broadcasts of finished steps when the driver collects garbage, which a large idle heap puts off
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def values(column: pa.Array, step: int = 256) -> Iterator:
