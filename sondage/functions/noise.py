@@ -42,9 +42,13 @@ def flattened(distribution: Column, temperature: float) -> Column:
 
 
 def answer_distribution(log_values: Column, valid: list[str]) -> Column:
-    """Token log-values to P(answer): summed for each answer; an absent one is floored below all tokens. Null if empty."""
-    entries = F.map_entries(log_values)
-    floor = F.array_min(F.map_values(log_values)) - FLOOR_MARGIN
+    """Token log-values to P(answer): summed for each answer; an absent one is floored below all tokens. Null if empty.
+
+    Values count from the greatest one, so that very low ones do not all become 0.
+    """
+    top = F.array_max(F.map_values(log_values))
+    entries = F.transform(F.map_entries(log_values), lambda e: F.struct(e["key"].alias("key"), (e["value"] - top).alias("value")))
+    floor = F.array_min(F.map_values(log_values)) - top - FLOOR_MARGIN
 
     def weight(answer: str) -> Column:
         mine = F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == answer)

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Answer phrases and their codes, longest phrase first.
-LIKERT_PHRASES = [
-    ("strongly disagree", 1),
-    ("strongly agree", 5),
-    ("disagree", 2),
-    ("neutral", 3),
-    ("agree", 4),
-]
+#: Answer phrases and their codes.
+LIKERT_PHRASES = {
+    "strongly disagree": 1,
+    "strongly agreed": 5,
+    "strongly agree": 5,
+    "neither agree nor disagree": 3,
+    "neither agree or disagree": 3,
+    "neutral": 3,
+    "disagree": 2,
+    "agree": 4,
+}
+#: Words that mean yes or no.
+YES = ["yes", "yeah", "yep", "yup", "true", "correct"]
+NO = ["no", "nope", "nah", "false", "incorrect"]
+#: Marks stripped off both ends of a reply.
+OUTER_MARKS = r"[\s.,;:!?'\"`*\-_()\[\]]+"
+#: Words that soften a claim, and words that make it absolute.
+HEDGES = ["sometimes", "usually", "often", "generally", "tend", "tends", "maybe", "might", "somewhat", "rather", "fairly", "occasionally", "mostly", "typically", "quite", "prefer"]
+ABSOLUTES = ["always", "never", "every", "all", "none", "completely", "entirely", "exactly", "only", "nothing", "everyone", "anyone"]
 
 
 def stripped(text: Column) -> Column:
@@ -34,29 +45,34 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z']+"), F.lit(0)))
 
 
-def wording_features(text: Column) -> Column:
-    """Words, and whether hedges and absolute words occur."""
+def wording_features(text: Column, kind: Column | None = None) -> Column:
+    """Words, whether hedges and absolute words occur, and, where the item's type is given, whether it is binary."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z']+"), F.lit(0))
-    has = lambda *ws: F.arrays_overlap(words, F.array(*map(F.lit, ws))).cast("int")
-    return F.struct(F.size(words).alias("n_words"), has("often", "sometimes", "usually").alias("hedge"), has("always", "never", "every").alias("absolute"))
+    has = lambda ws: F.arrays_overlap(words, F.array(*map(F.lit, ws))).cast("int")
+    more = [] if kind is None else [F.coalesce(kind == "binary", F.lit(False)).cast("int").alias("is_binary")]
+    return F.struct(F.size(words).alias("n_words"), has(HEDGES).alias("hedge"), has(ABSOLUTES).alias("absolute"), *more)
+
+
+def _words(options: list[str]) -> str:
+    """A pattern of whole words or phrases, the longest first where one begins like another."""
+    return "(?<![a-z])(" + "|".join(sorted(options, key=len, reverse=True)) + ")(?![a-z])"
 
 
 def likert_candidates(text: Column) -> Column:
-    """Distinct answers that a text may mean: phrases first, blanked once matched, then lone digits 1-5."""
-    rest, found = clean(text), []
-    for phrase, code in LIKERT_PHRASES:
-        pattern = rf"(?<![a-z]){phrase}(?![a-z])"
-        found.append(F.when(rest.rlike(pattern), F.lit(code)))
-        rest = F.regexp_replace(rest, pattern, " ")
-    digits = F.regexp_extract_all(rest, F.lit(r"(?<![0-9.])[1-5](?![0-9]|\.[0-9])"), F.lit(0)).cast("array<int>")
-    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), digits)))
+    """Distinct answers that a text may mean: the codes of its phrases, and lone digits 1-5 outside these."""
+    cleaned, pattern = clean(text), _words(list(LIKERT_PHRASES))
+    codes = F.create_map(*[F.lit(x) for pair in LIKERT_PHRASES.items() for x in pair])
+    phrases = F.transform(F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(1)), lambda p: F.element_at(codes, p))
+    digits = F.regexp_extract_all(F.regexp_replace(cleaned, pattern, " "), F.lit(r"(?<![0-9.])[1-5](?![0-9]|\.[0-9])"), F.lit(0)).cast("array<int>")
+    return F.array_sort(F.array_distinct(F.concat(phrases, digits)))
 
 
 def binary_candidates(text: Column) -> Column:
-    c = clean(text)
-    yes = c.rlike(r"(?<![a-z])(yes|yeah|yep|true)(?![a-z])") | (c == "y")
-    no = c.rlike(r"(?<![a-z])(no|nope|false)(?![a-z])") | (c == "n")
-    return F.array_compact(F.array(F.when(yes, F.lit("yes")), F.when(no, F.lit("no"))))
+    """`yes` and `no`, as far as a text may mean them; a lone y or n, outer marks apart, decides by itself."""
+    cleaned = clean(text)
+    bare = F.regexp_replace(cleaned, f"^{OUTER_MARKS}|{OUTER_MARKS}$", "")
+    found = F.array_compact(F.array(F.when(cleaned.rlike(_words(YES)), F.lit("yes")), F.when(cleaned.rlike(_words(NO)), F.lit("no"))))
+    return F.when(bare == "y", F.array(F.lit("yes"))).when(bare == "n", F.array(F.lit("no"))).otherwise(found)
 
 
 def normalize_answer(text: Column, kind: Column) -> Column:

@@ -440,7 +440,7 @@ def duplicate_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("normal").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query("""SELECT conv_id, turn, len(w)::INTEGER AS n_words, list_has_any(w, ['often', 'sometimes', 'usually'])::INTEGER AS hedge, list_has_any(w, ['always', 'never', 'every'])::INTEGER AS absolute
+@query("""SELECT conv_id, turn, len(w)::INTEGER AS n_words, list_has_any(w, ['sometimes', 'usually', 'often', 'generally', 'tend', 'tends', 'maybe', 'might', 'somewhat', 'rather', 'fairly', 'occasionally', 'mostly', 'typically', 'quite', 'prefer'])::INTEGER AS hedge, list_has_any(w, ['always', 'never', 'every', 'all', 'none', 'completely', 'entirely', 'exactly', 'only', 'nothing', 'everyone', 'anyone'])::INTEGER AS absolute
 FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM conversations)""")
 def wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.wording_features(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")

@@ -23,6 +23,35 @@ def test_replies(spark):
     assert [one(spark, text.normalize_answer(F.lit(t), F.lit("binary")))["answer"] for t in ("Yes", "no!", "yes no", "y")] == ["yes", "no", None, "yes"]
 
 
+def test_whole_phrase_lists(spark):
+    likert = [("Neither agree nor disagree.", "3"), ("neither  agree or disagree", "3"), ("Strongly agreed!", "5"), ("(4)", "4"), ("I disagree, not agree", None)]
+    binary = [("yup", "yes"), ("Correct.", "yes"), ("nah", "no"), ("incorrect", "no"), ("y.", "yes"), ("(N)", "no"), ("incorrect, yes", None), ("why", None)]
+    for kind, cases in (("likert5", likert), ("binary", binary)):
+        df = spark.createDataFrame(cases, "t string, a string")
+        assert [(r.t, r.got) for r in df.select("t", text.normalize_answer(F.col("t"), F.lit(kind))["answer"].alias("got")).collect()] == cases
+
+
+def test_wording(spark):
+    got = one(spark, text.wording_features(F.lit("I rarely, maybe NEVER, don't"), F.lit("binary")))
+    assert tuple(got) == (5, 1, 1, 1)
+    assert tuple(one(spark, text.wording_features(F.lit("fine"), F.lit(None).cast("string")))) == (1, 0, 0, 0)
+
+
+def test_noise_functions(spark):
+    logs = F.create_map(F.lit("1"), F.lit(-1000.0), F.lit("2"), F.lit(-1001.0))
+    got = one(spark, noise.answer_distribution(logs, ["1", "2"]))
+    assert np.isclose(got["1"], 1 / (1 + np.exp(-1)))
+    dist = F.create_map(F.lit("a"), F.lit(0.64), F.lit("b"), F.lit(0.36))
+    assert one(spark, noise.conviction(dist)) == 0.64
+    assert np.isclose(one(spark, noise.flattened(dist, 2.0))["a"], 0.8 / 1.4)
+    assert np.isclose(one(spark, noise.event_probability(F.lit(0.5), F.lit(0.6), 0.2, 1.0)), 0.3)
+    assert one(spark, noise.event_probability(F.lit(50.0), F.lit(0.0), 1.0, 1.0)) == noise.EVENT_CAP
+    top = F.array(*[F.struct(F.lit(t).alias("tok"), F.lit(p).alias("p")) for t, p in (("x", 0.2), ("1", 0.5), ("2", 0.3))])
+    gap = one(spark, noise.conviction_gap(top, ["1", "2"]))
+    assert np.isclose(gap["gap"], 0.25) and gap["second"] == "2"
+    assert [one(spark, text.is_clean_reply(F.lit(t), 0, 10)) for t in (" 7 ", "11", "7 of 10", "+3")] == [True, False, False, True]
+
+
 def test_scores_and_shares(spark):
     assert one(spark, text.parse_score(F.lit("between 3 and 7, so 6"), 0, 10)) == 6
     assert one(spark, text.parse_score(F.lit("12"), 0, 10)) is None
