@@ -375,7 +375,7 @@ class Met:
     documents: DataFrame  # (doc_id, n, key) of every row
     by_key: DataFrame  # (key, first_id, n, digest, copies) of all sets that are not empty
     members: DataFrame  # (sig, key): sets that share a segment with another
-    stars: DataFrame  # (key, center): each of them with the smallest key that it shares a segment with
+    stars: DataFrame  # (key, center): each of them with the smallest keys that it shares segments with, and with its leader
     placed: DataFrame  # (key, n, bits, block) of each of them
     size: int
     threshold: tuple[int, int]
@@ -408,6 +408,7 @@ def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tupl
     parts = led.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("bits") + 24) / BLOCK_BYTES).alias("parts"))
     block = F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("parts")))
     placed = written(led.join(parts, "leader").select("key", "n", "bits", block.alias("block")), "jaccard-placed")
+    stars = stars.unionByName(led.where("key <> leader").select("key", F.col("leader").alias("center"))).distinct()
     return Met(texts, documents.drop("digest"), by_key, members.select("sig", "key"), stars, placed, size, threshold)
 
 
