@@ -56,8 +56,10 @@ BLOOM_BYTES = (1 << 16, 1 << 26)
 BLOCK_BYTES = 1 << 17
 #: Bytes of bit maps that a block meets at once.
 CHUNK_BYTES = 1 << 20
-#: Pairs returned for each two components by one comparison of two blocks, the first time; more at each repetition.
-PAIRS_OF_COMPONENTS = 1_000
+#: Pairs returned for each two components by one comparison of a block: few the first time, which joins most components that link at
+#: all, more at each repetition.
+PAIRS_OF_COMPONENTS = 4
+MORE_PAIRS = 250
 HOT_COPIES = 1_000
 _FLUSH = 500_000
 _SIGS_A_BUCKET = 250_000
@@ -533,7 +535,7 @@ def connected(met: Met) -> DataFrame | None:
         open_pairs = _labelled(_labelled(found.where("more"), labels, "key", "a"), labels, "center", "b").where("a <> b")
         if open_pairs.isEmpty():
             return labels
-        most *= 16
+        most *= MORE_PAIRS
 
 
 def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
