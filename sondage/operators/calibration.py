@@ -54,7 +54,7 @@ def expected_calibration_error(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def graded(pairs: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """Brier, log loss and pooled correlation of each grouping set of `pairs` (cell, p, t and the grouping columns)."""
+    """Brier score and pooled correlation of each grouping set of `pairs` (cell, p, t and the grouping columns)."""
     names = sorted({c for s in sets for c in s})
     rows = pairs.groupingSets([[F.col(c) for c in s] for s in sets], *names)
     return rows.agg(F.countDistinct("cell").alias("cells"), brier_mean(F.col("p"), F.col("t")).alias("brier"), safe_corr(F.col("p"), F.col("t")).alias("corr"))
