@@ -64,3 +64,73 @@ def variance_split(df: DataFrame, slot: str, value: str) -> DataFrame:
     """Total variance and its share between slots."""
     mean = F.avg(value).over(Window.partitionBy(slot))
     return df.select(F.col(value).alias("v"), mean.alias("m")).agg(F.var_pop("v").alias("total"), F.var_pop("m").alias("between"), F.avg(F.pow(F.col("v") - F.col("m"), 2)).alias("within"))
+
+
+def arm_grades(pairs: DataFrame, sets: list[list[str]], *, n_bins: int = 10) -> DataFrame:
+    """One row for each group of each grouping set: cells, brier, brier_sd (over cells), log_loss, corr (pooled) and ece.
+
+    `pairs` has cell, p, t and the grouping columns, one row for each category of a cell. Cells are scored first, so that a cell with more
+    categories weighs no more; correlation and calibration pool the pairs. Rows with a null key are in no group of that set. Groups of different sets are told apart by `level`, the place of the set.
+    """
+    names = sorted({c for s in sets for c in s})
+    out = None
+    for level, keys in enumerate(sets):
+        each = pairs.groupBy(*keys, "cell").agg(brier_mean(F.col("p"), F.col("t")).alias("b"), log_loss(F.col("p"), F.col("t")).alias("l"))
+        cells = each.groupBy(*keys).agg(F.count("*").alias("cells"), F.avg("b").alias("brier"), F.stddev_pop("b").alias("brier_sd"), F.avg("l").alias("log_loss"))
+        pooled = pairs.groupBy(*keys).agg(safe_corr(F.col("p"), F.col("t")).alias("corr"))
+        ece = expected_calibration_error(calibration_bins(pairs, keys, "p", "t", n_bins), keys).drop("n")
+        row = cells
+        for other in (pooled, ece):
+            row = row.join(other, keys) if keys else row.crossJoin(other)  # one row each without keys
+        row = row.select(F.lit(level).alias("level"), *[F.col(c) if c in keys else F.lit(None).cast(dict(pairs.dtypes)[c]).alias(c) for c in names], "cells", "brier", "brier_sd", "log_loss", "corr", "ece")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def resample_weights(people: DataFrame, person: str, rounds: int, draw: Column) -> DataFrame:
+    """(round, person, w): how often each person is drawn in each round of a bootstrap; people that are not drawn have no row.
+
+    `draw` is a uniform number of `__slot` (0 to n - 1) and `round`. Slots follow the hash of a person, and the row number within 256 buckets.
+    """
+    numbered = people.select(person).distinct().withColumn("__b", F.pmod(F.xxhash64(person), F.lit(256)))
+    sizes = numbered.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__first", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))  # 256 rows
+    w = Window.partitionBy("__b").orderBy(person)
+    slots = numbered.join(before, "__b").select(person, (F.col("__first") + F.row_number().over(w) - 1).alias("__slot"))
+    total = sizes.agg(F.sum("__n").alias("__total"))
+    drawn = slots.select("__slot", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).crossJoin(total)
+    hit = drawn.select("round", F.floor(draw * F.col("__total")).cast("long").alias("__slot")).groupBy("round", "__slot").agg(F.count("*").alias("w"))
+    return hit.join(slots, "__slot").select("round", person, "w")
+
+
+def population_marginals(pairs: DataFrame, weights: DataFrame, *, person: str = "pid") -> DataFrame:
+    """(item_id, category, predicted, truth, truth_low, truth_high, predicted_low, predicted_high, inside) of the population.
+
+    `pairs` has the person, item_id, category, p and t; `weights` comes from resample_weights. Both sides are resampled together; the interval is
+    the middle 95 % of the rounds, and `inside` tells whether the predicted share lies in that of the truth.
+    """
+    point = pairs.groupBy("item_id", "category").agg(F.avg("p").alias("predicted"), F.avg("t").alias("truth"))
+    w = F.col("w")
+    rounds = pairs.join(weights, person).groupBy("round", "item_id", "category").agg((F.sum(w * F.col("p")) / F.sum(w)).alias("p"), (F.sum(w * F.col("t")) / F.sum(w)).alias("t"))
+    ends = [F.percentile(c, F.lit(q)).alias(f"{name}_{end}") for c, name in (("t", "truth"), ("p", "predicted")) for q, end in ((0.025, "low"), (0.975, "high"))]
+    out = point.join(rounds.groupBy("item_id", "category").agg(*ends), ["item_id", "category"])
+    return out.withColumn("inside", F.col("predicted").between(F.col("truth_low"), F.col("truth_high")))
+
+
+def cross_tables(pairs: DataFrame, *, person: str = "pid") -> DataFrame:
+    """(item_a, item_b, category_a, category_b, predicted, truth) for item_a < item_b: the mean over people of the products of their two distributions.
+
+    A person's items, bounded by the bank, are paired in place in one array, so the shuffle after the map-side sum holds table cells only.
+    """
+    row = F.array_sort(F.collect_list(F.struct("item_id", "category", "p", "t")))
+    held = pairs.groupBy(person).agg(row.alias("r"))
+    a = held.select("r", F.explode("r").alias("a"))
+    both = a.select("a", F.explode(F.filter("r", lambda x: x["item_id"] > F.col("a.item_id"))).alias("b"))
+    return both.groupBy(F.col("a.item_id").alias("item_a"), F.col("b.item_id").alias("item_b"), F.col("a.category").alias("category_a"), F.col("b.category").alias("category_b")).agg(
+        F.avg(F.col("a.p") * F.col("b.p")).alias("predicted"), F.avg(F.col("a.t") * F.col("b.t")).alias("truth")
+    )
+
+
+def cross_table_gaps(tables: DataFrame) -> DataFrame:
+    """(item_a, item_b, total_variation): half the sum of the absolute differences of each table."""
+    return tables.groupBy("item_a", "item_b").agg((F.sum(F.abs(F.col("predicted") - F.col("truth"))) / 2).alias("total_variation"))

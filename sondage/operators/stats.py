@@ -79,11 +79,21 @@ def participation_ratio(cov: DataFrame) -> DataFrame:
     return cov.agg(F.count(F.when(F.col("item_a") == F.col("item_b"), 1)).alias("n_items"), ratio(trace * trace, F.sum(twice * F.col("c") * F.col("c"))).alias("effective"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """P(score of label 1 > score of label 0), ties half: from rank sums, not from pairs."""
-    ranked = df.where(F.col(label).isNotNull()).withColumn("__one", F.lit(1)).withColumn("__rank", average_rank(F.col(score), ["__one"]))
-    n1, n0 = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 0, 1).otherwise(0))
-    return ranked.agg(n1.alias("n1"), n0.alias("n0"), ratio(F.sum(F.when(F.col(label) == 1, F.col("__rank"))) - n1 * (n1 + 1) / 2, (n1 * n0).cast("double")).alias("auc"))
+def auc(df: DataFrame, score: str, label: str, *, buckets: int = 256) -> DataFrame:
+    """P(score of label 1 > score of label 0), ties half: (n1, n0, auc); auc is null where a side is empty.
+
+    Rows are counted by distinct score, and the zeros below each score come from totals of `buckets` ranges and a running sum inside a range, so
+    no task orders the whole table. Rows without a label or score are not read.
+    """
+    held = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = held.groupBy(F.col(score).alias("__s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("__n1"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("__n0"))
+    bounds = counts.agg(F.percentile_approx("__s", F.lit([i / buckets for i in range(1, buckets)]), F.lit(10_000)).alias("__at"))  # one row
+    ranged = counts.crossJoin(bounds).withColumn("__b", F.size(F.filter("__at", lambda x: x < F.col("__s")))).drop("__at")
+    totals = ranged.groupBy("__b").agg(F.sum("__n0").alias("__t")).withColumn("__low", F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).drop("__t")  # `buckets` rows at most
+    w = Window.partitionBy("__b").orderBy("__s")
+    below = ranged.join(totals, "__b").withColumn("__below", F.col("__low") + F.sum("__n0").over(w) - F.col("__n0"))
+    n1, n0 = F.coalesce(F.sum("__n1"), F.lit(0)), F.coalesce(F.sum("__n0"), F.lit(0))
+    return below.agg(n1.alias("n1"), n0.alias("n0"), ratio(F.sum(F.col("__n1") * (F.col("__below") + F.col("__n0") / 2)), (n1 * n0).cast("double")).alias("auc"))
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -104,3 +114,29 @@ def censored_median(value: Column, budget: int) -> Column:
 
 def arc_elasticity(q0: Column, q1: Column, relative_price_change: float) -> Column:
     return ratio(ratio(q1 - q0, (q0 + q1) / 2), F.lit(relative_price_change))
+
+
+def deciles(value: str) -> list[Column]:
+    """p0, p10, ... p100 of the values that are there, exact and linear, rounded to six places."""
+    return [F.round(F.percentile(F.col(value), F.lit(p / 100)), 6).alias(f"p{p}") for p in range(0, 101, 10)]
+
+
+def equivalent_n(curve: DataFrame, targets: DataFrame, keys: list[str], *, cap: float = 3.0) -> DataFrame:
+    """(keys, target, equivalent_n, extrapolated): at which n a falling curve reaches each target, linear between its points.
+
+    `curve` has the keys, n and value, a few points for each key; `targets` the keys and target. A target at or above the first point has the first n. One below
+    the whole curve is carried on by what the last step falls for each further n, whatever the step's width, and is null if that step is flat or it lies beyond `cap` times the last n.
+    """
+    points = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), F.col("value").cast("double").alias("v")))).alias("c"))
+    at = targets.join(points, keys)
+    t, c = F.col("target"), F.col("c")
+    steps = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    inside = F.get(F.filter(steps, lambda s: (s["b"]["v"] <= t) & (t <= s["a"]["v"])), F.lit(0))
+    fall = inside["a"]["v"] - inside["b"]["v"]
+    within = F.when(F.abs(fall) < 1e-15, inside["b"]["n"]).otherwise(inside["a"]["n"] + (inside["a"]["v"] - t) / F.when(fall != 0, fall) * (inside["b"]["n"] - inside["a"]["n"]))
+    last, before = F.element_at(c, -1), F.get(c, F.size(c) - 2)
+    step = before["v"] - last["v"]
+    beyond = last["n"] + (last["v"] - t) / F.when(step > 1e-15, step)
+    first = F.get(c, F.lit(0))
+    found = F.when(t >= first["v"], first["n"]).when(inside.isNotNull(), within).otherwise(F.when(beyond <= cap * last["n"], beyond))
+    return at.select(*keys, "target", found.alias("equivalent_n"), ((t < first["v"]) & inside.isNull()).alias("extrapolated"))
