@@ -35,6 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path, schema = shared_path(spark, name), df.schema
+    # once more for the step before, which Spark's listeners may still have held when it was let go
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     del df  # so that its shuffle files go as well
     # Spark removes shuffle files and broadcasts of finished steps when the driver collects garbage, which a large idle heap puts off
