@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Removes the files of a written table that nothing reads any more, so that the shared folder holds one state only."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/sondage/" in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def values(column: pa.Array, step: int = 256) -> Iterator:
     """The Python values of a column, a few rows at a time."""
     for i in range(0, len(column), step):
