@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graded
+
 LIKERT_STEPS = 5
 
 
@@ -49,64 +47,25 @@ def category_probabilities(z: Column, cuts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.get(seen, i) - F.get(seen, i + 1))
 
 
+def answer_log_probability(z: Column, cuts: Column, code: Column) -> Column:
+    """Log probability of one answer, without the loss of a difference of two numbers near one; null for codes outside the item's categories.
+
+    For a cut below, one above and the gap between them it is log s(z - low) + log s(high - z) + log(1 - exp(-gap)).
+    """
+    low, high = F.get(cuts, code - 1), F.get(cuts, code)
+    softplus = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    terms = [F.when(low.isNotNull(), -softplus(low - z)), F.when(high.isNotNull(), -softplus(z - high)), F.when(low.isNotNull() & high.isNotNull(), F.log1p(-F.exp(low - high)))]
+    total = F.coalesce(terms[0], F.lit(0.0)) + F.coalesce(terms[1], F.lit(0.0)) + F.coalesce(terms[2], F.lit(0.0))
+    return F.when(code.between(0, F.size(cuts)), total)
+
+
 def slope_product(traits: Column, loadings: Column) -> Column:
     return F.aggregate(F.zip_with(traits, loadings, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
 
 
-def person_posteriors(cells: DataFrame, items: DataFrame, n_traits: int, *, rounds: int = 50) -> DataFrame:
+def person_posteriors(cells: DataFrame, items: DataFrame, n_traits: int) -> DataFrame:
     """(pid, n_answers, theta, covariance): mode of each person's posterior under a standard normal prior, and its Laplace covariance (row by row).
 
-    `cells` has pid, item_id and code, one row a cell; `items` has item_id, loadings (of n_traits) and cuts. Codes outside an item's
-    categories and null ones are not read; without a readable answer a person has no row. Each person's answers, bounded by the bank, go to one
-    group; item parameters come by a join. Newton steps use the expected information, and halve while they do not improve.
+    `cells` has pid, item_id and code, one row a cell; `items` has item_id, loadings (of n_traits) and cuts; see operators.graded.
     """
-    held = cells.where("code IS NOT NULL").join(items.select("item_id", "loadings", "cuts"), "item_id").where(F.col("code").between(0, F.size("cuts")))
-    packed = held.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("item_id", "code", "loadings", "cuts"))).alias("r"))
-    rows = packed.select("pid", F.col("r.code").alias("code"), F.col("r.loadings").alias("loadings"), F.col("r.cuts").alias("cuts"))
-    id_type = dict(cells.dtypes)["pid"]
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for pid, code, loadings, cuts in frame.itertuples(index=False):
-                theta, cov = posterior_mode(np.array(code), np.array([list(x) for x in loadings], float).reshape(-1, n_traits), [np.asarray(c, float) for c in cuts], rounds)
-                out.append((pid, len(code), theta.tolist(), cov.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["pid", "n_answers", "theta", "covariance"])
-
-    return rows.mapInPandas(solve, f"pid {id_type}, n_answers int, theta array<double>, covariance array<double>")
-
-
-def _bounds(code: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The cut below and the cut above each answer."""
-    low = np.array([c[k - 1] if k > 0 else -np.inf for k, c in zip(code, cuts, strict=True)])
-    high = np.array([c[k] if k < len(c) else np.inf for k, c in zip(code, cuts, strict=True)])
-    return low, high
-
-
-def posterior_mode(code: np.ndarray, loadings: np.ndarray, cuts: list[np.ndarray], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Mode and inverse information of one person's traits; see person_posteriors."""
-    low, high = _bounds(code, cuts)
-    logistic = lambda x: 0.5 * (1 + np.tanh(x / 2))
-
-    def parts(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        z = loadings @ theta
-        up, down = logistic(z - low), logistic(z - high)
-        p = np.maximum(up - down, 1e-300)
-        # d log p / dz = 1 - up - down, and minus its slope is up (1 - up) + down (1 - down)
-        return float(np.log(p).sum() - theta @ theta / 2), 1 - up - down, up * (1 - up) + down * (1 - down)
-
-    theta = np.zeros(loadings.shape[1])
-    value, slope, bend = parts(theta)
-    for _ in range(rounds):
-        step = np.linalg.solve(np.eye(len(theta)) + (loadings.T * bend) @ loadings, loadings.T @ slope - theta)
-        scale = 1.0
-        new = parts(theta + step)
-        while new[0] < value and scale > 1e-6:
-            scale /= 2
-            new = parts(theta + scale * step)
-        if new[0] < value:
-            break
-        theta, (value, slope, bend) = theta + scale * step, new
-        if np.abs(scale * step).max() < 1e-10:
-            break
-    return theta, np.linalg.inv(np.eye(len(theta)) + (loadings.T * bend) @ loadings)
+    return graded.posteriors(cells, items, n_traits)

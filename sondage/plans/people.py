@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions import noise as N
 from sondage.operators import calibration as C
+from sondage.operators import graded as G
 from sondage.operators import neighbours as B
 from sondage.operators import responses as R
 from sondage.operators import stats as S
@@ -122,14 +123,57 @@ def category_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.main_round(spark, sf_dir).select("pid", "item_id", F.posexplode(p).alias("category", "p")).withColumn("p", r6("p"))
 
 
+def _graded_items(coded: DataFrame) -> DataFrame:
+    """Fixed parameters of two traits for every item that was answered."""
+    item = F.col("item_id")
+    cuts = F.when(F.col("kind") == "binary", F.array(F.lit(0.1))).otherwise(F.array(*[F.lit(c) for c in _CUTS]))
+    return coded.select("item_id", "kind").distinct().select("item_id", F.array(F.cos(item.cast("double")), F.sin(item.cast("double"))).alias("loadings"), cuts.alias("cuts"))
+
+
 @query(None)
 def person_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two traits of each person under fixed item parameters; the tests compare with a plain optimiser."""
     coded = _coded(spark, sf_dir)
-    item = F.col("item_id")
+    return R.person_posteriors(coded, _graded_items(coded), 2)
+
+
+@query(None)
+def prefix_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after each answer, by item; the tests compare with solves from scratch."""
+    coded = _coded(spark, sf_dir)
+    out = G.prefix_posteriors(coded, _graded_items(coded), 2, order="item_id")
+    return out.select("pid", "step", "item_id", "theta", "blur")
+
+
+@query(None)
+def next_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three items that would tell most about each person after the interview; the tests invert the updated matrices."""
+    coded = _coded(spark, sf_dir)
+    items, interview = _graded_items(coded), coded.where(F.col("item_id") <= INTERVIEW)
+    asked = interview.groupBy("pid").agg(F.collect_list("item_id").alias("asked"))  # INTERVIEW at most
+    return G.next_items(G.posteriors(interview, items, 2).join(asked, "pid"), items, 2, asked="asked", k=3)
+
+
+@query(None)
+def graded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item parameters of a joint fit of one trait over all answers, on the scale of unit traits; the tests compare with a plain optimiser."""
+    coded = _coded(spark, sf_dir)
+    categories = coded.select("item_id", F.when(F.col("kind") == "binary", 2).otherwise(5).alias("n_categories")).distinct()
+    return G.linked(G.fit_joint(coded, categories, 1, rounds=40, tol=1e-6)).items
+
+
+_SEEN = ", ".join(f"1 / (1 + exp(-(z - ({c}))))" for c in _CUTS)
+
+
+@query(f""", z AS (SELECT pid, kind, code, value / 25 - 2 AS z FROM main), coded AS (SELECT pid, CASE WHEN kind = 'binary' THEN (code >= 2)::INTEGER ELSE code END AS code,
+  CASE WHEN kind = 'binary' THEN [1.0::DOUBLE, 1 / (1 + exp(-(z - 0.1))), 0.0] ELSE [1.0::DOUBLE, {_SEEN}, 0.0] END AS s FROM z)
+SELECT pid, count(*) AS cells, round(avg(ln(s[code + 1] - s[code + 2])), 6) AS log_likelihood FROM coded GROUP BY pid""")
+def mean_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log probability of each person's answers under given slope products and cuts."""
+    coded = _coded(spark, sf_dir)
     cuts = F.when(F.col("kind") == "binary", F.array(F.lit(0.1))).otherwise(F.array(*[F.lit(c) for c in _CUTS]))
-    items = coded.select("item_id", "kind").distinct().select("item_id", F.array(F.cos(item.cast("double")), F.sin(item.cast("double"))).alias("loadings"), cuts.alias("cuts"))
-    return R.person_posteriors(coded, items, 2)
+    out = coded.groupBy("pid").agg(F.count("*").alias("cells"), F.avg(R.answer_log_probability(F.col("value") / 25 - 2, cuts, F.col("code"))).alias("ll"))
+    return out.select("pid", "cells", r6("ll").alias("log_likelihood"))
 
 
 _EDGES = "[" + ", ".join(f"{i * 0.1!r}::DOUBLE" for i in range(10)) + "]"
