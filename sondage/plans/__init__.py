@@ -1,3 +1,3 @@
 """The registered queries over the driver tables."""
 
-from . import people, registry  # noqa: F401
+from . import fits, people, registry  # noqa: F401
