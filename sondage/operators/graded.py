@@ -104,26 +104,30 @@ def _log_p(z: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, low - z) - np.logaddexp(0, z - high) + np.log1p(-np.exp(low - high))
 
 
-def solve_people(loadings: np.ndarray, low: np.ndarray, high: np.ndarray, theta: np.ndarray, *, rounds: int = 60, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+def solve_people(
+    loadings: np.ndarray, low: np.ndarray, high: np.ndarray, theta: np.ndarray, *, evidence: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 60, tol: float = 1e-10
+) -> tuple[np.ndarray, np.ndarray]:
     """Modes and information matrices of many people at once: people x answers (x traits); padding has no cuts on either side.
 
+    `evidence` is what is known beside the answers, in information form: precisions L and shifts h add h'theta - theta'L theta / 2.
     Newton's method with the observed information; each person halves a step that does not improve.
     """
     d = loadings.shape[2]
     theta = theta.copy()
+    precision, shift = (np.eye(d)[None].repeat(len(theta), 0), np.zeros((len(theta), d))) if evidence is None else (np.eye(d) + evidence[0], evidence[1])
 
     def product(t: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         return np.matmul(loadings[rows], t[:, :, None])[:, :, 0]
 
     def value(t: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return _log_p(product(t, rows), low[rows], high[rows]).sum(1) - 0.5 * (t * t).sum(1)
+        return _log_p(product(t, rows), low[rows], high[rows]).sum(1) + (shift[rows] * t).sum(1) - 0.5 * np.einsum("ni,nij,nj->n", t, precision[rows], t)
 
     def slopes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = product(t)
         up, down = _logistic(z - low), _logistic(z - high)
         bend = up * (1 - up) + down * (1 - down)
-        gradient = np.matmul(loadings.transpose(0, 2, 1), (1 - up - down)[:, :, None])[:, :, 0] - t
-        return gradient, np.eye(d) + np.matmul((loadings * bend[:, :, None]).transpose(0, 2, 1), loadings)
+        gradient = np.matmul(loadings.transpose(0, 2, 1), (1 - up - down)[:, :, None])[:, :, 0] + shift - np.einsum("nij,nj->ni", precision, t)
+        return gradient, precision + np.matmul((loadings * bend[:, :, None]).transpose(0, 2, 1), loadings)
 
     now = value(theta)
     for _ in range(rounds):
@@ -187,11 +191,35 @@ def _at_origin(people: DataFrame, n_traits: int) -> DataFrame:
     return people.withColumn("theta", F.array(*[F.lit(0.0)] * n_traits))
 
 
-def posteriors(cells: DataFrame, items: DataFrame, n_traits: int) -> DataFrame:
-    """(pid, n_answers, theta, covariance): the mode of each person's posterior and its Laplace covariance (row by row)."""
+def posteriors(cells: DataFrame, items: DataFrame, n_traits: int, *, evidence: DataFrame | None = None) -> DataFrame:
+    """(pid, n_answers, theta, covariance): the mode of each person's posterior and its Laplace covariance (row by row).
+
+    `evidence` has pid, precision (row by row) and shift, what is known of a person beside the answers; see solve_people. People
+    with evidence only have a row as well.
+    """
     bank = bank_of(items, n_traits)
-    out = _solved(_at_origin(packed_people(cells, bank), n_traits), bank, n_traits, covariance=True)
-    return out.select("pid", F.size("item").alias("n_answers"), "theta", "covariance")
+    people = packed_people(cells, bank)
+    if evidence is None:
+        out = _solved(_at_origin(people, n_traits), bank, n_traits, covariance=True)
+        return out.select("pid", F.size("item").alias("n_answers"), "theta", "covariance")
+    none, d = F.array().cast("array<int>"), n_traits
+    joined = people.join(evidence.select("pid", "precision", "shift"), "pid", "full")
+    filled = joined.select(
+        "pid", *[F.coalesce(c, none).alias(c) for c in ("item", "code")], F.coalesce("precision", F.array(*[F.lit(0.0)] * (d * d))).alias("precision"), F.coalesce("shift", F.array(*[F.lit(0.0)] * d)).alias("shift")
+    )
+    shared, id_type = cells.sparkSession.sparkContext.broadcast(bank), dict(filled.dtypes)["pid"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bank = shared.value
+        for batch in batches:
+            precision, shift = _matrix(batch.column("precision"), d * d).reshape(-1, d, d), _matrix(batch.column("shift"), d)
+            for rows, item, code in _people(batch, d):
+                known = precision[rows], shift[rows]
+                theta, information = solve_people(bank.loadings[item] * (item >= 0)[:, :, None], *bank.bounds(item, code), np.zeros((len(item), d)), evidence=known)
+                n = pa.array((item >= 0).sum(1), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("pid").slice(rows.start, len(item)), n, _lists(theta), _lists(np.linalg.inv(information).reshape(len(item), -1))], ["pid", "n_answers", "theta", "covariance"])
+
+    return filled.mapInArrow(solve, f"pid {id_type}, n_answers int, theta array<double>, covariance array<double>")
 
 
 def prefix_posteriors(cells: DataFrame, items: DataFrame, n_traits: int, *, order: str) -> DataFrame:

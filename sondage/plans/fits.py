@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.operators import choice_fits as H
+from sondage.operators import coverage as M
+from sondage.operators import fusion as U
+from sondage.operators import graded as G
 from sondage.operators import linear as L
 
+from . import people
 from . import views as V
 from .registry import query, r6
 
@@ -116,3 +120,70 @@ def canonical_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = V.table(spark, sf_dir, "embeddings").select(e[0].alias("a"), (e[1] + 0.5 * e[0]).alias("b"), (e[2] - 0.3 * e[0]).alias("c"))
     found = L.canonical_correlations(mixed, ["a"], ["b", "c"])
     return spark.range(1).select(r6(F.lit(float(found[0]))).alias("first"))
+
+
+def _hash(parts: str) -> str:
+    return f"(('0x' || substr(sha256({parts}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE)"
+
+
+def _normal(parts: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_hash(parts + chr(32) + '|| ' + repr(':r'))})) * cos(2 * pi() * {_hash(parts + chr(32) + '|| ' + repr(':a'))}))"
+
+
+@query(f"SELECT o_orderkey, i::INTEGER AS draw, round({_normal("'7:' || o_orderkey || ':' || i || ':0'")}, 6) AS z FROM orders, (SELECT unnest(range(2)) AS i)")
+def normal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reproducible normal numbers for each order."""
+    draws = M.normal_draws(F.col("o_orderkey"), 2, 1, seed=7)
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(draws).alias("draw", "z")).select("o_orderkey", "draw", r6(F.get("z", F.lit(0))).alias("z"))
+
+
+def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each person's mean value after their first items (by number) as a measurement of the mean over all of them, with its standard error."""
+    main = V.main_round(spark, sf_dir).select("pid", "item_id", "value")
+    return main.groupBy("pid").agg(F.avg("value").alias("truth"), *[f(F.when(F.col("item_id") <= k, F.col("value"))).alias(f"{n}{k}") for k in (5, 10, 20) for n, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))])
+
+
+_REACHED = ", r AS (SELECT pid, avg(value) AS truth, " + ", ".join(f"{f}(value) FILTER (item_id <= {k}) AS {n}{k}" for k in (5, 10, 20) for n, f in (("m", "avg"), ("s", "stddev_samp"), ("n", "count"))) + """ FROM main GROUP BY pid),
+c AS (""" + " UNION ALL ".join(f"SELECT {k} AS answers, m{k} AS centre, s{k} / sqrt(n{k}) AS spread, truth FROM r" for k in (5, 10, 20)) + """),
+d AS (SELECT *, abs(centre - truth) AS error FROM c WHERE centre IS NOT NULL AND spread IS NOT NULL)
+"""
+
+
+def _reach_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [F.struct(F.lit(k).alias("answers"), F.col(f"m{k}").alias("centre"), (F.col(f"s{k}") / F.sqrt(f"n{k}")).alias("spread")) for k in (5, 10, 20)]
+    return _reached(spark, sf_dir).select("truth", F.explode(F.array(*rows)).alias("r")).select("truth", "r.*")
+
+
+@query(_REACHED + """SELECT answers::INTEGER AS answers, count(*) AS cells, round(avg((error <= spread)::INTEGER), 6) AS coverage, round(avg(spread), 6) AS mean_spread, round(avg(error), 6) AS mean_error,
+round(avg(error * error) / avg(spread * spread), 6) AS variance_ratio, round(quantile_cont(error / greatest(spread, 1e-12), 0.68), 6) AS nominal_factor, avg((error <= spread)::INTEGER) BETWEEN 0.6 AND 0.75 AS pass
+FROM d GROUP BY answers""")
+def coverage_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether declared spreads hold, by the number of items asked."""
+    out = M.honesty(_reach_cells(spark, sf_dir), ["answers"])
+    return out.select("answers", "cells", *[r6(c).alias(c) for c in ("coverage", "mean_spread", "mean_error", "variance_ratio", "nominal_factor")], "pass")
+
+
+@query(_REACHED + "SELECT answers::INTEGER AS answers, count(*) AS cells, round(sqrt(avg(error * error)), 6) AS residual_rms, round(sqrt(avg(spread * spread)), 6) AS spread_rms, round(sqrt(avg(error * error)) / sqrt(avg(spread * spread)), 6) AS kappa FROM d GROUP BY answers")
+def spread_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor by which the declared spreads would have to grow."""
+    out = M.calibration(_reach_cells(spark, sf_dir).withColumnRenamed("truth", "full"), ["answers"])
+    return out.select("answers", "cells", *[r6(c).alias(c) for c in ("residual_rms", "spread_rms", "kappa")])
+
+
+@query(None)
+def posterior_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of the items beyond the interview, averaged over 64 draws of each person's posterior; the tests repeat the draws."""
+    coded = people._coded(spark, sf_dir)
+    items = people._graded_items(coded)
+    posterior = G.posteriors(coded.where(F.col("item_id") <= people.INTERVIEW), items, 2)
+    return M.posterior_predictions(posterior, items.where(F.col("item_id") > people.INTERVIEW), 2, n_draws=64)
+
+
+@query(None)
+def measurement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold losses of noise shapes and ridges for components of the embeddings as scores of two others; the tests compare with plain folds."""
+    e = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]
+    df = V.table(spark, sf_dir, "embeddings").select("vec_id", *e)
+    mixed = df.select("vec_id", "e0", "e1", *[(F.col(f"e{i}") + (i / 4 - 1) * F.col("e0") + F.col("e1") / i + 0.5 * F.col("e2")).alias(f"y{i}") for i in range(3, 8)])
+    _, curve = U.fit_measurement(mixed, [f"y{i}" for i in range(3, 8)], ["e0", "e1"], U.hash_fold(F.col("vec_id"), 5), factors=(0, 1, 2))
+    return spark.createDataFrame(curve, "ridge double, factors int, loss double")
