@@ -68,3 +68,15 @@ def conviction_gap(dist_top: Column, valid: list[str]) -> Column:
     first, second = F.get(kept, F.lit(0)), F.get(kept, F.lit(1))
     enough = (F.size(kept) >= 2) & (total > 0)
     return F.struct(F.when(enough, (first["p"] - second["p"]) / total).otherwise(1.0).alias("gap"), F.when(enough, second["tok"]).alias("second"))
+
+
+def drawn(distribution: Column, u: Column) -> Column:
+    """The answer that a uniform number picks: the first key, in order, whose running share passes `u`; the last key where none does."""
+    entries = F.array_sort(F.map_entries(distribution))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("key"))
+
+    def step(state: Column, e: Column) -> Column:
+        total = state["sum"] + e["value"]
+        return F.struct(total.alias("sum"), F.coalesce(state["key"], F.when(u < total, e["key"].cast("string"))).alias("key"))
+
+    return F.coalesce(F.aggregate(entries, start, step)["key"], F.element_at(entries, -1)["key"].cast("string"))

@@ -131,3 +131,57 @@ def strength_bucket(value: Column) -> Column:
 def session_id(pid: Column, round_name: Column, seed: int) -> Column:
     key = F.concat_ws("|", round_name, F.lit(str(seed)), pid.cast("string"))
     return F.concat(round_name, F.lit("-"), F.substring(F.sha2(key, 256), 1, 10))
+
+
+def first_json_object(text: Column) -> Column:
+    """The first JSON object inside a text, as text; null if there is none.
+
+    Braces are tried from the left. Each is closed where the count of braces outside strings comes back to zero (strings by double quotes,
+    a backslash hides the next character), and counts if what it spans is JSON. Later braces are looked at only where earlier ones fail.
+    """
+    chars = F.split(text, "")
+    opening = F.filter(F.transform(chars, lambda c, i: F.when(c == "{", i)), lambda i: i.isNotNull())
+
+    def closed_at(start: Column) -> Column:
+        state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("hidden"), F.lit(0).alias("read"), F.lit(0).alias("end"))
+
+        def step(s: Column, c: Column) -> Column:
+            quote = (c == '"') & ~s["hidden"]
+            depth = s["depth"] + F.when(s["quoted"] | (s["end"] > 0), 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+            read = s["read"] + 1
+            return F.struct(
+                depth.alias("depth"),
+                F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+                (s["quoted"] & ~s["hidden"] & (c == "\\")).alias("hidden"),
+                read.alias("read"),
+                F.when((s["end"] == 0) & (depth == 0), read).otherwise(s["end"]).alias("end"),
+            )
+
+        return F.aggregate(F.slice(chars, start + 1, F.size(chars)), state, step)["end"]
+
+    def tried(found: Column, start: Column) -> Column:
+        end = closed_at(start)
+        span = F.when(end > 0, F.array_join(F.slice(chars, start + 1, end), ""))
+        return F.when(found.isNotNull(), found).otherwise(F.when(F.try_parse_json(span).isNotNull(), span))
+
+    return F.aggregate(opening, F.lit(None).cast("string"), tried)
+
+
+#: Sums that shares may come to, and how near to them they must be.
+SHARE_SUMS, SHARE_TOLERANCE = (100.0, 1.0), 0.25
+
+
+def parse_distribution(text: Column, names: list[str]) -> Column:
+    """Map of `name: number` or `name = number` pairs to shares that sum to one; names are single words, compared in lower case.
+
+    Null unless each of `names`, and no other, stands there once, and the numbers sum to about one of SHARE_SUMS.
+    """
+    pairs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+\s*[:=]\s*(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"), F.lit(0))
+    keys = F.transform(pairs, lambda p: F.lower(F.regexp_extract(p, r"^[A-Za-z0-9]+", 0)))
+    values = F.transform(pairs, lambda p: F.regexp_extract(p, r"[0-9.]+$", 0).cast("double"))
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    near = F.lit(False)
+    for s in SHARE_SUMS:
+        near = near | (F.abs(total / s - 1) <= SHARE_TOLERANCE)
+    fits = (F.array_sort(keys) == F.array(*[F.lit(n) for n in sorted(n.lower() for n in names)])) & (total > 0) & near
+    return F.when(fits, F.map_from_arrays(keys, F.transform(values, lambda v: v / total)))
