@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .stats import safe_corr
+from .choice_fits import replicate_weights
+from .graded import _lists, sum_arrays
+from .stats import safe_corr, sorted_quantile
 
 LOG_FLOOR = 1e-6
 
@@ -117,6 +124,62 @@ def population_marginals(pairs: DataFrame, weights: DataFrame, *, person: str =
     return out.withColumn("inside", F.col("predicted").between(F.col("truth_low"), F.col("truth_high")))
 
 
+def resampled_marginals(pairs: DataFrame, rounds: int, *, seed: int = 0, person: str = "pid") -> DataFrame:
+    """The columns of population_marginals, from Poisson weights of people by hash (choice_fits.replicate_weights).
+
+    A person's weights are one array. Tasks sum weights times shares for all their people at once, so people times rounds are no
+    rows; a row for each category, with its sums of all rounds, leaves a task. `pairs` has one row a person, item and category. Rounds without anybody of an item count for nothing.
+    """
+    cells = F.collect_list(F.struct("item_id", "category", F.col("p").cast("double").alias("p"), F.col("t").cast("double").alias("t")))
+    known = pairs.where("p IS NOT NULL AND t IS NOT NULL")
+    people = known.groupBy(person).agg(cells.alias("r"))  # items x categories at most
+    w = replicate_weights(F.col(person), rounds, seed)
+    packed = people.select(F.concat(F.array(F.lit(1.0)), w).alias("w"), F.transform("r", lambda x: F.struct(x["item_id"].alias("item_id"), x["category"].alias("category"))).alias("cells"), F.col("r.p").alias("p"), F.col("r.t").alias("t"))
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.select("item_id", "category").schema.fields}
+    arrow = [to_arrow_type(pairs.schema[c].dataType) for c in kinds]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        total = np.zeros((3, 0, rounds + 1))
+        for batch in batches:
+            weights = batch.column("w").flatten().to_numpy().reshape(-1, rounds + 1)
+            lists = batch.column("cells")
+            who = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            at = np.array([place.setdefault(x, len(place)) for x in zip(*(flat.field(c).to_pylist() for c in kinds))], np.int64)
+            if len(place) > total.shape[1]:
+                total = np.concatenate([total, np.zeros((3, len(place) - total.shape[1], rounds + 1))], 1)
+            for i, c in enumerate(("p", "t", None)):
+                share = np.zeros((batch.num_rows, len(place)))
+                np.add.at(share, (who, at), 1.0 if c is None else batch.column(c).flatten().to_numpy())
+                total[i] += share.T @ weights
+        if place:
+            columns = [pa.array(c, k) for c, k in zip(zip(*place), arrow)]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(np.concatenate(total, 1))], [*kinds, "s"])
+
+    parts = packed.mapInArrow(summed, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", s array<double>")
+    n = rounds + 1
+    sums = parts.groupBy("item_id", "category").agg(sum_arrays("s", 3 * n).alias("s"))
+    share = lambda start: F.transform(F.sequence(F.lit(0), F.lit(rounds)), lambda i: F.try_divide(F.get("s", i + start * n), F.get("s", i + 2 * n)))
+    rows = sums.select("item_id", "category", share(0).alias("p"), share(1).alias("t"))
+    ordered = {c: F.array_sort(F.array_compact(F.slice(c, 2, rounds))) for c in ("p", "t")}
+    ends = [sorted_quantile(ordered[c], q).alias(f"{name}_{end}") for c, name in (("t", "truth"), ("p", "predicted")) for q, end in ((0.025, "low"), (0.975, "high"))]
+    out = rows.select("item_id", "category", F.get("p", F.lit(0)).alias("predicted"), F.get("t", F.lit(0)).alias("truth"), *ends)
+    return out.withColumn("inside", F.col("predicted").between(F.col("truth_low"), F.col("truth_high")))
+
+
+def marginal_fit(marginals: DataFrame) -> DataFrame:
+    """One row: cells, corr and rmse of predicted and true shares, mean total variation of items, and the share of cells inside."""
+    gap = F.col("predicted") - F.col("truth")
+    return marginals.agg(
+        F.count("*").alias("cells"),
+        safe_corr(F.col("predicted"), F.col("truth")).alias("corr"),
+        F.sqrt(F.avg(gap * gap)).alias("rmse"),
+        (F.sum(F.abs(gap)) / 2 / F.countDistinct("item_id")).alias("mean_variation"),
+        F.avg(F.col("inside").cast("double")).alias("inside"),
+    )
+
+
 def cross_tables(pairs: DataFrame, *, person: str = "pid") -> DataFrame:
     """(item_a, item_b, category_a, category_b, predicted, truth) for item_a < item_b: the mean over people of the products of their two distributions.
 

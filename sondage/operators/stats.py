@@ -140,3 +140,11 @@ def equivalent_n(curve: DataFrame, targets: DataFrame, keys: list[str], *, cap:
     first = F.get(c, F.lit(0))
     found = F.when(t >= first["v"], first["n"]).when(inside.isNotNull(), within).otherwise(F.when(beyond <= cap * last["n"], beyond))
     return at.select(*keys, "target", found.alias("equivalent_n"), ((t < first["v"]) & inside.isNull()).alias("extrapolated"))
+
+
+def sorted_quantile(values: Column, q: float) -> Column:
+    """The quantile of a sorted array, between its neighbours in proportion; null of an empty one."""
+    place = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(place).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return a + (b - a) * (place - low)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.functions import noise as N
 from sondage.operators import calibration as C
 from sondage.operators import graded as G
 from sondage.operators import neighbours as B
 from sondage.operators import responses as R
 from sondage.operators import stats as S
+from sondage.operators.choice_fits import POISSON
 
 from . import views as V
 from .registry import query, r6
@@ -80,6 +80,22 @@ def knn_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("target", "item_id", "answer", r6("share").alias("share"))
 
 
+@query(_CODED + """, trained AS (SELECT * FROM (SELECT a.pid AS target, b.pid AS neighbour, row_number() OVER (PARTITION BY a.pid ORDER BY
+    round(sum(abs(a.code - b.code) / CASE WHEN a.kind = 'binary' THEN 1.0::DOUBLE ELSE 4.0::DOUBLE END), 9), b.pid) AS place
+  FROM coded a JOIN coded b ON a.item_id = b.item_id AND a.pid <> b.pid WHERE a.item_id <= """ + str(INTERVIEW) + """ AND b.pid % 5 <> 0 GROUP BY a.pid, b.pid) WHERE place <= 10)
+SELECT target, item_id, category, round((coalesce(n, 0) + 0.5) / sum(coalesce(n, 0) + 0.5) OVER (PARTITION BY target, item_id), 6)::DOUBLE AS p
+FROM (SELECT DISTINCT target FROM trained WHERE target % 5 = 0) CROSS JOIN cats LEFT JOIN (
+  SELECT target, item_id, code AS category, count(*)::DOUBLE AS n FROM trained JOIN asked ON asked.pid = trained.neighbour GROUP BY ALL) v USING (target, item_id, category)""")
+def knn_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the people predicted from the ten nearest of the others, who never learn from the fifth."""
+    coded = _coded(spark, sf_dir)
+    train = coded.where("pid % 5 <> 0").select("pid").distinct()
+    near = B.nearest_neighbours(_interview(coded), 10, train=train).where("target % 5 = 0")
+    asked = coded.where(F.col("item_id") > INTERVIEW).select("pid", "item_id", "code")
+    out = B.knn_distributions(near, asked, asked.select("item_id", F.col("code").alias("category")))
+    return out.select("target", "item_id", "category", r6("p").alias("p"))
+
+
 _LADDER = [("segment", "nation", "sign"), ("segment", "nation"), ("segment",), ()]
 
 
@@ -196,15 +212,15 @@ def arm_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each answered cell of the first six items as rows of its five categories: p leans towards the answer by its value, t is the answer."""
-    main = V.main_round(spark, sf_dir).where("item_id <= 6").select("pid", "item_id", "value", "code", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("category"))
+    """Each answered cell as rows of its five categories: p leans towards the answer by its value, t is the answer."""
+    main = V.main_round(spark, sf_dir).select("pid", "item_id", "value", "code", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("category"))
     t = (F.col("code") == F.col("category")).cast("double")
     lean = F.col("value") / 200
     return main.select("pid", "item_id", "category", (lean * t + (1 - lean) / 5).alias("p"), t.alias("t"))
 
 
 _PAIRS = """, pairs AS (SELECT pid, item_id, category, value / 200 * t + (1 - value / 200) / 5 AS p, t FROM (
-  SELECT pid, item_id, value, c::INTEGER AS category, (code = c)::INTEGER::DOUBLE AS t FROM main, (SELECT unnest(range(5)) AS c) WHERE item_id <= 6))
+  SELECT pid, item_id, value, c::INTEGER AS category, (code = c)::INTEGER::DOUBLE AS t FROM main, (SELECT unnest(range(5)) AS c)))
 """
 
 
@@ -215,12 +231,42 @@ def cross_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_a", "item_b", "category_a", "category_b", r6("predicted").alias("predicted"), r6("truth").alias("truth"))
 
 
-@query(None)
+@query(_PAIRS + """, x AS (SELECT item_a, item_b, category_a, category_b, avg(pa * pb) - avg(ta * tb) AS gap FROM (SELECT a.item_id AS item_a, b.item_id AS item_b, a.category AS category_a, b.category AS category_b, a.p AS pa, b.p AS pb, a.t AS ta, b.t AS tb
+FROM pairs a JOIN pairs b ON a.pid = b.pid AND a.item_id < b.item_id) GROUP BY ALL) SELECT item_a, item_b, round(sum(abs(gap)) / 2, 6) AS total_variation FROM x GROUP BY ALL""")
+def cross_table_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the predicted table of each two items is from the true one."""
+    out = C.cross_table_gaps(C.cross_tables(_pairs(spark, sf_dir)))
+    return out.select("item_a", "item_b", r6("total_variation").alias("total_variation"))
+
+
+ROUNDS = 200
+_WEIGHTS = "[" + ", ".join(f"{p!r}::DOUBLE" for p in POISSON) + "]"
+_MARGINALS = f"""{_PAIRS}, k AS (SELECT pid, b, len(list_filter({_WEIGHTS}, lambda c: c <= u))::DOUBLE AS w FROM (
+  SELECT pid, b, ('0x' || substr(sha256('3:' || pid || ':' || b), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM (SELECT DISTINCT pid FROM main), (SELECT unnest(range(1, {ROUNDS + 1})) AS b))),
+point AS (SELECT item_id, category, avg(p) AS predicted, avg(t) AS truth FROM pairs GROUP BY ALL),
+each AS (SELECT item_id, category, b, sum(w * p) / nullif(sum(w), 0) AS p, sum(w * t) / nullif(sum(w), 0) AS t FROM pairs JOIN k USING (pid) GROUP BY ALL),
+ends AS (SELECT item_id, category, """ + ", ".join(f"quantile_cont({c}, {q}) AS {name}_{end}" for c, name in (("t", "truth"), ("p", "predicted")) for q, end in ((0.025, "low"), (0.975, "high"))) + """ FROM each GROUP BY ALL),
+marginals AS (SELECT *, predicted BETWEEN truth_low AND truth_high AS inside FROM point JOIN ends USING (item_id, category))
+"""
+
+
+def _marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.resampled_marginals(_pairs(spark, sf_dir), ROUNDS, seed=3)
+
+
+_ENDS = ("predicted", "truth", "truth_low", "truth_high", "predicted_low", "predicted_high")
+
+
+@query(_MARGINALS + "SELECT item_id, category, " + ", ".join(f"round({c}, 6) AS {c}" for c in _ENDS) + ", inside FROM marginals")
 def population_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the population with intervals of 200 resamples of people; the tests compare with numpy."""
-    pairs = _pairs(spark, sf_dir)
-    weights = C.resample_weights(pairs, "pid", 200, N.hash_uniform(F.col("round"), F.col("__slot")))
-    return C.population_marginals(pairs, weights)
+    """Shares of the population with intervals of ROUNDS resamples of people."""
+    return _marginals(spark, sf_dir).select("item_id", "category", *[r6(c).alias(c) for c in _ENDS], "inside")
+
+
+@query(_MARGINALS + """SELECT count(*) AS cells, round(corr(predicted, truth), 6) AS corr, round(sqrt(avg(pow(predicted - truth, 2))), 6) AS rmse, round(sum(abs(predicted - truth)) / 2 / count(DISTINCT item_id), 6) AS mean_variation,
+round(avg(inside::INTEGER), 6) AS inside FROM marginals""")
+def marginal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.marginal_fit(_marginals(spark, sf_dir)).select("cells", *[r6(c).alias(c) for c in ("corr", "rmse", "mean_variation", "inside")])
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p / 100}), 6) AS p{p}" for p in range(0, 101, 10)) + " FROM lineitem GROUP BY l_returnflag")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sondage.functions import noise as N
 from sondage.functions import text as T
 from sondage.operators import rounds as O
+from sondage.operators import selection as S
 from sondage.sources import versions
 from sondage.sources.stored import shared_dir
 
@@ -102,3 +103,20 @@ def ingested_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         versions.ingest(spark, path, batch, bank)
     answers = versions.read_version(spark, path, "answers", versions.ANSWERS).select("pid", "item_id", "answer", F.lit(None).cast("string").alias("reason"))
     return answers.unionByName(versions.read_version(spark, path, "rejects", versions.REJECTS).select("pid", "item_id", F.lit(None).cast("string").alias("answer"), "reason"))
+
+
+_QUOTA = """, u AS (SELECT pid, i.item_id, i.stratum, ('0x' || substr(sha256('11:' || pid || ':' || i.item_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u
+  FROM (SELECT DISTINCT pid FROM main) p, (SELECT k::VARCHAR AS item_id, CASE WHEN k % 3 <> 0 THEN 'dim' || k % 4 WHEN k % 9 = 3 THEN 'cross' WHEN k % 9 = 6 THEN 'weak' ELSE 'distractor' END AS stratum FROM (SELECT unnest(range(1, 32)) AS k)) i),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid, stratum ORDER BY u, item_id) AS place FROM u)
+SELECT pid, item_id, (row_number() OVER (PARTITION BY pid ORDER BY item_id::INTEGER) - 1)::INTEGER AS place FROM r
+WHERE place <= CASE stratum WHEN 'cross' THEN 2 WHEN 'weak' THEN 1 WHEN 'distractor' THEN 1 ELSE 2 END"""
+
+
+@query(_QUOTA)
+def retest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve items for each person: two of each of four dimensions, and of three classes with 4, 3 and 3 items by quotas of four."""
+    items = range(1, 32)
+    fixed = {str(d): [str(k) for k in items if k % 3 and k % 4 == d] for d in range(4)}
+    classes = {name: [str(k) for k in items if k % 9 == rest] for name, rest in (("cross", 3), ("weak", 6), ("distractor", 0))}
+    people = V.main_round(spark, sf_dir).select("pid").distinct()
+    return S.quota_sample(people, [str(k) for k in items], fixed, 2, classes, 12, seed=11)

@@ -161,3 +161,38 @@ def test_log_and_distributions(spark, tmp_path):
     assert found == {("p1", "i1", "retest"): {"5": -0.1}, ("p1", "i1", "main"): {"4": -0.2, "3": -2.0}, ("p2", "i2", "main"): {"Yes": -0.3}}
     assert questionnaire.recorded_distributions(log, ["i2"], ["main"]).count() == 1
     assert questionnaire.read_answer_log(spark, str(tmp_path / "none.jsonl")).count() == 0
+
+
+def test_resampled_marginals_equal_weighted_sums(spark):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i}", j, c, float(x), float(c == truth)) for i in range(25) for j in range(3) if rng.random() < 0.8 for truth in [rng.integers(0, 3)] for c, x in enumerate(rng.dirichlet(np.ones(3)))]
+    df = spark.createDataFrame([*rows, ("p1", 9, 0, None, 1.0)], "pid string, item_id int, category int, p double, t double").repartition(3)
+    got = {(r.item_id, r.category): r for r in calibration.resampled_marginals(df, 40, seed=2).collect()}
+
+    def weight(pid, b):
+        u = int(hashlib.sha256(f"2:{pid}:{b}".encode()).hexdigest()[:16], 16) / 2**64
+        return sum(u >= c for c in np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(10)]))
+
+    assert len(got) == 9
+    for (item, category), r in got.items():
+        mine = [x for x in rows if x[1:3] == (item, category)]
+        w = np.array([[weight(x[0], b) for b in range(1, 41)] for x in mine], float)
+        for name, col in (("predicted", 3), ("truth", 4)):
+            x = np.array([m[col] for m in mine])
+            assert r[name] == pytest.approx(x.mean())
+            assert (r[f"{name}_low"], r[f"{name}_high"]) == pytest.approx(tuple(np.quantile((w * x[:, None]).sum(0) / w.sum(0), [0.025, 0.975])))
+    fit = calibration.marginal_fit(calibration.resampled_marginals(df, 40, seed=2)).first()
+    a, b = np.array([[r.predicted, r.truth] for r in got.values()]).T
+    assert (fit.cells, fit.corr, fit.rmse) == (9, pytest.approx(np.corrcoef(a, b)[0, 1]), pytest.approx(np.sqrt(((a - b) ** 2).mean())))
+    assert fit.mean_variation == pytest.approx(np.abs(a - b).sum() / 6)
+
+
+def test_held_out_people_are_nobodys_neighbours(spark):
+    cells = spark.createDataFrame([(i, j, ((i * 7 + j * 3) % 5) / 4) for i in range(30) for j in range(4)], "pid long, item_id int, x double")
+    train = spark.createDataFrame([(i,) for i in range(20)], "pid long")
+    near = neighbours.nearest_neighbours(cells, 4, train=train, people_a_block=8).collect()
+    assert {r.target for r in near} == set(range(30)) and {r.neighbour for r in near} <= set(range(20)) and all(r.target != r.neighbour for r in near)
+    alone = neighbours.nearest_neighbours(cells.where("pid < 20"), 4).collect()
+    assert sorted((r.target, r.neighbour, r["rank"]) for r in near if r.target < 20) == sorted((r.target, r.neighbour, r["rank"]) for r in alone)
