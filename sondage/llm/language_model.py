@@ -2,11 +2,13 @@
 
 Counts of n-grams are quantised to powers of two; a Bloom filter holds each n-gram once for every
 level up to its own, so that membership probes at rising levels, until the first miss, give its
-level back. Probabilities are smoothed from order to order: p(w | h) = (c(h w) + mu * p(w | shorter h)) / (c(h) + mu), down to an
+level back. Probabilities are smoothed from order to order: p(w | h) = (g c(h w) + mu * p(w | shorter h)) / (c(h) + mu), down to an
 add-one estimate of single tokens. There c(h w) is the least count of its level and c(h) the exact count of the
-context, or the greatest of its level where the context is not among the broadcast words. As the counts of a context's continuations add up
-to that of the context, the probabilities of all tokens after a context add up to 1 at most; what is missing to 1 is what the
-levels round off (and false hits of the filter, `LanguageModel.false_hits`, may add to it).
+context, or the greatest of its level where the context is not among the broadcast words. The counts of a context's continuations add up
+to that of the context at most; but each of the V words that never followed it is taken for seen with the chance f of a false hit, which
+would add F = V (f + f^2 + 2 f^3 + ...) more. So g = c(h) / (c(h) (1 + f + ...) + F): what a hit is worth, given how many hits
+are to be expected. With it the probabilities of all tokens after a context are expected to add up to 1 at most, at any size of the vocabulary
+(single draws of the filter spread around that by the root of F); what is missing to 1 is what the levels round off. f is the filter's own, `LanguageModel.false_hits`.
 
 mu follows from all training rows: it is the number of MU_GRID nearest to the mu that gives continuations unseen
 so far, over all contexts, the share of mass which n-grams seen once have in the training tokens.
@@ -226,6 +228,17 @@ class Scorer:
     tokens: int
     vocabulary: int
     level_tokens: float  # the middles of the levels of all words, summed up
+    false_hits: float = 0.0  # the chance that a probe of one level hits without cause
+
+    @property
+    def _raised(self) -> float:
+        """The expected growth of a count by false hits at the levels above its own: f + 2 f^2 + 4 f^3 + ..."""
+        return self.false_hits / max(1 - 2 * self.false_hits, 1e-9)
+
+    @property
+    def false_mass(self) -> float:
+        """The expected sum of the least counts of all words that never followed a context."""
+        return self.vocabulary * self.false_hits * (1 + self._raised)
 
     def counts(self, tokens: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """Quantised counts of the 1-grams, 2-grams, ... that end at each token; each distinct one is probed once."""
@@ -234,13 +247,14 @@ class Scorer:
 
     def log10(self, counts: list[np.ndarray], place: np.ndarray, mu: float, exact: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each token, 0 of begins. `exact`: the exact count of each token, 0 where it is not known."""
-        p = (counts[0] + 1) / max(self.level_tokens + self.vocabulary + 1, 1)
+        p = (counts[0] + 1) / max(self.level_tokens * (1 + self._raised) + self.vocabulary + 1, 1)
         for m in range(1, self.order):
             most = np.maximum(2 * least_counts(counts[m - 1]) - 1, 0)
             if m == 1 and exact is not None:
                 most = np.where(exact > 0, exact, most)
             c, h = least_counts(counts[m]), np.roll(most, 1)
-            p = np.where(place >= m, (np.minimum(c, h) + mu * p) / (h + mu), p)
+            worth = h / np.maximum(h * (1 + self._raised) + self.false_mass, 1e-9)
+            p = np.where(place >= m, (worth * np.minimum(c, h) + mu * p) / (h + mu), p)
         out = np.log10(p)
         out[place == 0] = 0.0
         return out
@@ -322,8 +336,7 @@ class LanguageModel:
     @property
     def false_hits(self) -> float:
         """Share of absent n-grams that the filter takes for seen ones."""
-        hit = F.pow(F.col("n") / (8.0 * F.octet_length("bits")), float(self.shape.n_probes))
-        return self.bits.agg(F.sum(hit)).first()[0] / self.shape.n_segments if not self.bits.isEmpty() else 0.0
+        return self.scorer.false_hits
 
 
 def _head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -393,12 +406,13 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER, filter
     words, bits = merged.where("word IS NOT NULL").select("word", "n"), merged.where("word IS NULL").select("segment", "bits", "n", "once")
     middle = 1.5 * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")))) - 0.5
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("vocabulary"), F.coalesce(F.sum(middle), F.lit(0.0)).alias("level_tokens")).first()
-    filled = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("once"), F.lit(0)).alias("once")).first()
+    hit = F.pow(F.col("n") / (8.0 * F.octet_length("bits")), float(n_probes))
+    filled = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("once"), F.lit(0)).alias("once"), F.coalesce(F.sum(hit), F.lit(0.0)).alias("hit")).first()
     bloom = None
     if filled["bytes"] <= filter_bytes:
         bloom = shape.empty()
         bloom.load({row["segment"]: row["bits"] for row in bits.select("segment", "bits").toLocalIterator()})  # filter_bytes at most
-    scorer = Scorer(bloom, order, totals["tokens"], totals["vocabulary"], totals["level_tokens"])
+    scorer = Scorer(bloom, order, totals["tokens"], totals["vocabulary"], totals["level_tokens"], filled["hit"] / n_segments)
     shared = spark.sparkContext.broadcast(scorer)
     return LanguageModel(scorer, shared, _mu(words, filled["once"], max(totals["tokens"], 1)), words, _head(words, head_words), shape, bits.drop("once"))
 

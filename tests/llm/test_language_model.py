@@ -97,3 +97,60 @@ def test_probability_is_at_most_one(spark):
     tokens, place = lm.flat_tokens([lm.WordHashes().of("a a")])
     counts = model.scorer.counts(tokens, place)
     assert all((model.scorer.log10(counts, place, mu) <= 0).all() for mu in lm.MU_GRID)
+
+
+def test_mass_after_contexts_of_a_large_vocabulary_is_one_at_most(spark):
+    rng = np.random.default_rng(11)
+    weights = 1 / np.arange(1, 60_001)
+    draws = rng.choice(60_000, 900_000, p=weights / weights.sum())
+    texts = [(i, " ".join(f"w{k}" for k in draws[i * 300 : (i + 1) * 300])) for i in range(3000)]
+    texts.append((3000, " ".join(f"w{k}" for k in range(60_000))))
+    model = lm.train(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    scorer = model.scorer
+    assert scorer.vocabulary == 60_001 and 0.001 < scorer.false_hits < 0.02  # false hits alone would be many words
+    words = np.concatenate([lm.WordHashes().of(" ".join(f"w{k}" for k in range(60_000))), [lm.END]])
+    exact, which = lm.exact_counts(words, model.head)
+    for context in (0, 1, 5, 40, 300, 2000, 20_000, 59_999):
+        tokens = np.stack([np.full(len(words), words[context]), words], 1).ravel()
+        place = np.tile([1, 2], len(words))
+        known = np.stack([np.full(len(words), exact[which[context]]), exact[which]], 1).ravel()
+        counts = scorer.counts(tokens, place)
+        for mu in (3.0, model.mu):
+            assert (10 ** scorer.log10(counts, place, mu, known)[1::2]).sum() < 1.02, (context, mu)
+
+
+def plain_score(model, tokens, exact):
+    """log10 probability of one text, token by token: the documented formula over the filter's levels."""
+    f, v, bloom = model.scorer.false_hits, model.scorer.vocabulary, model.scorer.bloom
+
+    def level(gram):
+        n = 0
+        while n < 63 and bloom.contains(bloom.key(np.array([gram], np.uint64)), n + 1)[0]:
+            n += 1
+        return n
+
+    raised = f / (1 - 2 * f)
+    total, before = 0.0, lm.BEGIN
+    for t in tokens:
+        one = level(t)
+        p = ((1.5 * 2 ** (one - 1) - 0.5 if one else 0.0) + 1) / (model.scorer.level_tokens * (1 + raised) + v + 1)
+        two = level(lm.mixed(np.array([before], np.uint64), np.array([t], np.uint64))[0])
+        h = exact.get(int(before)) or (2 ** level(before) - 1 if level(before) else 0)
+        c = min(2 ** (two - 1) if two else 0, h)
+        worth = h / (h * (1 + raised) + v * f * (1 + raised)) if h else 0.0
+        p = (worth * c + model.mu * p) / (h + model.mu)
+        total += math.log10(p)
+        before = t
+    return total
+
+
+def test_scores_follow_the_formula(spark):
+    docs = spark.read.parquet(SF).select("doc_id", "text")
+    held = lm.is_fold("doc_id", 7, 2)
+    model = lm.train(docs.where(~held), head_words=300)
+    exact = dict(zip(model.head[0].tolist(), model.head[1].tolist()))
+    some = sorted(docs.collect(), key=lambda r: len(r.text or ""))[20:26]
+    got = {r.doc_id: r.score for r in lm.score(docs, model, held).collect()}
+    for r in some:
+        tokens = [*lm.WordHashes().of(r.text), lm.END]
+        assert got[r.doc_id] == pytest.approx(plain_score(model, tokens, exact), rel=1e-9)
