@@ -48,7 +48,8 @@ from ._common import WordHashes, mixed, values, written
 from .bloom import SizedBloom
 
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
-FILTER_BYTES = 1 << 23
+#: A filter of up to this size is broadcast: each Python worker holds it once.
+FILTER_BYTES = 1 << 28
 BITS_AN_ENTRY = 13
 HEAD_WORDS = 400_000
 MU_GRID = (3.0, 30.0, 300.0, 3_000.0, 30_000.0, 300_000.0)
