@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import pair_agreement
+
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the highest `order` of each key; by max of a struct, which combines before the shuffle."""
@@ -39,27 +41,17 @@ def retest_report(main: DataFrame, retest: DataFrame) -> DataFrame:
 
 
 def pairwise_agreement(cells: DataFrame) -> DataFrame:
-    """(pid_a, pid_b, shared, rate) of all pairs with a shared item; missing cells do not count."""
-    a = cells.select(F.col("pid").alias("pid_a"), "item_id", F.col("answer").alias("answer_a"))
-    b = cells.select(F.col("pid").alias("pid_b"), "item_id", F.col("answer").alias("answer_b"))
-    met = a.join(b, "item_id").where("pid_a < pid_b")
-    same = F.sum((F.col("answer_a") == F.col("answer_b")).cast("int"))
-    return met.groupBy("pid_a", "pid_b").agg(F.count("*").alias("shared"), same.alias("same"), (same / F.count("*")).alias("rate"))
+    """(pid_a, pid_b, shared, same, rate) of all pairs with a shared item; missing cells do not count. People are compared in blocks."""
+    pairs = pair_agreement(cells.select("pid", "item_id", "answer"))
+    return pairs.select("pid_a", "pid_b", "shared", "same", (F.col("same") / F.col("shared")).alias("rate"))
 
 
 def dense_agreement(cells: DataFrame) -> DataFrame:
-    """The variant over all items of the bank, in which two missing answers agree.
-
-    Both-missing items follow from counts, so only answered cells are joined.
-    """
+    """The variant over all items of the bank, in which two missing answers agree: items that neither answered follow from counts."""
     n_items = cells.agg(F.countDistinct("item_id").alias("n_items"))
-    answered = cells.groupBy("pid").agg(F.count("*").alias("n"))
-    a, b = (answered.select(F.col("pid").alias(f"pid_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    grid = a.join(b, F.col("pid_a") < F.col("pid_b"))
-    met = pairwise_agreement(cells).select("pid_a", "pid_b", "shared", "same")
-    full = grid.join(met, ["pid_a", "pid_b"], "left").fillna(0, ["shared", "same"]).crossJoin(F.broadcast(n_items))
+    pairs = pair_agreement(cells.select("pid", "item_id", "answer"), unmet=True).crossJoin(F.broadcast(n_items))  # one row
     neither = F.col("n_items") - F.col("n_a") - F.col("n_b") + F.col("shared")
-    return full.select("pid_a", "pid_b", ((F.col("same") + neither) / F.col("n_items")).alias("rate"))
+    return pairs.select("pid_a", "pid_b", ((F.col("same") + neither) / F.col("n_items")).alias("rate"))
 
 
 def smoothed_marginals(cells: DataFrame, keys: list[str], category: str, categories: DataFrame, smoothing: float = 0.5) -> DataFrame:

@@ -196,3 +196,23 @@ def test_held_out_people_are_nobodys_neighbours(spark):
     assert {r.target for r in near} == set(range(30)) and {r.neighbour for r in near} <= set(range(20)) and all(r.target != r.neighbour for r in near)
     alone = neighbours.nearest_neighbours(cells.where("pid < 20"), 4).collect()
     assert sorted((r.target, r.neighbour, r["rank"]) for r in near if r.target < 20) == sorted((r.target, r.neighbour, r["rank"]) for r in alone)
+
+
+def test_pairs_agree_in_blocks_as_they_do_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, j, None if rng.random() < 0.1 else f"x{rng.integers(0, 3)}") for i in range(23) for j in range(5) if rng.random() < 0.5]
+    cells = spark.createDataFrame([*rows, (None, 1, "x0")], "pid long, item_id int, answer string").repartition(3)
+    of = {}
+    for i, j, a in rows:
+        of.setdefault(i, {})[j] = a
+    want = {}
+    for a in sorted(of):
+        for b in sorted(of):
+            if a < b:
+                met = of[a].keys() & of[b].keys()
+                want[a, b] = (len(met), sum(of[a][j] is not None and of[a][j] == of[b][j] for j in met), len(of[a]), len(of[b]))
+    for size in (4, 256):
+        got = {(r.pid_a, r.pid_b): tuple(r)[2:] for r in neighbours.pair_agreement(cells, unmet=True, people_a_block=size).collect()}
+        assert got == want
+        assert {(r.pid_a, r.pid_b) for r in neighbours.pair_agreement(cells, people_a_block=size).collect()} == {k for k, v in want.items() if v[0]}
+    assert neighbours.pair_agreement(cells.limit(0)).collect() == []
