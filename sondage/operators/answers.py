@@ -67,24 +67,6 @@ def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
 
 
-def code_distances(cells: DataFrame, steps: int = 4) -> DataFrame:
-    """(target, neighbour, distance) of people with a shared item: the mean difference of their codes over `steps`.
-
-    Each pair is compared once and given both ways.
-    """
-    a = cells.select(F.col("pid").alias("a"), "item_id", F.col("code").alias("code_a"))
-    b = cells.select(F.col("pid").alias("b"), "item_id", F.col("code").alias("code_b"))
-    once = a.join(b, "item_id").where("a < b").groupBy("a", "b").agg((F.avg(F.abs(F.col("code_a") - F.col("code_b"))) / steps).alias("distance"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("target"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("target"), F.col("a").alias("neighbour"))))
-    return once.select(both.alias("p"), "distance").select("p.*", "distance")
-
-
-def nearest(distances: DataFrame, k: int, order: list[Column], *, rank: str = "rank") -> DataFrame:
-    """The k first rows of each target, with their rank."""
-    w = Window.partitionBy("target").orderBy(*order)
-    return distances.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-
-
 def transcripts(turns: DataFrame) -> DataFrame:
     """(conv_id, turns, complete): each conversation's turns in order; complete if no number is left out."""
     nested = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.max("turn").alias("__last"))

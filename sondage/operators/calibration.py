@@ -68,9 +68,12 @@ def graded(pairs: DataFrame, sets: list[list[str]]) -> DataFrame:
 
 
 def variance_split(df: DataFrame, slot: str, value: str) -> DataFrame:
-    """Total variance and its share between slots."""
-    mean = F.avg(value).over(Window.partitionBy(slot))
-    return df.select(F.col(value).alias("v"), mean.alias("m")).agg(F.var_pop("v").alias("total"), F.var_pop("m").alias("between"), F.avg(F.pow(F.col("v") - F.col("m"), 2)).alias("within"))
+    """Total variance, and what of it lies between slots and within them; slots are summed first, so no row is shuffled."""
+    slots = df.where(F.col(value).isNotNull()).groupBy(slot).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    n, weigh = F.sum("n"), lambda c: F.sum(F.col("n") * c)
+    between = F.greatest(weigh(F.col("m") * F.col("m")) / n - F.pow(weigh(F.col("m")) / n, 2), F.lit(0.0))
+    within = weigh(F.col("v")) / n
+    return slots.agg((between + within).alias("total"), between.alias("between"), within.alias("within"))
 
 
 def arm_grades(pairs: DataFrame, sets: list[list[str]], *, n_bins: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_A_BUCKET = 1 << 18
+
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(rule, key) of every broken row rule, in one pass."""
@@ -44,9 +46,12 @@ def stratified_holdout(df: DataFrame, stratum: str, key: str, share: float, seed
 
 
 def folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Balanced folds by hash order. Ranks come from bucketed counts, so no task orders all rows."""
-    h = df.withColumn("__h", hash_order(seed, F.col(key))).withColumn("__b", F.substring("__h", 1, 2))
-    sizes = h.groupBy("__b").agg(F.count("*").alias("__n"))  # 256 rows at most
+    """Balanced folds by hash order. Ranks come from counts of hash buckets, which follow the number of rows, so no task orders many of them."""
+    rows, digits = df.count(), 2
+    while 16**digits * ROWS_A_BUCKET < rows and digits < 5:
+        digits += 1
+    h = df.withColumn("__h", hash_order(seed, F.col(key))).withColumn("__b", F.substring("__h", 1, digits))
+    sizes = h.groupBy("__b").agg(F.count("*").alias("__n"))  # a row a bucket
     start = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
     return h.withColumn("__i", inside).join(F.broadcast(start), "__b").withColumn("fold", ((F.col("__start") + F.col("__i")) % k).cast("int")).drop("__h", "__b", "__n", "__start", "__i")

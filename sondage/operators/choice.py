@@ -54,8 +54,8 @@ def logit_newton(x: np.ndarray, starts: np.ndarray, chosen: np.ndarray, ridge: f
 
 def fit_logits(options: DataFrame, who: str, choice_set: str, features: list[str], chosen: str, *, order: list[str], min_sets: int = MIN_SETS) -> DataFrame:
     """One logit for each `who` with at least `min_sets` choice sets; each group is one decision maker."""
-    sets = Window.partitionBy(who)
-    counted = options.withColumn("__sets", F.size(F.collect_set(choice_set).over(sets))).where(F.col("__sets") >= min_sets)
+    enough = options.groupBy(who).agg(F.countDistinct(choice_set).alias("__sets")).where(F.col("__sets") >= min_sets)
+    counted = options.join(enough, who)
     kind = dict(options.dtypes)[who]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

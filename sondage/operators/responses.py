@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.functions.text import stripped
+
 from . import graded
 
 LIKERT_STEPS = 5
 
 
-def answer_code(answer: Column, kind: Column) -> Column:
-    """Category index of a stored answer: 0 to 4 for 1 to 5 of likert5, 1 and 0 for yes and no of binary; null where it is neither."""
-    text = F.lower(F.trim(answer.cast("string")))
+#: Stored answers of binary items.
+YES_ANSWERS, NO_ANSWERS = ("yes", "1", "true"), ("no", "0", "false")
+
+
+def answer_code(answer: Column, kind: Column, *, strict: bool = False) -> Column:
+    """Category index of a stored answer: 0 to 4 for 1 to 5 of likert5, 1 and 0 for yes and no of binary; null where it is neither.
+
+    With `strict`, an answer of a known kind that cannot be read fails the query; a null one stays null.
+    """
+    text = F.lower(stripped(answer.cast("string")))
     number = F.when(text.rlike(r"^[+-]?\d{1,9}$"), text).cast("int")
     likert = F.when(number.between(1, LIKERT_STEPS), number - 1)
-    binary = F.when(text.isin("yes", "1", "true"), 1).when(text.isin("no", "0", "false"), 0)
-    return F.when(kind == "likert5", likert).when(kind == "binary", binary)
+    binary = F.when(text.isin(*YES_ANSWERS), 1).when(text.isin(*NO_ANSWERS), 0)
+    code = F.when(kind == "likert5", likert).when(kind == "binary", binary)
+    if not strict:
+        return code
+    unread = code.isNull() & text.isNotNull() & kind.isin("likert5", "binary")
+    return F.when(unread, F.raise_error(F.concat(F.lit("unreadable answer: "), answer.cast("string"))).cast("int")).otherwise(code)
 
 
 def coded_answers(log: DataFrame, bank: DataFrame, *, round_name: str | None = "main") -> DataFrame:

@@ -57,11 +57,9 @@ def describe(value: str) -> list[Column]:
 
 
 def standardized(df: DataFrame, item: str, value: str, *, sample: bool = True) -> DataFrame:
-    """z-scores for each item in a column `z`; items that do not vary are dropped."""
-    w = Window.partitionBy(item)
-    sd = (F.stddev_samp if sample else F.stddev_pop)(value).over(w)
-    scored = df.withColumn("__sd", sd).withColumn("z", F.col(value) - F.avg(value).over(w)).where(F.col("__sd") > TINY)
-    return scored.withColumn("z", F.col("z") / F.col("__sd")).drop("__sd")
+    """z-scores for each item in a column `z`; items that do not vary are dropped. An item's mean and spread are summed on the map side and joined back."""
+    scale = df.groupBy(item).agg(F.avg(value).alias("__mean"), (F.stddev_samp if sample else F.stddev_pop)(value).alias("__sd")).where(F.col("__sd") > TINY)
+    return df.join(scale, item).withColumn("z", (F.col(value) - F.col("__mean")) / F.col("__sd")).select(*df.columns, "z")
 
 
 def item_covariance(df: DataFrame, person: str, item: str, z: str, n_people: Column) -> DataFrame:

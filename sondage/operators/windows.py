@@ -31,7 +31,7 @@ def grid_peak_share(df: DataFrame, keys: list[str], time: str, width: int = 15)
     """Largest share in any window [s, s + width) with s on whole minutes, from floor(min) to ceil(max)."""
     bounds = df.groupBy(*keys).agg(F.floor(F.min(time)).alias("__lo"), F.ceil(F.max(time)).alias("__hi"), F.count("*").alias("__n"))
     first = F.floor(F.col(time)) - width + 1
-    starts = df.select(*keys, time).join(F.broadcast(bounds) if not keys else bounds, keys) if keys else df.crossJoin(bounds)
+    starts = df.select(*keys, time).join(bounds, keys) if keys else df.crossJoin(bounds)  # bounds of all rows are one row
     spread = starts.withColumn("start", F.explode(F.sequence(first, F.floor(F.col(time)))))
     inside = spread.where((F.col("start") >= F.col("__lo")) & (F.col("start") <= F.col("__hi")))
     counted = inside.groupBy(*keys, "start", "__n").agg(F.count("*").alias("c"))

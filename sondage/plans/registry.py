@@ -16,6 +16,7 @@ from sondage.operators import answers as A
 from sondage.operators import calibration as C
 from sondage.operators import checks as K
 from sondage.operators import choice as D
+from sondage.operators import neighbours as B
 from sondage.operators import sequential as Q
 from sondage.operators import stats as S
 from sondage.operators import windows as W
@@ -104,8 +105,9 @@ def smoothed_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
          row_number() OVER (PARTITION BY a.pid ORDER BY round(avg(abs(a.code - b.code)) / 4, 9), b.pid) AS rank_k
   FROM main a JOIN main b ON a.item_id = b.item_id AND a.pid <> b.pid GROUP BY a.pid, b.pid) WHERE rank_k <= 5""")
 def nearest_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.nearest(A.code_distances(V.main_round(spark, sf_dir)), 5, [F.round("distance", 9), F.col("neighbour")], rank="rank_k")
-    return out.select("target", "neighbour", F.col("rank_k").cast("long").alias("rank_k"), r6("distance").alias("distance"))
+    cells = V.main_round(spark, sf_dir).select("pid", "item_id", (F.col("code") / 4).alias("x"))
+    out = B.nearest_neighbours(cells, 5, mean=True, people_a_block=256)
+    return out.select("target", "neighbour", F.col("rank").cast("long").alias("rank_k"), r6("distance").alias("distance"))
 
 
 @query("""SELECT e.pid, e.item_id, arg_min(e.answer, e.seq) AS answer FROM ev e
@@ -262,7 +264,7 @@ def option_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def fit_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A logit of cost and quantity for each customer with five orders or more; the largest quantity was chosen."""
+    """A logit of cost for each customer with five orders or more, by the older solver; the largest quantity was chosen. See choice_fits."""
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
     best = F.max(F.struct("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "cost")).over(D.within("l_orderkey"))
     lines = V.options(spark, sf_dir).distinct().withColumn("chosen", F.struct("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "cost") == best)

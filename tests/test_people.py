@@ -216,3 +216,11 @@ def test_pairs_agree_in_blocks_as_they_do_one_by_one(spark):
         assert got == want
         assert {(r.pid_a, r.pid_b) for r in neighbours.pair_agreement(cells, people_a_block=size).collect()} == {k for k, v in want.items() if v[0]}
     assert neighbours.pair_agreement(cells.limit(0)).collect() == []
+
+
+def test_strict_codes_fail_on_unreadable_answers(spark):
+    df = spark.createDataFrame([("likert5", "\t3\n"), ("binary", None)], "kind string, answer string")
+    code = responses.answer_code(F.col("answer"), F.col("kind"), strict=True)
+    assert [r.c for r in df.select(code.alias("c")).collect()] == [2, None]
+    with pytest.raises(Exception, match="unreadable answer"):
+        df.union(spark.createDataFrame([("likert5", "nine")], "kind string, answer string")).select(code.alias("c")).collect()
