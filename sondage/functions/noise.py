@@ -75,8 +75,11 @@ def drawn(distribution: Column, u: Column) -> Column:
     entries = F.array_sort(F.map_entries(distribution))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("key"))
 
-    def step(state: Column, e: Column) -> Column:
-        total = state["sum"] + e["value"]
-        return F.struct(total.alias("sum"), F.coalesce(state["key"], F.when(u < total, e["key"].cast("string"))).alias("key"))
+    def pick(point: Column) -> Column:
+        def step(state: Column, e: Column) -> Column:
+            total = state["sum"] + e["value"]
+            return F.struct(total.alias("sum"), F.coalesce(state["key"], F.when(point < total, e["key"].cast("string"))).alias("key"))
 
-    return F.coalesce(F.aggregate(entries, start, step)["key"], F.element_at(entries, -1)["key"].cast("string"))
+        return F.coalesce(F.aggregate(entries, start, step)["key"], F.element_at(entries, -1)["key"].cast("string"))
+
+    return F.get(F.transform(F.array(u), pick), F.lit(0))  # so that `u`, often a hash, is taken once and not for each key

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .choice_fits import replicate_weights
-from .graded import _lists, sum_arrays
+from .graded import _lists, sum_long_arrays
 from .stats import safe_corr, sorted_quantile
 
 LOG_FLOOR = 1e-6
@@ -162,7 +162,7 @@ def resampled_marginals(pairs: DataFrame, rounds: int, *, seed: int = 0, person:
 
     parts = packed.mapInArrow(summed, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", s array<double>")
     n = rounds + 1
-    sums = parts.groupBy("item_id", "category").agg(sum_arrays("s", 3 * n).alias("s"))
+    sums = sum_long_arrays(parts, ["item_id", "category"], "s")
     share = lambda start: F.transform(F.sequence(F.lit(0), F.lit(rounds)), lambda i: F.try_divide(F.get("s", i + start * n), F.get("s", i + 2 * n)))
     rows = sums.select("item_id", "category", share(0).alias("p"), share(1).alias("t"))
     ordered = {c: F.array_sort(F.array_compact(F.slice(c, 2, rounds))) for c in ("p", "t")}

@@ -48,8 +48,9 @@ def replicate_weights(key: Column, replicates: int, seed: int = 0) -> Column:
 
     The draws of a set need nothing of the other sets, so resampling takes no shuffle; the number of sets of a replicate varies around its mean.
     """
-    draw = lambda b: F.size(F.filter(F.array(*[F.lit(t) for t in POISSON]), lambda t: t <= noise.hash_uniform(F.lit(seed), key, b)))
-    return F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: draw(b).cast("double"))
+    uniform = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: noise.hash_uniform(F.lit(seed), key, b))  # once for each draw
+    thresholds = F.array(*[F.lit(t) for t in POISSON])
+    return F.transform(uniform, lambda u: F.size(F.filter(thresholds, lambda t: t <= u)).cast("double"))
 
 
 def choice_sets(options: DataFrame, who: str, choice_set: str, features: list[str], chosen: str, *, order: list[str]) -> DataFrame:

@@ -35,6 +35,31 @@ def sum_arrays(column: str, size: int) -> Column:
     return F.array(*[F.sum(F.get(F.col(column), F.lit(i))) for i in range(size)])
 
 
+def sum_long_arrays(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column): the same for arrays too long for an expression a place. For parts with few rows a key and task: they are
+    shuffled as they are and added up while they stream, so a task holds one sum for each of its keys.
+    """
+    kinds = {f.name: f.dataType for f in parts.select(*keys).schema.fields}
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(column), len(batch.column(column)[0]))
+            at = np.array([place.setdefault(k, len(place)) for k in zip(*(batch.column(c).to_pylist() for c in keys))], np.int64)
+            total = np.zeros((0, x.shape[1])) if total is None else total
+            total = np.concatenate([total, np.zeros((len(place) - len(total), x.shape[1]))])
+            np.add.at(total, at, x)
+        if place:
+            columns = [pa.array(c, to_arrow_type(k)) for c, k in zip(zip(*place), kinds.values())]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(total)], [*keys, column])
+
+    schema = ", ".join(f"`{c}` {k.simpleString()}" for c, k in kinds.items())
+    return parts.select(*keys, column).repartition(*keys).mapInArrow(added, f"{schema}, `{column}` array<double>")
+
+
 @dataclass(frozen=True)
 class Bank:
     """Item parameters: `cuts` is padded with infinity behind an item's own ones."""
