@@ -22,6 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sondage.sources.stored import drop, stored
 
+from . import linear
+from .stats import safe_corr
+
 MOST_ITEMS = 100_000
 #: Fixed values of the start: shares of a category are held off 0 and 1, cuts apart, loadings small.
 LEAST_SHARE, LEAST_GAP, START_SCALE = 0.02, 0.05, 0.3
@@ -566,3 +569,25 @@ def linked(fit: JointFit) -> JointFit:
     items = fit.items.withColumn("loadings", by("loadings", scale))
     people = fit.people.withColumn("theta", by("theta", 1 / scale)).withColumn("covariance", by("covariance", 1 / (scale * scale)))
     return replace(fit, items=items, people=people)
+
+
+def restart_agreement(a: JointFit, b: JointFit, n_traits: int) -> dict[str, list[float]]:
+    """How alike two fits are once the second is turned onto the first: correlations of traits and of loadings by trait, and canonical ones.
+
+    Everything comes from cross products of the joined people and items; NaN where a side does not vary.
+    """
+
+    def columns(left: DataFrame, right: DataFrame, key: str, field: str) -> DataFrame:
+        take = lambda df, name: df.select(key, *[F.get(F.col(field), F.lit(k)).alias(f"{name}{k}") for k in range(n_traits)])
+        return take(left, "a").join(take(right, "b"), key)
+
+    ours, theirs = [f"a{k}" for k in range(n_traits)], [f"b{k}" for k in range(n_traits)]
+    people, items = columns(a.people, b.people, "pid", "theta"), columns(a.items, b.items, "item_id", "loadings")
+    turn = linear.orthogonal_map(people, theirs, ours)
+
+    def correlations(df: DataFrame) -> list[float]:
+        turned = linear.rotated([F.col(c) for c in theirs], turn)
+        row = df.agg(*[safe_corr(x, F.col(c)).alias(c) for x, c in zip(turned, ours, strict=True)]).first()
+        return [float("nan") if v is None else v for v in row]
+
+    return {"traits": correlations(people), "loadings": correlations(items), "canonical": linear.canonical_correlations(people, ours, theirs).tolist()}

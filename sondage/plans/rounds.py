@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sondage.functions import noise as N
 from sondage.functions import text as T
+from sondage.operators import answers as A
+from sondage.operators import bars as B
 from sondage.operators import rounds as O
 from sondage.operators import selection as S
 from sondage.sources import versions
@@ -120,3 +122,55 @@ def retest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = {name: [str(k) for k in items if k % 9 == rest] for name, rest in (("cross", 3), ("weak", 6), ("distractor", 0))}
     people = V.main_round(spark, sf_dir).select("pid").distinct()
     return S.quota_sample(people, [str(k) for k in items], fixed, 2, classes, 12, seed=11)
+
+
+_REPLIES = [  # reply, type, answer, reason
+    ("5.", "likert5", "5", None),
+    ("I strongly agree with it", "likert5", "5", None),
+    ("Disagree", "likert5", "2", None),
+    ("5.5", "likert5", None, "none"),
+    ("15", "likert5", None, "none"),
+    ("1 or 2", "likert5", None, "ambiguous"),
+    ("  ", "likert5", None, "empty"),
+    ("Yes!", "binary", "yes", None),
+    ("nope", "binary", "no", None),
+    ("(y)", "binary", "yes", None),
+    ("yes and no", "binary", None, "ambiguous"),
+    ("perhaps", "binary", None, "none"),
+    ("4", "open", None, "unknown type"),
+]
+
+
+@query("SELECT seq, r.answer, r.reason FROM ev JOIN (VALUES " + ", ".join(f"({i}, {'NULL' if a is None else repr(a)}, {'NULL' if r is None else repr(r)})" for i, (_, _, a, r) in enumerate(_REPLIES)) + f") r(i, answer, reason) ON ev.seq % {len(_REPLIES)} = r.i")
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event says one of the planted replies; what the reader makes of them."""
+    said = F.element_at(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(k).alias("kind")) for t, k, _, _ in _REPLIES]), (F.col("seq") % len(_REPLIES) + 1).cast("int"))
+    rows = V.log(spark, sf_dir).select("seq", said.alias("said"))
+    return rows.select("seq", T.normalize_answer(F.col("said.text"), F.col("said.kind")).alias("got")).select("seq", "got.answer", "got.reason")
+
+
+_ACCURACY = """, e AS (SELECT kind AS dim, pid, avg(value) / 100 AS truth, avg(value) FILTER (item_id <= 15) / 100 AS centre, (SELECT avg(value) / 100 FROM main) AS baseline FROM main GROUP BY ALL)
+"""
+
+
+@query(_ACCURACY + "SELECT dim, count(*) AS n, round(sqrt(avg(pow(centre - truth, 2))), 6) AS rmse, round(corr(centre, truth), 6) AS corr, round(1 - sqrt(avg(pow(centre - truth, 2))) / sqrt(avg(pow(baseline - truth, 2))), 6) AS lift FROM e WHERE centre IS NOT NULL GROUP BY GROUPING SETS ((), (dim))")
+def trait_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People's means over the interview as estimates of their means over all items, by item type and pooled."""
+    main = V.main_round(spark, sf_dir)
+    everywhere = main.agg((F.avg("value") / 100).alias("baseline"))
+    cells = main.groupBy(F.col("kind").alias("dim"), "pid").agg((F.avg("value") / 100).alias("truth"), (F.avg(F.when(F.col("item_id") <= 15, F.col("value"))) / 100).alias("centre")).crossJoin(everywhere)  # one row
+    return B.accuracy(cells).select("dim", "n", r6("rmse").alias("rmse"), r6("corr").alias("corr"), r6("lift").alias("lift"))
+
+
+@query("""SELECT metric, value, low, high, pass, false AS all_pass FROM (SELECT metric, round(value, 6) AS value, low, high, CASE WHEN value IS NULL THEN NULL ELSE value >= coalesce(low, value) AND value <= coalesce(high, value) END AS pass FROM (
+  VALUES ('max_pair_agreement', NULL::DOUBLE, 0.95::DOUBLE), ('median_pair_agreement', NULL, 0.8), ('effective_dimensions', 5.0, NULL), ('median_obedience', 0.5, NULL), ('retest_agreement', 0.7, 0.9)) b(metric, low, high) LEFT JOIN (
+  SELECT 'max_pair_agreement' AS metric, max(rate) AS value FROM (SELECT avg(CASE WHEN a.answer = b.answer THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM main a JOIN main b ON a.item_id = b.item_id AND a.pid < b.pid GROUP BY a.pid, b.pid)
+  UNION ALL SELECT 'median_pair_agreement', quantile_cont(rate, 0.5) FROM (SELECT avg(CASE WHEN a.answer = b.answer THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM main a JOIN main b ON a.item_id = b.item_id AND a.pid < b.pid GROUP BY a.pid, b.pid)
+  UNION ALL SELECT 'retest_agreement', avg(CASE WHEN m.kind = 'binary' THEN m.code = r.code ELSE abs(m.code - r.code) <= 1 END::INTEGER) FROM retest r JOIN main m ON m.pid = r.pid AND m.item_id = r.item_id) v USING (metric))""")
+def population_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the answering population; two figures are not measured here, so they neither pass nor fail."""
+    main = V.main_round(spark, sf_dir)
+    rates = A.pairwise_agreement(main).agg(F.max("rate").alias("max_pair_agreement"), F.percentile("rate", F.lit(0.5)).alias("median_pair_agreement"))
+    pairs = rates.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in rates.columns])).alias("m")).select("m.*")
+    retest = A.retest_report(main, V.retest_round(spark, sf_dir)).where("kind IS NULL AND pid IS NULL").select(F.lit("retest_agreement").alias("metric"), F.col("rate").alias("value"))
+    return B.verdict(pairs.unionByName(retest)).withColumn("value", r6("value"))
