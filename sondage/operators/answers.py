@@ -73,6 +73,25 @@ def transcripts(turns: DataFrame) -> DataFrame:
     return nested.select("conv_id", "turns", (F.col("__last") + 1 == F.size("turns")).alias("complete"))
 
 
+def scripted_order(transcripts: DataFrame, field: str = "item_id", *, strict: bool = False) -> DataFrame:
+    """(script, conversations, example, first): the different orders of a nested field over all transcripts, the most common one first.
+
+    `transcripts` has conv_id and turns, in order. A script is told by the digest of its fields; `first` is the first field that the
+    most common script has otherwise, null for that one itself. With `strict`, more than one script fails the query.
+    """
+    names = F.transform("turns", lambda t: F.coalesce(t[field].cast("string"), F.lit("")))
+    each = transcripts.select("conv_id", names.alias("names"))
+    scripts = each.groupBy("names").agg(F.count("*").alias("conversations"), F.min("conv_id").alias("example"))
+    common = scripts.agg(F.min_by("names", F.struct(-F.col("conversations"), "example")).alias("common"), F.count("*").alias("n"))
+    rows = scripts.crossJoin(common)  # one row
+    if strict:
+        rows = rows.withColumn("names", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("scripts differ in conversation "), F.col("example").cast("string")))).otherwise(F.col("names")))
+    other = F.filter(F.transform("names", lambda x, i: F.when(~x.eqNullSafe(F.get("common", i)), x)), lambda x: x.isNotNull())
+    shorter = F.when(F.size("names") < F.size("common"), F.get("common", F.size("names")))
+    digest = F.sha2(F.to_json(F.struct("names")), 256)
+    return rows.select(digest.alias("script"), "conversations", "example", F.coalesce(F.get(other, F.lit(0)), shorter).alias("first"))
+
+
 def upserted(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First answer of each key of `batch` that `existing` has not: what an append must write."""
     return first_wins(batch, keys, order).join(existing.select(*keys), keys, "left_anti")

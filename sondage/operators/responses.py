@@ -32,13 +32,16 @@ def answer_code(answer: Column, kind: Column, *, strict: bool = False) -> Column
     return F.when(unread, F.raise_error(F.concat(F.lit("unreadable answer: "), answer.cast("string"))).cast("int")).otherwise(code)
 
 
-def coded_answers(log: DataFrame, bank: DataFrame, *, round_name: str | None = "main") -> DataFrame:
+def coded_answers(log: DataFrame, bank: DataFrame, *, round_name: str | None = "main", missing_counts: bool = False) -> DataFrame:
     """(pid, item_id, kind, code, position): the last answer of each cell in one round (all, if None), for items of the bank.
 
     `log` has pid, item_id, round, answer and `position`, its place in the file; items that the bank has not are left out.
+    With `missing_counts` a null or empty round counts as that round, else as none.
     `code` is null where the answer cannot be read; `unreadable` counts such cells.
     """
-    rows = log.where(F.col("round") == round_name) if round_name is not None else log
+    named = F.when(F.col("round").isNotNull() & (F.col("round") != ""), F.col("round"))
+    asked = F.coalesce(named, F.lit(round_name)) if missing_counts else F.col("round")
+    rows = log.where(asked == round_name) if round_name is not None else log
     last = rows.groupBy("pid", "item_id").agg(F.max(F.struct("position", "answer")).alias("last"))
     return last.join(bank.select("item_id", "kind"), "item_id").select("pid", "item_id", "kind", answer_code(F.col("last.answer"), F.col("kind")).alias("code"), "last.position")
 

@@ -174,3 +174,11 @@ def population_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rates.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in rates.columns])).alias("m")).select("m.*")
     retest = A.retest_report(main, V.retest_round(spark, sf_dir)).where("kind IS NULL AND pid IS NULL").select(F.lit("retest_agreement").alias("metric"), F.col("rate").alias("value"))
     return B.verdict(pairs.unionByName(retest)).withColumn("value", r6("value"))
+
+
+@query("""SELECT conversations, example, sha256(to_json(struct_pack(names := names))) AS script FROM (SELECT names, count(*) AS conversations, min(conv_id) AS example FROM (
+SELECT conv_id, list(coalesce(role, '') ORDER BY turn, role, text) AS names FROM conversations GROUP BY conv_id) GROUP BY names)""")
+def conversation_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different orders of roles over all conversations."""
+    out = A.scripted_order(A.transcripts(V.table(spark, sf_dir, "conversations")), "role")
+    return out.select("conversations", "example", "script")

@@ -29,12 +29,15 @@ def position() -> Column:
     return F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
 
 
-def read_answer_log(spark: SparkSession, path: str) -> DataFrame:
-    """(pid, item_id, round, answer, logprobs, position) of a log of JSON lines; a null round is `main`. Blank lines are none; no other field is read."""
+def read_answer_log(spark: SparkSession, path: str, *, default_round: str | None = "main") -> DataFrame:
+    """(pid, item_id, round, answer, logprobs, position) of a log of JSON lines. Blank lines are none; no other field is read.
+
+    A null round becomes `default_round`; with None it stays as it was read, and what it means is up to the operators.
+    """
     schema = "pid string, item_id string, round string, answer string, logprobs map<string,double>"
     rows = read_records(spark, path, schema)
     at = position() if rows.inputFiles() else F.struct(F.lit("").alias("file_name"), F.lit(0).cast("long").alias("file_block_start"), F.lit(0).cast("long").alias("row"))
-    return rows.select("pid", "item_id", F.coalesce("round", F.lit("main")).alias("round"), "answer", "logprobs", at.alias("position"))
+    return rows.select("pid", "item_id", F.coalesce("round", F.lit(default_round).cast("string")).alias("round"), "answer", "logprobs", at.alias("position"))
 
 
 def recorded_distributions(log: DataFrame, items: list[str] | None = None, rounds: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage.functions import noise
-from sondage.operators import calibration, neighbours, responses, stats
+from sondage.operators import answers, calibration, neighbours, responses, stats
 from sondage.sources import questionnaire
 
 
@@ -224,3 +224,24 @@ def test_strict_codes_fail_on_unreadable_answers(spark):
     assert [r.c for r in df.select(code.alias("c")).collect()] == [2, None]
     with pytest.raises(Exception, match="unreadable answer"):
         df.union(spark.createDataFrame([("likert5", "nine")], "kind string, answer string")).select(code.alias("c")).collect()
+
+
+def test_rounds_as_they_were_read(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(json.dumps(x) for x in [{"pid": "a", "item_id": "i", "answer": "1"}, {"pid": "b", "item_id": "i", "round": "", "answer": "2"}, {"pid": "c", "item_id": "i", "round": "main", "answer": "3"}, {"pid": "d", "item_id": "i", "round": "retest", "answer": "4"}]))
+    log, bank = questionnaire.read_answer_log(spark, str(path), default_round=None), spark.createDataFrame([("i", "likert5")], "item_id string, kind string")
+    assert {r.pid: r["round"] for r in log.collect()} == {"a": None, "b": "", "c": "main", "d": "retest"}
+    assert {r.pid for r in responses.coded_answers(log, bank).collect()} == {"c"}
+    assert {r.pid for r in responses.coded_answers(log, bank, missing_counts=True).collect()} == {"a", "b", "c"}
+    assert responses.coded_answers(log, bank, round_name=None).count() == 4
+
+
+def test_transcripts_of_another_script_are_found_or_refused(spark):
+    rows = [(i, n, item) for i in range(4) for n, item in enumerate(["q1", "q2", "q3"])] + [(7, 1, "q3"), (7, 0, "q1"), (7, 2, "q2"), (8, 0, "q1"), (8, 1, "q2")]
+    turns = spark.createDataFrame([(c, n, "user", "t", item) for c, n, item in rows], "conv_id int, turn int, role string, text string, item_id string")
+    nested = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "item_id"))).alias("turns"))
+    got = {r.example: (r.conversations, r.first) for r in answers.scripted_order(nested).collect()}
+    assert got == {0: (4, None), 7: (1, "q3"), 8: (1, "q3")}
+    assert answers.scripted_order(nested.where("conv_id < 4"), strict=True).count() == 1
+    with pytest.raises(Exception, match="scripts differ"):
+        answers.scripted_order(nested, strict=True).collect()
