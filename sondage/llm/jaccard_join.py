@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, mixed, values, written
+from ._common import WordHashes, drop_written, mixed, values, written
 from .bloom import SegmentedBloom, build_bloom
 
 SHINGLE_WORDS = 4
@@ -392,7 +392,7 @@ def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tupl
     while n_buckets * _SIGS_A_BUCKET < total // 16:
         n_buckets *= 2
     first = written(set_signatures(texts, id_type, size, threshold, n_buckets), "jaccard-signatures")
-    documents = first.where(F.col("kind") == DOC).select("doc_id", "n", "key", F.col("sig").alias("digest"))
+    documents = written(first.where(F.col("kind") == DOC).select("doc_id", "n", "key", F.col("sig").alias("digest")), "jaccard-documents")
     by_key = documents.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min("digest").alias("digest"), F.count("*").alias("copies"))
     by_key = written(by_key, "jaccard-keys")
     local = first.where(F.col("kind") == LOCAL).select("sig", "key", "center")
@@ -407,6 +407,7 @@ def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tupl
         leaders = leaders.join(leaders.select(F.col("key").alias("leader"), F.col("leader").alias(step)), "leader").select("key", F.col(step).alias("leader"))
     maps = first.where(F.col("kind") == SET).select("key", "n", F.col("block").alias("bits"))
     led = written(maps.join(leaders, "key").groupBy("key").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("leader").alias("leader")), "jaccard-led")
+    drop_written(first)  # the signatures are most of what the join stores
     parts = led.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("bits") + 24) / BLOCK_BYTES).alias("parts"))
     block = F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("parts")))
     placed = written(led.join(parts, "leader").select("key", "n", "bits", block.alias("block")), "jaccard-placed")
