@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir). All but the last return the
 columns of documents. Rows are never matched by doc_id, which may repeat or be null: documents travel as one
-struct, or under a row number that is stored before it is used.
+struct, or under the name of a row that stays the same however often it is read.
 """
 
 from __future__ import annotations
@@ -38,12 +38,21 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_classifier.with_features(_carried(docs)).where(model.score() >= MIN_SCORE).select("__doc.*")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """`__doc` and `row`, a name of each row that stays the same: file and place where docs is a Parquet table, else a stored number."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns and docs.inputFiles():
+        place = F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0")
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.concat_ws(":", "_metadata.file_path", place).alias("row"))
+    return written(_carried(docs).select("__doc", F.monotonically_increasing_id().alias("row")), "numbered")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
-    numbered = written(_carried(docs).select("__doc", F.monotonically_increasing_id().alias("row")), "numbered")
-    groups = jaccard_join.join_documents(numbered.select("row", "__doc.text"), id_col="row", size=NEAR_WORDS, threshold=NEAR_THRESHOLD)
-    surplus = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row"))
-    return numbered.join(surplus, "row", "left_anti").select("__doc.*")
+    placed = _placed(docs)
+    groups = jaccard_join.join_documents(placed.select("row", "__doc.text"), id_col="row", size=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    # stored, so that its size is known before documents would be shuffled for it
+    surplus = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "surplus")
+    return placed.join(surplus, "row", "left_anti").select("__doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
