@@ -45,16 +45,21 @@ def stratified_holdout(df: DataFrame, stratum: str, key: str, share: float, seed
     return df.withColumn("held", place <= F.bround(F.count("*").over(w) * share))
 
 
-def folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Balanced folds by hash order. Ranks come from counts of hash buckets, which follow the number of rows, so no task orders many of them."""
-    rows, digits = df.count(), 2
-    while 16**digits * ROWS_A_BUCKET < rows and digits < 5:
+def hash_ranked(df: DataFrame, key: str, seed: int, place: str, rows: str) -> DataFrame:
+    """`df` with its place in hash order, from 0, and the number of rows. Ranks come from counts of hash buckets, which follow the number of rows, so no task orders many of them."""
+    n, digits = df.count(), 2
+    while 16**digits * ROWS_A_BUCKET < n and digits < 5:
         digits += 1
     h = df.withColumn("__h", hash_order(seed, F.col(key))).withColumn("__b", F.substring("__h", 1, digits))
     sizes = h.groupBy("__b").agg(F.count("*").alias("__n"))  # a row a bucket
     start = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    return h.withColumn("__i", inside).join(F.broadcast(start), "__b").withColumn("fold", ((F.col("__start") + F.col("__i")) % k).cast("int")).drop("__h", "__b", "__n", "__start", "__i")
+    return h.withColumn("__i", inside).join(F.broadcast(start), "__b").withColumn(place, F.col("__start") + F.col("__i")).withColumn(rows, F.lit(n)).drop("__h", "__b", "__start", "__i")
+
+
+def folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """Balanced folds by hash order."""
+    return hash_ranked(df, key, seed, "__place", "__rows").withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place", "__rows")
 
 
 def chunks(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:

@@ -1,3 +1,3 @@
 """The registered queries over the driver tables."""
 
-from . import fits, people, registry, rounds  # noqa: F401
+from . import designs, fits, people, registry, rounds  # noqa: F401
