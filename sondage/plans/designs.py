@@ -54,7 +54,7 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return split.where("held").drop("held"), split.where("NOT held AND candidate")
 
 
-@query(_BANK + "SELECT attempt, fits, n_domains, n_binary, n_items, solo FROM fitting")
+@query(_BANK + "SELECT attempt::INTEGER AS attempt, fits, n_domains, n_binary, n_items, solo FROM fitting")
 def interview_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first draws of an interview from the items that are not held out, and which keep the constraints."""
     return P.draws(_training(spark, sf_dir)[1], RULE, SEED, 1, ATTEMPTS).drop("items")
