@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,9 +116,46 @@ def arc_elasticity(q0: Column, q1: Column, relative_price_change: float) -> Colu
     return ratio(ratio(q1 - q0, (q0 + q1) / 2), F.lit(relative_price_change))
 
 
-def deciles(value: str) -> list[Column]:
-    """p0, p10, ... p100 of the values that are there, exact and linear, rounded to six places."""
-    return [F.round(F.percentile(F.col(value), F.lit(p / 100)), 6).alias(f"p{p}") for p in range(0, 101, 10)]
+def deciles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The keys with p0, p10, ... p100 of the values that are there, exact and linear, rounded to six places."""
+    out = quantiles(df, keys, value, [p / 100 for p in range(0, 101, 10)])
+    return out.select(*keys, *[F.round(F.get("quantiles", F.lit(i)), 6).alias(f"p{10 * i}") for i in range(11)])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], *, buckets: int = 1024) -> DataFrame:
+    """The keys with `quantiles`, an array of doubles, one for each of `shares`: exact and linear; null for keys without values.
+
+    Rows are counted by distinct value. Totals of `buckets` ranges of values say in which of them the wanted ranks lie; only the rows of these are ordered,
+    each range for itself, so no task or aggregate holds the values of a key. Null keys are a key; NaN is the largest value.
+    """
+    held = df.select(F.struct(*keys).alias("__k"), F.col(value).cast("double").alias("__v"))
+    counts = held.where("__v IS NOT NULL").groupBy("__k", "__v").agg(F.count("*").alias("__n"))
+    at = counts.agg(F.percentile_approx("__v", F.lit([i / buckets for i in range(1, buckets)]), F.lit(10 * buckets)).alias("__at")).first()["__at"]  # one row
+    ranged = counts.withColumn("__b", _range_of(F.col("__v"), at or []))
+    totals = ranged.groupBy("__k", "__b").agg(F.sum("__n").alias("__t"))  # `buckets` rows a key at most
+    w = Window.partitionBy("__k")
+    spans = totals.select("__k", "__b", (F.sum("__t").over(w.orderBy("__b")) - F.col("__t")).alias("__low"), F.col("__t"), F.sum("__t").over(w).alias("__all"))
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("__all") - 1)).alias("at")) for i, q in enumerate(shares)])).alias("__p")
+    ends = spans.select("*", place).select("*", F.explode(F.array_distinct(F.array(F.floor("__p.at"), F.ceil("__p.at")))).alias("__r"))
+    wanted = ends.where((F.col("__r") >= F.col("__low")) & (F.col("__r") < F.col("__low") + F.col("__t")))
+    places = wanted.groupBy("__k", "__b", "__low").agg(F.collect_list(F.struct("__p", "__r")).alias("__wanted"))  # two for each share at most
+    within = ranged.join(places, ["__k", "__b"])
+    upto = F.col("__low") + F.sum("__n").over(Window.partitionBy("__k", "__b").orderBy("__v"))
+    found = within.withColumn("__upto", upto).select("__k", "__v", F.explode(F.filter("__wanted", lambda x: (x["__r"] < F.col("__upto")) & (x["__r"] >= F.col("__upto") - F.col("__n")))).alias("w"))
+    part = F.col("w.__p.at") - F.floor("w.__p.at")
+    each = found.groupBy("__k", F.col("w.__p.i").alias("i")).agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.first(part).alias("part"))
+    linear = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    rows = each.groupBy("__k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", linear.alias("q")))), lambda x: x["q"]).alias("quantiles"))
+    return held.select("__k").distinct().join(rows, "__k", "left").select("__k.*", "quantiles")
+
+
+def _range_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the rising bounds lie below the value: first by the last ones of groups of bounds, then inside one group."""
+    step = max(math.isqrt(len(bounds)), 1)
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] + [[]]
+    below = lambda found: F.size(F.filter(found, lambda x: x < value))
+    group = below(F.lit([g[-1] for g in groups[:-1]]).cast("array<double>"))
+    return group * step + below(F.get(F.array(*[F.lit(g).cast("array<double>") for g in groups]), group))
 
 
 def equivalent_n(curve: DataFrame, targets: DataFrame, keys: list[str], *, cap: float = 3.0) -> DataFrame:

@@ -272,4 +272,4 @@ def marginal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p / 100}), 6) AS p{p}" for p in range(0, 101, 10)) + " FROM lineitem GROUP BY l_returnflag")
 def price_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = V.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
-    return lines.groupBy("l_returnflag").agg(*S.deciles("price"))
+    return S.deciles(lines, ["l_returnflag"], "price")
