@@ -170,7 +170,7 @@ def trait_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def population_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the answering population; two figures are not measured here, so they neither pass nor fail."""
     main = V.main_round(spark, sf_dir)
-    rates = A.pairwise_agreement(main).agg(F.max("rate").alias("max_pair_agreement"), F.percentile("rate", F.lit(0.5)).alias("median_pair_agreement"))
+    rates = A.agreement_rates(main).agg(F.max("rate").alias("max_pair_agreement"), F.percentile("rate", F.lit(0.5), F.col("pairs")).alias("median_pair_agreement"))
     pairs = rates.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in rates.columns])).alias("m")).select("m.*")
     retest = A.retest_report(main, V.retest_round(spark, sf_dir)).where("kind IS NULL AND pid IS NULL").select(F.lit("retest_agreement").alias("metric"), F.col("rate").alias("value"))
     return B.verdict(pairs.unionByName(retest)).withColumn("value", r6("value"))
