@@ -25,6 +25,7 @@ from .graded import _lists, _matrix, sum_arrays
 RIDGE = 1e-4
 MIN_SETS = 20
 LARGE = 2048
+_AT_ONCE = 1 << 18  # options x replicates x features of the decision makers that are solved together
 #: Kept off singular: added to the variances of a learned prior.
 PRIOR_FLOOR = 1e-6
 #: P(draw <= k) of a Poisson variable of mean one, k = 0 to 9.
@@ -87,6 +88,14 @@ class _Climb:
         self.best = np.full(len(beta), -np.inf)
         self.information = np.tile(np.eye(beta.shape[1]), (len(beta), 1, 1))
 
+    def only(self, rows: np.ndarray) -> _Climb:
+        part = _Climb(self.at[rows], self.prior)
+        part.step, part.best, part.information = self.step[rows], self.best[rows], self.information[rows]
+        return part
+
+    def put(self, rows: np.ndarray, part: _Climb) -> None:
+        self.at[rows], self.step[rows], self.best[rows], self.information[rows] = part.at, part.step, part.best, part.information
+
     @property
     def trial(self) -> np.ndarray:
         return self.at + self.step
@@ -129,6 +138,67 @@ def _rows(who: pa.Array, n_sets: pa.Array, climb: _Climb, converged: np.ndarray)
     return pa.RecordBatch.from_arrays(columns, ["who", "n_sets", "replicate", "beta", "log_likelihood", "covariance", "converged"])
 
 
+@dataclass
+class _Together:
+    """Choice sets of several decision makers, one behind another: features of options, sizes and chosen rows of sets, weights of sets, sets of each."""
+
+    x: np.ndarray
+    sizes: np.ndarray
+    chosen: np.ndarray
+    weights: np.ndarray
+    n_sets: np.ndarray
+
+    def only(self, keep: np.ndarray) -> _Together:
+        sets = np.repeat(keep, self.n_sets)
+        place = self.chosen - (np.cumsum(self.sizes) - self.sizes)
+        sizes = self.sizes[sets]
+        return _Together(self.x[np.repeat(sets, self.sizes)], sizes, np.cumsum(sizes) - sizes + place[sets], self.weights[sets], self.n_sets[keep])
+
+    def sums_at(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`sums_at` of each decision maker, those of its replicates one behind another; `beta` is such rows."""
+        n, b, p = len(self.n_sets), self.weights.shape[1], self.x.shape[1]
+        starts, firsts = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.n_sets) - self.n_sets
+        of_set = np.repeat(np.arange(n), self.n_sets)
+        each = beta.reshape(n, b, p)[np.repeat(of_set, self.sizes)]
+        u = np.einsum("np,nbp->nb", self.x, each)
+        u -= np.repeat(np.maximum.reduceat(u, starts), self.sizes, axis=0)
+        e = np.exp(u)
+        total = np.add.reduceat(e, starts)
+        shares = e / np.repeat(total, self.sizes, axis=0)
+        by_person = lambda v: np.add.reduceat(v, firsts)
+        value = by_person(self.weights * (u[self.chosen] - np.log(total)))
+        mean = [np.add.reduceat(shares * self.x[:, i, None], starts) for i in range(p)]
+        gradient = np.stack([by_person(self.weights * (self.x[self.chosen, i, None] - mean[i])) for i in range(p)], 2)
+        information = np.empty((n, b, p, p))
+        for i in range(p):
+            for j in range(i, p):
+                spread = np.add.reduceat(shares * (self.x[:, i] * self.x[:, j])[:, None], starts) - mean[i] * mean[j]
+                information[:, :, i, j] = information[:, :, j, i] = by_person(self.weights * spread)
+        return value.ravel(), gradient.reshape(-1, p), information.reshape(-1, p, p)
+
+
+def _fit_together(batch: pa.RecordBatch, p: int, replicates: int, prior: Prior, rounds: int, tol: float) -> pa.RecordBatch:
+    """Fits of all rows at once; a decision maker none of whose replicates moves is left as it is, while the others go on."""
+    xs = batch.column("x").flatten()
+    x, starts, chosen = _flat(xs, batch.column("chosen").flatten(), p)
+    n_sets = batch.column("x").value_lengths().to_numpy()
+    sets = _Together(x, np.diff(np.append(starts, len(x))), chosen, _matrix(batch.column("w"), replicates), n_sets)
+    climb = _Climb(np.tile(prior.mean, (replicates * len(n_sets), 1)), prior)
+    going = np.ones(len(n_sets), bool)
+    for _ in range(rounds):
+        rows = np.repeat(going, replicates)
+        part = climb.only(rows)
+        part.found(*sets.sums_at(part.trial))
+        climb.put(rows, part)
+        moves = part.moves(tol).reshape(-1, replicates).any(1)
+        if not moves.all():
+            sets = sets.only(moves)
+            going[going] = moves
+        if not going.any():
+            break
+    return _rows(batch.column("who"), batch.column("n_sets"), climb, ~climb.moves(tol))
+
+
 def _fit_here(sets: DataFrame, p: int, replicates: int, prior: Prior, rounds: int, tol: float, who_type: str) -> DataFrame:
     """Fits of decision makers whose sets, LARGE at most, meet in one row."""
     met = sets.groupBy("who", "n_sets").agg(F.collect_list(F.struct("set", "x", "chosen", "w")).alias("r"))
@@ -136,15 +206,14 @@ def _fit_here(sets: DataFrame, p: int, replicates: int, prior: Prior, rounds: in
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, starts, chosen = _flat(batch.column("x")[i].values, batch.column("chosen")[i].values, p)
-                weights = batch.column("w")[i].values.to_numpy(zero_copy_only=False).reshape(-1, replicates)
-                climb = _Climb(np.tile(prior.mean, (replicates, 1)), prior)
-                for _ in range(rounds):
-                    climb.found(*sums_at(x, starts, chosen, weights, climb.trial))
-                    if not climb.moves(tol).any():
-                        break
-                yield _rows(batch.column("who").slice(i, 1), batch.column("n_sets").slice(i, 1), climb, ~climb.moves(tol))
+            sizes = batch.column("x").flatten().value_lengths().to_numpy()
+            ends = np.cumsum(batch.column("x").value_lengths().to_numpy())
+            work = np.append(0, np.cumsum(sizes))[ends] * replicates  # of the first so many decision makers
+            low = 0
+            while low < batch.num_rows:
+                high = max(int(np.searchsorted(work, (work[low - 1] if low else 0) + _AT_ONCE, "right")), low + 1)
+                yield _fit_together(batch.slice(low, high - low), p, replicates, prior, rounds, tol)
+                low = high
 
     return packed.mapInArrow(fit, _FIT.format(who=who_type))
 

@@ -128,3 +128,26 @@ def test_sets_that_tell_nothing(spark):
     assert choice_fits.fit_choices(sets_of(spark, rows), 2).collect() == []
     assert choice_fits.fit_choices(sets_of(spark, []), 2, min_sets=1).collect() == []
     assert choice_fits.learned_prior(choice_fits.fit_choices(sets_of(spark, []), 2), 2).mean.tolist() == [0, 0]
+
+
+def test_many_are_solved_together_as_each_alone(spark):
+    rows = options(people=9, sets=6, seed=4)
+    sets = sets_of(spark, rows).repartition(2)
+    prior = choice_fits.Prior(np.array([-0.5, 0.2]), np.array([[2.0, 0.3], [0.3, 1.0]]))
+    together = choice_fits.fit_choices(sets, 2, replicates=4, prior=prior, min_sets=1).collect()
+    batch = sets.withColumn("n_sets", F.lit(1).cast("long")).groupBy("who", "n_sets").agg(F.collect_list("x").alias("x"), F.collect_list("chosen").alias("chosen"), F.flatten(F.collect_list(F.array(F.lit(1.0), F.lit(2.0)))).alias("w")).toArrow().combine_chunks().to_batches()[0]
+    many = choice_fits._fit_together(batch, 2, 2, prior, 60, 1e-9).to_pylist()
+    for i in range(batch.num_rows):
+        x, starts, chosen = choice_fits._flat(batch.column("x")[i].values, batch.column("chosen")[i].values, 2)
+        weights = batch.column("w")[i].values.to_numpy().reshape(-1, 2)
+        climb = choice_fits._Climb(np.tile(prior.mean, (2, 1)), prior)
+        for _ in range(60):
+            climb.found(*choice_fits.sums_at(x, starts, chosen, weights, climb.trial))
+            if not climb.moves(1e-9).any():
+                break
+        for b in range(2):
+            row = many[2 * i + b]
+            np.testing.assert_allclose(row["beta"], climb.at[b], rtol=1e-9, atol=1e-11)
+            np.testing.assert_allclose(row["covariance"], np.linalg.inv(climb.information)[b].ravel(), rtol=1e-7, atol=1e-10)
+            assert (row["who"], row["replicate"], row["converged"]) == (batch.column("who")[i].as_py(), b + 1, True)
+    assert len(together) == 36 and all(r.converged for r in together)
