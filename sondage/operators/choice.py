@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,16 +59,26 @@ def fit_logits(options: DataFrame, who: str, choice_set: str, features: list[str
     enough = options.groupBy(who).agg(F.countDistinct(choice_set).alias("__sets")).where(F.col("__sets") >= min_sets)
     counted = options.join(enough, who)
     kind = dict(options.dtypes)[who]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([choice_set, *order], kind="stable")
-        ids = pdf[choice_set].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        beta, ll, ok = logit_newton(pdf[features].to_numpy(float), starts, np.flatnonzero(pdf[chosen].to_numpy(bool)))
-        return pd.DataFrame({who: [pdf[who].iloc[0]], "n_sets": [len(starts)], "log_likelihood": [ll], "converged": [ok], **{f"b_{f}": [b] for f, b in zip(features, beta, strict=True)}})
+    row = F.struct(F.col(choice_set).alias("set"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("x"), F.coalesce(F.col(chosen), F.lit(False)).alias("c"))
+    met = counted.groupBy(who).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    starts = F.transform("r.set", lambda s, i: (i == 0) | ~s.eqNullSafe(F.get(F.col("r.set"), i - 1)))
+    packed = met.select(F.col(who).alias("who"), F.flatten("r.x").alias("x"), F.col("r.c").alias("c"), starts.alias("first"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                x, c, first = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("x", "c", "first"))
+                begin = np.flatnonzero(first)
+                beta, ll, ok = logit_newton(x.reshape(-1, len(features)), begin, np.flatnonzero(c))
+                out.append((len(begin), ll, ok, *beta))
+            if out:
+                n_sets, lls, oks, *betas = zip(*out, strict=True)
+                columns = [batch.column("who"), pa.array(n_sets, pa.int64()), pa.array(lls, pa.float64()), pa.array([bool(o) for o in oks]), *[pa.array(b, pa.float64()) for b in betas]]
+                yield pa.RecordBatch.from_arrays(columns, [who, "n_sets", "log_likelihood", "converged", *[f"b_{f}" for f in features]])
 
     schema = f"{who} {kind}, n_sets long, log_likelihood double, converged boolean, " + ", ".join(f"b_{f} double" for f in features)
-    return counted.select(who, choice_set, *features, chosen, *[c for c in order if c not in features]).groupBy(who).applyInPandas(fit, schema)
+    return packed.mapInArrow(fit, schema)
 
 
 def option_gaps(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

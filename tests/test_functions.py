@@ -113,3 +113,15 @@ def test_records(spark, tmp_path):
     records.append_records(spark.createDataFrame([(1,)], "a int"), path)
     records.append_records(spark.createDataFrame([(2,)], "a int"), path)
     assert sorted(r["a"] for r in records.read_records(spark, path, "a int").collect()) == [1, 2]
+
+
+def test_logits_of_many_share_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [(w, s, i, float(rng.normal()), i == (w + s) % 3) for w in range(5) for s in range(6) for i in range(3)]
+    df = spark.createDataFrame(rows, "who int, s int, i int, a double, chosen boolean").repartition(3)
+    out = choice.fit_logits(df, "who", "s", ["a"], "chosen", order=["i"], min_sets=5)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # a pandas frame for each decision maker
+    for r in out.collect():
+        x = np.array([[a] for w, _, _, a, _ in rows if w == r.who])
+        beta, ll, ok = choice.logit_newton(x, np.arange(0, 18, 3), np.flatnonzero([c for w, *_, c in rows if w == r.who]))
+        assert (r.n_sets, r.converged) == (6, ok) and abs(r.b_a - beta[0]) < 1e-12 and abs(r.log_likelihood - ll) < 1e-12
