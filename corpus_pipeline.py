@@ -7,16 +7,21 @@ struct, or under the name of a row that stays the same however often it is read.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.llm import bpe, decontamination, jaccard_join, language_model, quality_classifier, quality_rules
 from sondage.llm._common import written
+from sondage.llm.bloom import build_bloom
 from sondage.llm.registry import TOKENIZER_DIR, table
 
 MIN_SCORE = 0.3
 #: Near copies: sets of five-word shingles at a Jaccard similarity of 0.8 or more.
 NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
+#: Bounds of the filter that names the surplus: four bytes for each row, so far as the upper bound allows.
+SURPLUS_BYTES = (1 << 16, 1 << 26)
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -46,13 +51,32 @@ def _placed(docs: DataFrame) -> DataFrame:
     return written(_carried(docs).select("__doc", F.monotonically_increasing_id().alias("row")), "numbered")
 
 
+def _without(placed: DataFrame, surplus: DataFrame) -> DataFrame:
+    """The rows of `placed` that `surplus` does not name.
+
+    A filter of the names tells most rows that stay. Of the others, names are compared, and only those few that the filter took wrongly are
+    joined to their documents, so that documents are not shuffled for a surplus that is too large to broadcast.
+    """
+    n_bytes, count = SURPLUS_BYTES[0], surplus.count()
+    while n_bytes < min(SURPLUS_BYTES[1], 4 * count):
+        n_bytes *= 2
+    named = placed.sparkSession.sparkContext.broadcast(build_bloom(surplus.select(F.xxhash64("row").alias("h")), n_bytes))
+
+    @F.pandas_udf("boolean")
+    def may_be_named(h: pd.Series) -> pd.Series:
+        return pd.Series(named.value.contains(h.to_numpy().view(np.uint64)))
+
+    held = may_be_named(F.xxhash64("row"))
+    wrong = written(placed.select("row").where(held).join(surplus, "row", "left_anti"), "not-surplus")
+    return placed.where(~held).unionByName(placed.where(held).join(wrong, "row", "left_semi"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
     placed = _placed(docs)
     groups = jaccard_join.join_documents(placed.select("row", "__doc.text"), id_col="row", size=NEAR_WORDS, threshold=NEAR_THRESHOLD)
-    # stored, so that its size is known before documents would be shuffled for it
     surplus = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "surplus")
-    return placed.join(surplus, "row", "left_anti").select("__doc.*")
+    return _without(placed, surplus).select("__doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

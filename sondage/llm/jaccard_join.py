@@ -6,6 +6,8 @@ and a document's set falls apart into one segment for each fragment.
 Candidates: two sets that link differ in at most H shingles, H following from their sizes. With
 more than H fragments, at least one fragment holds the same segment of both. So sets of a size class are cut into
 H + 2 and some more fragments, and only sets with an equal segment in a fragment are candidates.
+Linked sets have more equal segments than one, so each set leaves out as many of its most frequent segments as it can
+without losing the rarest one of any link: segments of a common passage make no candidates then.
 
 Filter: each set has a bit map, about four bits a shingle, in which every shingle turns one bit over. Two maps differ in
 at most as many bits as the sets in shingles, so pairs whose maps differ in more bits than H are no links.
@@ -40,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, drop_written, mixed, values, written
@@ -63,6 +65,8 @@ MORE_PAIRS = 250
 HOT_COPIES = 1_000
 _FLUSH = 500_000
 _SIGS_A_BUCKET = 250_000
+#: The lowest bits of a signature are its size class.
+CLASS_BITS = 7
 DOC, BLOCK, LOCAL, SET = 0, 1, 2, 3
 
 
@@ -106,24 +110,32 @@ class SizeClasses:
 
     def signatures(self, h: np.ndarray) -> np.ndarray:
         """One hash for each segment that a linked set may have equal."""
+        return np.concatenate([np.empty(0, np.uint64), *[sigs for _, sigs, _ in self.parts(h)]])
+
+    def parts(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """For each size class the signatures, and how many of the most frequent ones may be left out.
+
+        A linked set has all segments of this one that are not empty but as many as shingles may differ. Of these, the rarest one
+        is left in by both if neither leaves out all but one of them.
+        """
         size = len(h)
         partner = self.largest_partner(size)
         if self.differences(size, partner) < 1:
-            return np.empty(0, np.uint64)  # only equal sets link
+            return  # only equal sets link
         content = mixed(h, np.full(1, 0x51ED27, np.uint64))
-        out = []
+        low = np.uint64((1 << CLASS_BITS) - 1)
         for c in range(self.of(size), self.of(partner) + 1):
             n = self.fragments(c)
             fragment = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
             with np.errstate(over="ignore"):
                 sums = np.add.reduceat(content, starts)
-            out.append(mixed(sums, fragment[starts] + np.uint64(c << 40)))
+            out = [mixed(sums, fragment[starts] + np.uint64(c << 40))]
             most = self.differences(size, min(partner, self.tops[c]))
             if len(starts) <= most:  # equal segments may all be empty ones
                 empty = np.setdiff1d(np.arange(n, dtype=np.uint64), fragment[starts])
                 out.append(mixed(np.zeros(len(empty), np.uint64), empty + np.uint64(c << 40)))
-        return np.concatenate(out)
+            yield c, (np.concatenate(out) & ~low) | np.uint64(c), max(0, len(starts) - most - 1)
 
 
 def _sorted_pairs(sigs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,24 +214,25 @@ def blocks_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[int, int], n_buckets: int) -> DataFrame:
     """Each document's set key, size and text digest in `sig` (DOC), packed signatures (BLOCK), sets that met in one task (LOCAL), and bit maps (SET)."""
-    names = ["kind", "doc_id", "n", "key", "sig", "center", "bucket", "block"]
+    names = ["kind", "doc_id", "n", "key", "sig", "center", "bucket", "block", "spare"]
     shift = np.uint64(64 - (n_buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes, pack = WordHashes(), SizeClasses(threshold), zstandard.ZstdCompressor(level=1)
         held_sigs: list[np.ndarray] = []
         held_keys: list[int] = []
-        held_maps: list[tuple[int, bytes]] = []
+        held_maps: list[tuple[int, bytes, list[tuple[int, int]]]] = []
         seen: set[int] = set()
         texts_seen: dict[int, tuple[int, int]] = {}
-        id_kind = None
+        id_kind, spare_kind = None, pa.list_(pa.struct([("c", pa.int32()), ("d", pa.int32())]))
 
         def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
-            kinds = {"doc_id": id_kind, "n": pa.int64(), "key": pa.int64(), "sig": pa.int64(), "center": pa.int64(), "bucket": pa.int32(), "block": pa.binary()}
+            kinds = {"doc_id": id_kind, "n": pa.int64(), "key": pa.int64(), "sig": pa.int64(), "center": pa.int64(), "bucket": pa.int32(), "block": pa.binary(), "spare": spare_kind}
             return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *[columns.get(c, pa.nulls(size, kinds[c])) for c in names[1:]]], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield rows(SET, len(held_maps), key=_i64(np.array(held_keys, np.uint64)), n=pa.array([n for n, _ in held_maps], pa.int64()), block=pa.array([x for _, x in held_maps], pa.binary()))
+            sizes, maps, spares = zip(*held_maps, strict=True)
+            yield rows(SET, len(maps), key=_i64(np.array(held_keys, np.uint64)), n=pa.array(sizes, pa.int64()), block=pa.array(maps, pa.binary()), spare=pa.array(spares, spare_kind))
             sigs, keys, starts = _sorted_pairs(np.concatenate(held_sigs), np.repeat(np.array(held_keys, np.uint64), [len(s) for s in held_sigs]))
             held_sigs.clear()
             held_keys.clear()
@@ -251,11 +264,12 @@ def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[i
                 texts_seen[digest] = (len(h), key)
                 if len(h) and key not in seen:
                     seen.add(key)
-                    sigs = classes.signatures(h)
-                    if len(sigs):
+                    parts = list(classes.parts(h))
+                    if parts:
+                        sigs = np.concatenate([x for _, x, _ in parts])
                         held_sigs.append(sigs)
                         held_keys.append(key)
-                        held_maps.append((len(h), bit_map(h)))
+                        held_maps.append((len(h), bit_map(h), [(c, d) for c, _, d in parts if d]))
                         total += len(sigs)
                 if total > _FLUSH:
                     yield from flush()
@@ -266,7 +280,16 @@ def set_signatures(texts: DataFrame, id_type: str, size: int, threshold: tuple[i
         if held_sigs:
             yield from flush()
 
-    return texts.mapInArrow(run, f"kind int, doc_id {id_type}, n long, key long, sig long, center long, bucket int, block binary")
+    return texts.mapInArrow(run, f"kind int, doc_id {id_type}, n long, key long, sig long, center long, bucket int, block binary, spare array<struct<c:int,d:int>>")
+
+
+def without_spare(members: DataFrame, spare: DataFrame) -> DataFrame:
+    """(sig, key): `members` without the most frequent signatures of each set and size class, as many as `spare` (key, c, d) allows."""
+    frequent = members.groupBy("sig").agg(F.count("*").alias("times"))  # the same order for all sets
+    rows = members.select("sig", "key").join(frequent, "sig").withColumn("c", F.col("sig").bitwiseAND((1 << CLASS_BITS) - 1).cast("int"))
+    place = F.dense_rank().over(Window.partitionBy("key", "c").orderBy(F.desc("times"), F.desc("sig")))
+    ranked = rows.join(spare, ["key", "c"], "left").select("sig", "key", "d", place.alias("place"))
+    return ranked.where("place > coalesce(d, 0)").select("sig", "key").distinct()
 
 
 def meetings(blocks: DataFrame) -> DataFrame:
@@ -376,7 +399,7 @@ class Met:
     texts: DataFrame  # (doc_id, text, digest) of every row
     documents: DataFrame  # (doc_id, n, key) of every row
     by_key: DataFrame  # (key, first_id, n, digest, copies) of all sets that are not empty
-    members: DataFrame  # (sig, key): sets that share a segment with another
+    members: DataFrame  # (sig, key): sets that share a segment with another, without the segments that they can spare
     stars: DataFrame  # (key, center): each of them with the smallest keys that it shares segments with, and with its leader
     placed: DataFrame  # (key, n, bits, block) of each of them
     size: int
@@ -405,14 +428,17 @@ def _met(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tupl
     leaders = written(leaders, "jaccard-leaders")
     for step in ("second", "third"):  # a center that was the smallest key of one task only goes on to its own
         leaders = leaders.join(leaders.select(F.col("key").alias("leader"), F.col("leader").alias(step)), "leader").select("key", F.col(step).alias("leader"))
-    maps = first.where(F.col("kind") == SET).select("key", "n", F.col("block").alias("bits"))
-    led = written(maps.join(leaders, "key").groupBy("key").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("leader").alias("leader")), "jaccard-led")
+    maps = first.where(F.col("kind") == SET).select("key", "n", F.col("block").alias("bits"), "spare")
+    greatest = [F.max(c).alias(c) for c in ("n", "bits", "leader", "spare")]  # of equal ones
+    led = written(maps.join(leaders, "key").groupBy("key").agg(*greatest), "jaccard-led")
     drop_written(first)  # the signatures are most of what the join stores
+    few = written(without_spare(members, led.select("key", F.explode("spare").alias("s")).select("key", "s.*")), "jaccard-members")
+    drop_written(members)
     parts = led.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("bits") + 24) / BLOCK_BYTES).alias("parts"))
     block = F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("parts")))
     placed = written(led.join(parts, "leader").select("key", "n", "bits", block.alias("block")), "jaccard-placed")
     stars = stars.unionByName(led.where("key <> leader").select("key", F.col("leader").alias("center"))).distinct()
-    return Met(texts, documents.drop("digest"), by_key, members.select("sig", "key"), stars, placed, size, threshold)
+    return Met(texts, documents.drop("digest"), by_key, few, stars, placed, size, threshold)
 
 
 def near_stars(met: Met) -> DataFrame:
@@ -431,8 +457,8 @@ def near_stars(met: Met) -> DataFrame:
     return both.select("key", "center", "n", "m", "bits", "other").mapInArrow(run, "key long, center long")
 
 
-def near_blocks(met: Met, labels: DataFrame | None, most: int | None) -> DataFrame:
-    """(key, center, more): pairs of different labels whose blocks share a segment and that pass the bit maps.
+def near_blocks(met: Met, labels: DataFrame | None, most: int | None, only: DataFrame | None = None) -> DataFrame:
+    """(key, center, more): pairs of different labels whose blocks share a segment, or are a pair of `only`, and that pass the bit maps.
 
     Of more than `most` pairs of the same two labels in two blocks, only those with the fewest bits apart are returned, and `more` is true.
     """
@@ -466,11 +492,12 @@ def near_blocks(met: Met, labels: DataFrame | None, most: int | None) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(center), pa.array(more)], ["key", "center", "more"])
 
     own = _labelled(met.placed, labels, "key", "label")
-    at = met.members.join(own.select("key", "block", "label"), "key").groupBy("sig")
-    at = at.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_set("block")).alias("blocks"))
-    pairs = at.where("low <> high").select("blocks").distinct().select(F.posexplode("blocks").alias("place", "first"), "blocks")
-    pairs = pairs.select("first", F.explode(F.expr("slice(blocks, place + 1, size(blocks))")).alias("second")).distinct()
-    pairs = written(pairs, "jaccard-block-pairs")
+    if only is None:
+        at = met.members.join(own.select("key", "block", "label"), "key").groupBy("sig")
+        at = at.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_set("block")).alias("blocks"))
+        only = at.where("low <> high").select("blocks").distinct().select(F.posexplode("blocks").alias("place", "first"), "blocks")
+        only = only.select("first", F.explode(F.expr("slice(blocks, place + 1, size(blocks))")).alias("second"))
+    pairs = written(only.distinct(), "jaccard-block-pairs")
     needed = pairs.select(F.explode(F.array("first", "second")).alias("block")).distinct()
     packed = own.join(needed, "block", "left_semi").groupBy("block")
     packed = packed.agg(F.collect_list(F.struct("key", "label", "n", "bits")).alias("sets"), F.sum(F.octet_length("bits") + 24).alias("bytes"))
@@ -521,9 +548,10 @@ def connected(met: Met) -> DataFrame | None:
         return None
     sets = exact_sets(met, pairs, None)
     labels, done = _merged(None, written(verified(pairs, sets, met.by_key, met.threshold), "jaccard-links")), pairs
-    most = PAIRS_OF_COMPONENTS
+    most, again = PAIRS_OF_COMPONENTS, None
+    at = met.placed.select("key", "block")
     while True:
-        found = near_blocks(met, labels, most)
+        found = near_blocks(met, labels, most, again)
         for sides in (("key", "center"), ("center", "key")):
             known = done.select(F.col("key").alias(sides[0]), F.col("center").alias(sides[1]), F.lit(True).alias(f"known_{sides[0]}"))
             found = found.join(known, ["key", "center"], "left")
@@ -536,7 +564,9 @@ def connected(met: Met) -> DataFrame | None:
         open_pairs = _labelled(_labelled(found.where("more"), labels, "key", "a"), labels, "center", "b").where("a <> b")
         if open_pairs.isEmpty():
             return labels
-        most *= MORE_PAIRS
+        # only blocks that had more pairs of components still apart meet again
+        ends = open_pairs.join(at.withColumnRenamed("block", "x"), "key").join(at.withColumnsRenamed({"key": "center", "block": "y"}), "center")
+        again, most = ends.select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second")), most * MORE_PAIRS
 
 
 def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

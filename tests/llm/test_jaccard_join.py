@@ -141,3 +141,55 @@ def test_all_links_between_different_sets(spark, size, num):
     assert len(got_links) == len(set(got_links)) and set(got_links) == expected
     components = len({c for *_, c in brute([(i, t) for i, t in rows if sets[i]], size, num)})
     assert len(expected) > len(distinct) - components  # more links than a forest of the components has
+
+
+@pytest.mark.parametrize("threshold", [(85, 100), (80, 100), (1, 2)])
+def test_linked_sets_keep_a_signature_without_what_they_spare(threshold):
+    rng = np.random.default_rng(8)
+    classes = jj.SizeClasses(threshold)
+    tried = spared = 0
+    for _ in range(400):
+        a = int(rng.choice([6, 11, 25, 60, 200, 700]))
+        pool = np.unique(rng.integers(0, 2**64, 3 * a + 4, dtype=np.uint64))
+        rng.shuffle(pool)
+        drop, add = rng.integers(0, a // 5 + 2), rng.integers(0, a // 5 + 2)
+        x, y = set(pool[:a].tolist()), set(pool[drop : a + add].tolist())
+        if not y or threshold[1] * len(x & y) < threshold[0] * len(x | y):
+            continue
+        tried += 1
+        sides = []
+        for s in (x, y):
+            left = set()
+            for _, sigs, spare in classes.parts(np.array(sorted(s), np.uint64)):
+                left |= set(sorted(sigs.tolist(), key=lambda g: g * 0x9E3779B97F4A7C15 % 2**64)[spare:])  # any order that both have
+                spared += spare
+            sides.append(left)
+        assert sides[0] & sides[1]
+    assert tried > 50 and spared > (1000 if threshold[1] == 100 else 0)
+
+
+def test_a_common_passage_makes_no_candidates(spark):
+    rng = np.random.default_rng(9)
+    passage = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join([*[f"w{rng.integers(10**7)}" for _ in range(100)], *passage, *[f"w{rng.integers(10**7)}" for _ in range(100)]])) for i in range(1500)]
+    met = jj._met(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", 4, (85, 100))
+    assert met.stars.count() > 1500  # many share a segment of the passage
+    assert met.members.count() < 300
+
+
+def test_only_blocks_with_more_pairs_meet_again(spark, monkeypatch):
+    asked = []
+    near_blocks = jj.near_blocks
+
+    def counted(met, labels, most, only=None):
+        asked.append(None if only is None else only.distinct().count())
+        return near_blocks(met, labels, most, only)
+
+    monkeypatch.setattr(jj, "near_blocks", counted)
+    monkeypatch.setattr(jj, "PAIRS_OF_COMPONENTS", 1)
+    monkeypatch.setattr(jj, "BLOCK_BYTES", 1 << 9)
+    rng = np.random.default_rng(10)
+    rows = list(enumerate([*near_copies(rng), *near_copies(rng)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(jj.join_documents(docs)) == brute(rows)
+    assert asked[0] is None and all(n is not None for n in asked[1:])

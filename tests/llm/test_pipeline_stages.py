@@ -2,6 +2,7 @@ import numpy as np
 
 import corpus_pipeline
 from sondage.llm import registry
+from sondage.llm._common import written
 from tests.llm.test_jaccard_join import brute, near_copies
 
 
@@ -43,3 +44,17 @@ def test_op7_keeps_no_document_that_fails_the_base_rules(spark):
     for r in rows:
         failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
         assert (r.base_failed, r.kept) == (failed, not failed and r.posterior >= 0.5)
+
+
+def test_documents_are_not_shuffled_for_a_large_surplus(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    placed = corpus_pipeline._placed(spark.read.parquet(str(tmp_path / "docs")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        surplus = written(placed.where("__doc.doc_id % 3 = 0").select("row"), "surplus")
+        left = corpus_pipeline._without(placed, surplus)
+        assert sorted(r[0] for r in left.select("__doc.doc_id").collect()) == [i for i, _ in rows if i % 3]
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
