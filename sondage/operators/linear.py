@@ -132,15 +132,21 @@ def penalty_curve(df: DataFrame, features: Sequence[str], targets: Sequence[str]
     names = [*features, *targets]
     p = products(df, names)
     held = df.where(_all_known([_double(x) for x in names]))
-    rows = []
+    penalties = [float(x) for x in dict.fromkeys(penalties)]
     truth = [_double(t) for t in targets]
+    sums = {"mean_cosine": [], "median_cosine": [], "mean_squared_error": []}
     for penalty in penalties:
         out = solve_ridge(p, features, targets, penalty).left_out()
         guess = [out[t] for t in targets]
         error = sum((F.pow(a - b, 2) for a, b in zip(guess, truth, strict=True)), F.lit(0.0)) / len(targets)
-        rows.append(F.struct(F.lit(float(penalty)).alias("penalty"), row_cosine(guess, truth).alias("cosine"), error.alias("error")))
-    each = held.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return each.groupBy("penalty").agg(F.avg("cosine").alias("mean_cosine"), F.median("cosine").alias("median_cosine"), F.avg("error").alias("mean_squared_error"))
+        cosine = row_cosine(guess, truth)
+        for name, value in zip(sums, (F.avg(cosine), F.median(cosine), F.avg(error)), strict=True):
+            sums[name].append(value)
+    # one row of all penalties, so that rows are not multiplied by them; what is not asked for is not added up
+    one = held.agg(F.count("*").alias("n"), *[v.alias(f"{name}_{i}") for name, values in sums.items() for i, v in enumerate(values)]).where("n > 0")
+    each = one.select("*", F.posexplode(F.array(*[F.lit(x) for x in penalties])).alias("at", "penalty"))
+    pick = lambda name: F.get(F.array(*[F.col(f"{name}_{i}") for i in range(len(penalties))]), F.col("at")).alias(name)
+    return each.select("penalty", *[pick(name) for name in sums])
 
 
 def best_penalty(curve: DataFrame) -> float:

@@ -99,3 +99,13 @@ def test_canonical_correlations_equal_those_of_orthonormal_bases(spark):
     want = np.linalg.svd(np.linalg.qr(a)[0].T @ np.linalg.qr(b)[0], compute_uv=False)
     assert linear.canonical_correlations(df, X, Y) == pytest.approx(want, abs=1e-6)
     assert linear.canonical_correlations(df.limit(0), X, Y).tolist() == [0, 0]
+
+
+def test_penalties_do_not_multiply_rows(spark):
+    df = spark.range(200).selectExpr("cast(id % 7 as double) a", "cast(id * 0.5 + id % 3 as double) y")
+    curve = linear.penalty_curve(df, ["a"], ["y"], [0.1, 10.0, 0.1])
+    assert sorted(r.penalty for r in curve.collect()) == [0.1, 10.0]
+    plan = curve.select("penalty", "mean_squared_error")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the rows are added up below
+    assert "percentile" not in plan and "median" not in plan
+    assert linear.penalty_curve(df.limit(0), ["a"], ["y"], [0.1]).count() == 0
