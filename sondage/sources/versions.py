@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions import text as T
+from sondage.sources.stored import drop, stored
 
 
 def _folder(spark: SparkSession, path: str):
@@ -91,7 +92,8 @@ def ingest(spark: SparkSession, path: str, lines: DataFrame, bank: DataFrame) ->
     Rejects hold what is still to be asked: the last reject of each key without an answer. A batch that changes nothing publishes nothing.
     """
     answers, rejects = read_version(spark, path, "answers", ANSWERS), read_version(spark, path, "rejects", REJECTS)
-    rows = _same(parsed_lines(lines, bank), answers.select(*_KEY).distinct().withColumns({k: F.col(k) for k in _KEY}), "left_anti")
+    parsed = stored(parsed_lines(lines, bank), "parsed")  # four results come from it
+    rows = _same(parsed, answers.select(*_KEY).distinct().withColumns({k: F.col(k) for k in _KEY}), "left_anti")
     total = lines.where(T.stripped(F.col("line")) != "").count()
     first = rows.where("answer IS NOT NULL").groupBy(*_KEY).agg(F.min("position").alias("first"), F.min_by(F.struct("answer", "raw"), "position").alias("a"))
     new = first.select(*_KEY, "a.answer", "a.raw")
@@ -107,4 +109,5 @@ def ingest(spark: SparkSession, path: str, lines: DataFrame, bank: DataFrame) ->
     outstanding = _same(outstanding, new.select(*_KEY), "left_anti")
     if kept or rejected:
         commit(spark, path, {"answers": answers.unionByName(new), "rejects": outstanding})
+    drop(parsed)
     return {"kept": kept, "rejected": rejected, "duplicates": total - kept - rejected, "outstanding": read_version(spark, path, "rejects", REJECTS).count()}
