@@ -127,6 +127,12 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+def _log_logistic(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the logistic function and the function itself, by one exponential."""
+    e = np.exp(-np.abs(x))
+    return np.minimum(x, 0) - np.log1p(e), np.where(x >= 0, 1, e) / (1 + e)
+
+
 def _log_p(z: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Log probability of answers between two cuts. With a gap g it is log s(z - low) + log s(high - z) + log(1 - exp(-g))."""
     return -np.logaddexp(0, low - z) - np.logaddexp(0, z - high) + np.log1p(-np.exp(low - high))
@@ -138,40 +144,49 @@ def solve_people(
     """Modes and information matrices of many people at once: people x answers (x traits); padding has no cuts on either side.
 
     `evidence` is what is known beside the answers, in information form: precisions L and shifts h add h'theta - theta'L theta / 2.
-    Newton's method with the observed information; each person halves a step that does not improve.
+    Newton's method with the observed information; each person halves a step that makes it worse by more than rounding does, and rests
+    once their own step is under `tol`.
     """
     d = loadings.shape[2]
     theta = theta.copy()
     precision, shift = (np.eye(d)[None].repeat(len(theta), 0), np.zeros((len(theta), d))) if evidence is None else (np.eye(d) + evidence[0], evidence[1])
+    apart = np.log1p(-np.exp(low - high)).sum(1)  # what does not depend on traits
 
-    def product(t: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return np.matmul(loadings[rows], t[:, :, None])[:, :, 0]
+    def at(t: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The objective of some people and their shares above the cut below and the one above each answer."""
+        z = np.matmul(loadings[rows], t[:, :, None])[:, :, 0]
+        log_up, up = _log_logistic(z - low[rows])
+        log_rest, rest = _log_logistic(high[rows] - z)
+        return (log_up + log_rest).sum(1) + apart[rows] + (shift[rows] * t).sum(1) - 0.5 * np.einsum("ni,nij,nj->n", t, precision[rows], t), up, 1 - rest
 
-    def value(t: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return _log_p(product(t, rows), low[rows], high[rows]).sum(1) + (shift[rows] * t).sum(1) - 0.5 * np.einsum("ni,nij,nj->n", t, precision[rows], t)
-
-    def slopes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = product(t)
-        up, down = _logistic(z - low), _logistic(z - high)
+    def slopes(t: np.ndarray, rows: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = loadings[rows]
         bend = up * (1 - up) + down * (1 - down)
-        gradient = np.matmul(loadings.transpose(0, 2, 1), (1 - up - down)[:, :, None])[:, :, 0] + shift - np.einsum("nij,nj->ni", precision, t)
-        return gradient, precision + np.matmul((loadings * bend[:, :, None]).transpose(0, 2, 1), loadings)
+        gradient = np.matmul(a.transpose(0, 2, 1), (1 - up - down)[:, :, None])[:, :, 0] + shift[rows] - np.einsum("nij,nj->ni", precision[rows], t)
+        return gradient, precision[rows] + np.matmul((a * bend[:, :, None]).transpose(0, 2, 1), a)
 
-    now = value(theta)
+    left = np.arange(len(theta))
+    now, up, down = at(theta, left)
+    information = np.zeros((len(theta), d, d))
     for _ in range(rounds):
-        gradient, information = slopes(theta)
-        step = np.linalg.solve(information, gradient[:, :, None])[:, :, 0]
-        scale, new = np.ones(len(theta)), value(theta + step)
-        worse = np.flatnonzero(new < now)
+        gradient, information[left] = slopes(theta[left], left, up, down)
+        step = np.linalg.solve(information[left], gradient[:, :, None])[:, :, 0]
+        new, up, down = at(theta[left] + step, left)
+        least = now[left] - 1e-12 * (1 + np.abs(now[left]))
+        scale, worse = np.ones(len(left)), np.flatnonzero(new < least)
         while len(worse) and scale[worse].min() > 1e-6:
             scale[worse] /= 2
-            new[worse] = value(theta[worse] + scale[worse, None] * step[worse], worse)
-            worse = worse[new[worse] < now[worse]]
-        scale[worse], new[worse] = 0, now[worse]
-        theta, now = theta + scale[:, None] * step, new
-        if not len(theta) or np.abs(scale[:, None] * step).max() < tol:
+            new[worse], up[worse], down[worse] = at(theta[left[worse]] + scale[worse, None] * step[worse], left[worse])
+            worse = worse[new[worse] < least[worse]]
+        scale[worse], new[worse] = 0, now[left[worse]]
+        step = scale[:, None] * step
+        theta[left], now[left] = theta[left] + step, new
+        on = np.abs(step).max(1) >= tol
+        left, up, down = left[on], up[on], down[on]
+        if not len(left):
             break
-    return theta, slopes(theta)[1]
+    everybody = np.arange(len(theta))
+    return theta, slopes(theta, everybody, *at(theta, everybody)[1:])[1]
 
 
 def _people(batch: pa.RecordBatch, n_traits: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -372,11 +387,40 @@ class _Sums:
     hessian: np.ndarray
 
 
+def _add_slopes(gradient: np.ndarray, hessian: np.ndarray, item: np.ndarray, code: np.ndarray, low: np.ndarray, high: np.ndarray, added: np.ndarray, d: int) -> None:
+    """Takes the slopes of log p of groups of answers from those of their items.
+
+    For x = z - low, y = z - high and q = 1 / (exp(high - low) - 1) the slopes of log p are 1 + q - s(x) and -q - s(y), the second ones
+    -q(1 + q) - s'(x), -q(1 + q) - s'(y) and, mixed, q(1 + q). `added` has for each group the sums of s(x), s(y), s'(x), s'(y) and 1,
+    times 1, the traits and their products. A side without a cut has no term.
+    """
+    with np.errstate(over="ignore"):
+        q = (1 / np.expm1(high - low))[:, None]
+    lo, hi = np.isfinite(low), np.isfinite(high)
+    u, v, bend_u, bend_v, one = (added[:, k] for k in range(5))
+    qq = q * (1 + q) * one
+    fx, fy = np.where(lo[:, None], (1 + q) * one - u, 0), np.where(hi[:, None], -q * one - v, 0)
+    sx, sy, mixed = np.where(lo[:, None], qq + bend_u, 0), np.where(hi[:, None], qq + bend_v, 0), np.where((lo & hi)[:, None], qq, 0)
+    np.subtract.at(gradient, (item, slice(0, d)), (fx + fy)[:, 1 : d + 1])
+    np.add.at(hessian, (item, slice(0, d), slice(0, d)), (sx + sy - 2 * mixed)[:, d + 1 :].reshape(-1, d, d))
+    for on, f, s, cut in ((lo, fx, sx, d + code - 1), (hi, fy, sy, d + code)):
+        i, c = item[on], cut[on]
+        np.add.at(gradient, (i, c), f[on, 0])
+        np.add.at(hessian, (i, c, c), s[on, 0])
+        cross = (mixed - s)[on, 1 : d + 1]
+        for k in range(d):
+            np.add.at(hessian, (i, k, c), cross[:, k])
+            np.add.at(hessian, (i, c, k), cross[:, k])
+    both = lo & hi
+    i, c = item[both], d + code[both]
+    np.subtract.at(hessian, (i, c - 1, c), mixed[both, 0])
+    np.subtract.at(hessian, (i, c, c - 1), mixed[both, 0])
+
+
 def _item_sums(people: DataFrame, bank: Bank, n_traits: int) -> _Sums:
     """Minus log likelihood, gradient and Hessian of every item at given traits: one row an item and task is shuffled.
 
-    For x = z - low, y = z - high and q = 1 / (exp(high - low) - 1) the slopes of log p are 1 + q - s(x) and -q - s(y),
-    the second ones -q(1 + q) - s'(x), -q(1 + q) - s'(y) and, mixed, q(1 + q).
+    Slopes are sums of traits, their squares and products, each with s(x) and the like, over the equal answers to an item; see _add_slopes.
     """
     shared, w, d = people.sparkSession.sparkContext.broadcast(bank), bank.width, n_traits
 
@@ -387,33 +431,23 @@ def _item_sums(people: DataFrame, bank: Bank, n_traits: int) -> _Sums:
         for batch in batches:
             thetas = _matrix(batch.column("theta"), d)
             loss[n] += 0.5 * (thetas * thetas).sum()
-            for rows, items, codes in _people(batch, w * w // max(d, 1) + 1):
+            for rows, items, codes in _people(batch, 5 * (1 + d + d * d)):
                 who, _ = np.nonzero(items >= 0)
                 item, code, theta = items[items >= 0], codes[items >= 0], thetas[rows][who]
-                order = np.argsort(item, kind="stable")
-                item, code, theta = item[order], code[order], theta[order]
                 if not len(item):
                     continue
+                place = item * (bank.cuts.shape[1] + 1) + code
+                order = np.argsort(place, kind="stable")
+                item, code, theta, place = item[order], code[order], theta[order], place[order]
                 low, high = bank.bounds(item, code)
                 z = (theta * bank.loadings[item]).sum(1)
-                with np.errstate(over="ignore"):
-                    q = 1 / np.expm1(high - low)
                 u, v = _logistic(z - low), _logistic(z - high)
-                fx, fy, qq = 1 + q - u, -q - v, q * (1 + q)
-                x, y = np.zeros((len(item), w)), np.zeros((len(item), w))
-                x[:, :d] = y[:, :d] = theta
-                at = np.arange(len(item))
-                lo, hi = np.isfinite(low), np.isfinite(high)
-                x[at[lo], d + code[lo] - 1] = -1
-                y[at[hi], d + code[hi]] = -1
-                x[~lo], y[~hi] = 0, 0  # no cut on that side, hence no term
-                mixed = x[:, :, None] * y[:, None] * qq[:, None, None]
-                second = mixed + mixed.transpose(0, 2, 1) - x[:, :, None] * x[:, None] * (qq + u * (1 - u))[:, None, None] - y[:, :, None] * y[:, None] * (qq + v * (1 - v))[:, None, None]
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(item) != 0]))
-                here = item[starts]
-                loss[here] -= np.add.reduceat(_log_p(z, low, high), starts)
-                gradient[here] -= np.add.reduceat(x * fx[:, None] + y * fy[:, None], starts)
-                hessian[here] -= np.add.reduceat(second.reshape(len(item), -1), starts)
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(place) != 0]))
+                factors = np.stack([u, v, u * (1 - u), v * (1 - v), np.ones(len(z))], 1)
+                moments = np.concatenate([np.ones((len(z), 1)), theta, (theta[:, :, None] * theta[:, None]).reshape(len(z), -1)], 1)
+                added = np.add.reduceat((factors[:, :, None] * moments[:, None]).reshape(len(z), -1), starts).reshape(len(starts), 5, -1)
+                np.subtract.at(loss, item[starts], np.add.reduceat(_log_p(z, low, high), starts))
+                _add_slopes(gradient, hessian.reshape(n + 1, w, w), item[starts], code[starts], low[starts], high[starts], added, d)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1), pa.int32()), pa.array(loss), _lists(gradient), _lists(hessian)], ["item", "loss", "g", "h"])
 
     parts = people.select("item", "code", "theta").mapInArrow(sums, "item int, loss double, g array<double>, h array<double>")
@@ -476,7 +510,9 @@ def fit_joint(cells: DataFrame, categories: DataFrame, n_traits: int, *, ridge:
     """
     spark, item_type = cells.sparkSession, dict(categories.dtypes)["item_id"]
     bank = starting_bank(cells, categories, n_traits, seed)
-    people = stored(_at_origin(packed_people(cells, bank), n_traits), "graded-people")
+    # as many files as cores have work for: what is read of a small table would else be a few tasks
+    packed = packed_people(cells, bank).repartition(2 * spark.sparkContext.defaultParallelism, "pid")
+    people = stored(_at_origin(packed, n_traits), "graded-people")
     losses: list[float] = []
     best: tuple | None = None  # (bank, gradient, inverse Hessians, loss, step)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
