@@ -64,11 +64,29 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the columns of FEATURES; columns of these names, in any case, are replaced, all others returned as they came."""
+    """`docs` with the columns of FEATURES; columns of these names, in any case, are replaced, all others returned as they came.
+
+    Features are the fields of an array of one struct, made rows again: a filter on a score then stays above them, instead of going below with all their
+    counts in the place of each column's name.
+    """
     names = [c for c in docs.columns if c.lower() not in FEATURES]
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("__none")).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     counted = with_counts(carried)
-    return counted.select(*[F.col(f"doc.`{c}`") for c in names], *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
+    features = F.struct(*[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
+    return counted.select("doc", F.inline(F.array(features))).select(*[F.col(f"doc.`{c}`") for c in names], *FEATURES)
+
+
+def _distance(centred: Column, triangle: Column) -> Column:
+    """The squared length of the centred features times a lower triangle, whose rows have their diagonal first."""
+
+    def of(c: Column) -> Column:
+        def projected(row: Column, i: Column) -> Column:
+            parts = F.transform(row, lambda weight, k: weight * F.get(c, F.when(k == 0, i).otherwise(k - 1)))
+            return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part)
+
+        return F.aggregate(F.transform(triangle, projected), F.lit(0.0), lambda total, z: total + z * z)
+
+    return F.get(F.transform(F.array(centred), of), F.lit(0))  # `centred` is worked out once
 
 
 @dataclass
@@ -82,17 +100,17 @@ class Discriminant:
     constant: float | None = None  # the score of all texts, where one class has no labels
 
     def log_odds(self) -> Column:
-        """Log density of class 1 minus that of class 0, with their priors."""
+        """Log density of class 1 minus that of class 0, with their priors.
+
+        The model's numbers are arrays and each feature stands here once a class, so that the plan stays small, and its compiled code the same for all models.
+        """
         if self.constant is not None:
             return F.lit(math.log(self.constant / (1 - self.constant)))
         sides = []
         for mean, inverse, offset in zip(self.means, self.inverse, self.offset, strict=True):
-            centred = [F.col(name) - float(m) for name, m in zip(FEATURES, mean, strict=True)]
-            squares = []
-            for i, row in enumerate(inverse):
-                z = sum((centred[j] * float(row[j]) for j in range(i)), centred[i] * float(row[i]))
-                squares.append(z * z)
-            sides.append(F.lit(offset) - 0.5 * sum(squares[1:], squares[0]))
+            centred = F.zip_with(F.array(*FEATURES), F.lit([float(m) for m in mean]), lambda x, m: x - m)
+            triangle = F.lit([[float(row[j]) for j in (i, *range(i))] for i, row in enumerate(inverse)])
+            sides.append(F.lit(offset) - 0.5 * _distance(centred, triangle))
         return sides[1] - sides[0]
 
     def score(self) -> Column:
@@ -126,8 +144,8 @@ def fit(features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label
         inverse.append(np.linalg.inv(factor))
         offset.append(math.log(found[label]["n"] / total) - float(np.log(np.diag(factor)).sum()))
     model = Discriminant(means, inverse, offset)
-    odds = F.when(F.col("__label") == 1, model.log_odds()).otherwise(-model.log_odds())
-    loss = [F.sum(F.log1p(F.exp(-F.greatest(odds / t, F.lit(-500.0))))).alias(str(i)) for i, t in enumerate(TEMPERATURES)]
-    losses = rows.agg(*loss).first()
+    odds = model.log_odds() * (2 * F.col("__label") - 1)
+    loss = [F.sum(F.log1p(F.exp(-F.greatest(F.col("odds") / t, F.lit(-500.0))))).alias(str(i)) for i, t in enumerate(TEMPERATURES)]
+    losses = rows.select(odds.alias("odds")).agg(*loss).first()
     model.temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
     return model
