@@ -60,7 +60,7 @@ def choice_sets(options: DataFrame, who: str, choice_set: str, features: list[st
     for f in features:
         known = known.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.coalesce(F.col(chosen), F.lit(False)).alias("c"))
-    sets = known.groupBy(F.col(who).alias("who"), F.col(choice_set).alias("set")).agg(F.array_sort(F.collect_list(row)).alias("r"), F.max(F.col(chosen)).alias("any"))
+    sets = known.groupBy(F.col(who).alias("who"), F.col(choice_set).alias("set")).agg(F.sort_array(F.collect_list(row)).alias("r"), F.max(F.col(chosen)).alias("any"))
     varies = F.size(F.array_distinct(F.col("r.x"))) > 1
     return sets.where(F.col("any") & varies).select("who", "set", F.flatten("r.x").alias("x"), (F.array_position("r.c", True) - 1).cast("int").alias("chosen"))
 
@@ -199,10 +199,36 @@ def _fit_together(batch: pa.RecordBatch, p: int, replicates: int, prior: Prior,
     return _rows(batch.column("who"), batch.column("n_sets"), climb, ~climb.moves(tol))
 
 
-def _fit_here(sets: DataFrame, p: int, replicates: int, prior: Prior, rounds: int, tol: float, who_type: str) -> DataFrame:
-    """Fits of decision makers whose sets, LARGE at most, meet in one row."""
-    met = sets.groupBy("who", "n_sets").agg(F.collect_list(F.struct("set", "x", "chosen", "w")).alias("r"))
-    packed = met.select("who", "n_sets", F.array_sort("r").alias("r")).select("who", "n_sets", F.col("r.x").alias("x"), F.col("r.chosen").alias("chosen"), F.flatten("r.w").alias("w"))
+@dataclass(frozen=True)
+class _Makers:
+    """Decision makers: those with few choice sets as a row each (who, n_sets and `r`, their sets in order), and of the others, if any, how many each has in `sets`."""
+
+    few: DataFrame
+    many: DataFrame | None
+    sets: DataFrame
+
+
+def _makers(sets: DataFrame, large: int) -> _Makers:
+    """The sets are made once and stored, whoever reads them; each moves once more, to its decision maker's others."""
+    sets = stored(sets.where(F.col("who").isNotNull()).select("who", "set", "x", "chosen"), "choice-sets")
+    many = sets.groupBy("who").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") > large)
+    if many.isEmpty():
+        few, many = sets, None
+    else:
+        few = sets.join(F.broadcast(many), "who", "left_anti")  # of `large` sets one row at most
+    met = few.repartition("who").groupBy("who").agg(F.sort_array(F.collect_list(F.struct("set", "x", "chosen"))).alias("r"))
+    return _Makers(met.select("who", F.size("r").cast("long").alias("n_sets"), "r"), many, sets)
+
+
+def _weights(who: Column, choice_set: Column, replicates: int, seed: int) -> Column:
+    return replicate_weights(F.concat_ws("|", who.cast("string"), choice_set.cast("string")), replicates, seed) if replicates else F.array(F.lit(1.0))
+
+
+def _fit_here(few: DataFrame, p: int, replicates: int, seed: int, prior: Prior, rounds: int, tol: float) -> DataFrame:
+    """Fits of decision makers whose sets meet in one row; weights are drawn there, so that they are not shuffled."""
+    who_type, weights = dict(few.dtypes)["who"], F.transform("r", lambda s: _weights(F.col("who"), s["set"], replicates, seed))
+    packed = few.select("who", "n_sets", F.col("r.x").alias("x"), F.col("r.chosen").alias("chosen"), F.flatten(weights).alias("w"))
+    replicates = max(1, replicates)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,15 +314,17 @@ def fit_choices(
     `sets` comes from choice_sets. Decision makers with fewer than `min_sets` sets have no row. Without `replicates` there is one
     fit of all sets (replicate 1); with them, one of each set of weights.
     """
-    prior = prior or Prior.ridge(n_features)
-    n, who_type = max(1, replicates), dict(sets.dtypes)["who"]
-    weights = replicate_weights(F.concat_ws("|", F.col("who").cast("string"), F.col("set").cast("string")), replicates, seed) if replicates else F.array(F.lit(1.0))
-    counts = sets.groupBy("who").agg(F.count("*").alias("n_sets")).where(F.col("n_sets") >= min_sets)
-    held = sets.join(counts, "who").withColumn("w", weights)
-    here = _fit_here(held.where(F.col("n_sets") <= large), n_features, n, prior, rounds, tol, who_type)
-    if counts.where(F.col("n_sets") > large).isEmpty():
+    return _fits(_makers(sets, large), n_features, replicates, seed, prior or Prior.ridge(n_features), min_sets, rounds, tol)
+
+
+def _fits(makers: _Makers, p: int, replicates: int, seed: int, prior: Prior, min_sets: int, rounds: int, tol: float) -> DataFrame:
+    enough = F.col("n_sets") >= min_sets
+    here = _fit_here(makers.few.where(enough), p, replicates, seed, prior, rounds, tol)
+    many = None if makers.many is None else makers.many.where(enough)
+    if many is None or many.isEmpty():
         return here
-    return here.unionByName(_fit_large(held.where(F.col("n_sets") > large), n_features, n, prior, rounds, tol, who_type))
+    held = makers.sets.join(F.broadcast(many), "who").withColumn("w", _weights(F.col("who"), F.col("set"), replicates, seed))
+    return here.unionByName(_fit_large(held, p, max(1, replicates), prior, rounds, tol, dict(held.dtypes)["who"]))
 
 
 def learned_prior(fits: DataFrame, n_features: int) -> Prior:
@@ -309,11 +337,23 @@ def learned_prior(fits: DataFrame, n_features: int) -> Prior:
     return Prior(np.array(row["mean"]), np.linalg.inv(np.reshape(row["cov"], (n_features, n_features)) + PRIOR_FLOOR * np.eye(n_features)))
 
 
-def shrunk_fits(sets: DataFrame, n_features: int, training: DataFrame, *, min_sets: int = MIN_SETS, short: int = 1, **options) -> tuple[DataFrame, Prior]:
-    """Fits under the prior that the fits of `training` (a column who) give; with it, `short` sets are enough."""
-    first = fit_choices(sets.join(training.select("who"), "who", "left_semi"), n_features, min_sets=min_sets, **options)
-    prior = learned_prior(first, n_features)
-    return fit_choices(sets, n_features, prior=prior, min_sets=short, **options), prior
+def shrunk_fits(
+    sets: DataFrame, n_features: int, training: DataFrame, *, min_sets: int = MIN_SETS, short: int = 1, replicates: int = 0, seed: int = 0, prior: Prior | None = None, large: int = LARGE, rounds: int = 60, tol: float = 1e-9
+) -> tuple[DataFrame, Prior]:
+    """Fits under the prior that the fits of `training` (a column who) give; with it, `short` sets are enough. Both read the same stored rows.
+
+    The other options are those of fit_choices; `prior` is the first fit's.
+    """
+    makers = _makers(sets, large)
+    known = training.select("who").distinct()
+    marked = makers.few.join(known.withColumn("trains", F.lit(True)).hint("shuffle_hash"), "who", "left")  # rows stay where their sets met
+    few = stored(marked, "choice-makers")
+    if makers.many is None:
+        drop(makers.sets)
+    many = None if makers.many is None else makers.many.join(known, "who", "left_semi")
+    first = _fits(_Makers(few.where("trains"), many, makers.sets), n_features, replicates, seed, prior or Prior.ridge(n_features), min_sets, rounds, tol)
+    learned = learned_prior(first, n_features)
+    return _fits(_Makers(few, makers.many, makers.sets), n_features, replicates, seed, learned, short, rounds, tol), learned
 
 
 def spread_of_replicates(fits: DataFrame, n_features: int) -> DataFrame:

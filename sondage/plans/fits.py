@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.operators import choice_fits as H
@@ -20,12 +20,12 @@ _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "cost", "l_quantity"]
 
 def _choice_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders of each customer as choice sets; of an order's lines the one shipped first was chosen."""
-    lines = V.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", (F.col("l_quantity") / 50).alias("l_quantity"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 100000).alias("cost")
-    )
-    first = lines.groupBy("l_orderkey").agg(F.min(F.struct("l_shipdate", *_LINE)).alias("first"))
+    cost = (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 100000).alias("cost")
+    lines = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", cost)
+    lines = lines.repartition("l_orderkey").withColumn("l_quantity", F.col("l_quantity") / 50).distinct()  # the lines' only move: all that follows is by order
+    line = F.struct("l_shipdate", *_LINE)
     owners = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    marked = lines.distinct().join(first, "l_orderkey").withColumn("chosen", F.struct("l_shipdate", *_LINE) == F.col("first")).join(owners, "l_orderkey")
+    marked = lines.withColumn("chosen", line == F.min(line).over(Window.partitionBy("l_orderkey"))).join(owners, "l_orderkey")
     return H.choice_sets(marked, "o_custkey", "l_orderkey", ["cost", "l_quantity"], "chosen", order=_LINE)
 
 

@@ -1,5 +1,6 @@
 """Choice fits, replicates and refits under a learned prior, against plain solves."""
 
+import datetime
 import hashlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage.operators import choice, choice_fits
+from sondage.plans import fits as plans
 
 FEATURES = ["cost", "time"]
 
@@ -151,3 +153,48 @@ def test_many_are_solved_together_as_each_alone(spark):
             np.testing.assert_allclose(row["covariance"], np.linalg.inv(climb.information)[b].ravel(), rtol=1e-7, atol=1e-10)
             assert (row["who"], row["replicate"], row["converged"]) == (batch.column("who")[i].as_py(), b + 1, True)
     assert len(together) == 36 and all(r.converged for r in together)
+
+
+def test_refits_make_the_sets_once(spark):
+    rows = options()
+    sets, made = sets_of(spark, rows), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    training = spark.createDataFrame([(f"w{i}",) for i in (0, 0, 1, 2, 3, 4)], "who string")
+    fits, _ = choice_fits.shrunk_fits(sets.mapInArrow(counted, sets.schema), 2, training)
+    assert len(fits.collect()) == 6 and made.value == sets.count()
+
+
+def test_refits_of_large_decision_makers_equal_those_that_meet(spark):
+    rows = options(people=4) + [("hot", *r[1:]) for r in options(people=1, sets=300, seed=5)]
+    sets = sets_of(spark, rows)
+    for trained in (["w0", "w1", "w3", "hot"], ["w0", "w1", "w2"]):
+        training = spark.createDataFrame([(w,) for w in trained], "who string")
+        here, prior = choice_fits.shrunk_fits(sets, 2, training)
+        apart, same = choice_fits.shrunk_fits(sets, 2, training, large=31)
+        assert same.mean == pytest.approx(prior.mean) and same.precision == pytest.approx(prior.precision, rel=1e-6)
+        here, apart = ({r.who: r for r in x.collect()} for x in (here, apart))
+        assert here.keys() == apart.keys() and len(here) == 5
+        for who, r in here.items():
+            assert apart[who].beta == pytest.approx(r.beta, abs=1e-7) and apart[who].n_sets == r.n_sets
+
+
+def test_lines_move_once_to_their_order(spark):
+    plan = plans._choice_sets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1
+    assert plan.count("Exchange hashpartitioning") == 1  # orders are few here and broadcast
+
+
+def test_options_of_orders_with_equal_lines(spark, tmp_path):
+    day = datetime.datetime(2001, 1, 1)
+    line = lambda order, number, quantity, price, days: (order, 1, 1, number, float(quantity), price, 0.0, day + datetime.timedelta(days))
+    lines = [line(1, 1, 10, 100.0, 5), line(1, 1, 10, 100.0, 5), line(1, 2, 20, 50.0, 5), line(1, 2, 20, 50.0, 3), line(2, 1, 5, 10.0, 1), line(2, 1, 5, 10.0, 1), line(3, 1, 5, 10.0, 1), line(3, 2, 6, 10.0, 2), line(None, 1, 5, 10.0, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (None, 7), (4, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [(r.who, r.set, r.x, r.chosen) for r in plans._choice_sets(spark, str(tmp_path)).collect()]
+    # the line shipped first was chosen; lines equal in all but the day are two options, those equal in all are one; the chosen one of equal options comes last
+    assert got == [(7, 1, pytest.approx([100 / 100000, 0.2, 50 / 100000, 0.4, 50 / 100000, 0.4]), 2)]
